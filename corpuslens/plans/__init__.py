@@ -1,6 +1,6 @@
 """Named queries over the test tables (``queries()``) and their DuckDB twins (``oracle_sql()``)."""
 
-from corpuslens.plans import q_text, q_wordbias  # noqa: F401
+from corpuslens.plans import q_counts, q_text, q_wordbias  # noqa: F401
 from corpuslens.plans.registry import ORACLE, QUERIES
 
 
