@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import has_value, or_unknown
+from corpuslens.operators.partitioning import rank_within
 
 
 def _c(c) -> Column:
@@ -138,19 +139,5 @@ def crosstab(df: DataFrame, row: str, col: str, col_values: list[str], row_value
 
 
 def global_rank(df: DataFrame, order: list[Column], rank_col: str = "rank") -> DataFrame:
-    """Dense 1..N position in a total order without a single-partition window.
-
-    The frame is range-sorted (distributed), written to the shared checkpoint folder (cuts lineage so the
-    positions cannot change if a task is recomputed), then each row gets its partition's offset (a prefix
-    sum over one row per partition) plus its position in the partition.
-    """
-    sorted_df = df.orderBy(*order).withColumn("_pid", F.spark_partition_id()) \
-                  .withColumn("_mid", F.monotonically_increasing_id())
-    sorted_df = sorted_df.checkpoint(eager=True)
-    sizes = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
-    # One row per partition: a bounded table, so the prefix-sum window and the broadcast are small.
-    offs = sizes.withColumn("_off", F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-    offs = offs.select("_pid", "_first", F.coalesce("_off", F.lit(0)).alias("_off"))
-    out = sorted_df.join(F.broadcast(offs), "_pid")
-    return out.withColumn(rank_col, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint")) \
-              .drop("_pid", "_mid", "_first", "_off")
+    """Dense 1..N position in a total order, computed without a single-partition window."""
+    return rank_within(df, [], order, rank_col)
