@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import has_value
+from corpuslens.session import checkpoint_dir
 
 
 def _phi(n: Column, n11: Column, nx: Column, ny: Column) -> Column:
@@ -44,13 +45,22 @@ def word_bias(df: DataFrame, tokens: Column, factors: list[str], min_df: int = 5
     """Top-k words per factor value by phi. Columns: factor, factor_value, rank, word,
     pearson_correlation, word_count (= nx over the factor's stories)."""
     fd = factor_docs(df, tokens, factors)
-
-    totals = fd.groupBy("factor", "value").agg(F.count(F.lit(1)).alias("ny"))
+    # One pass over the text: every story contributes its distinct words plus one '' marker (tokens are
+    # never blank), so the same aggregation yields n11 per (value, word) and ny per value (the '' rows).
+    # All later branches read this one aggregate (the shuffle is reused, the text is tokenised once).
+    marked = F.array_union(F.col("words"), F.array(F.lit("")))
+    agg = (fd.select("factor", "value", F.explode(marked).alias("word"))
+             .groupBy("factor", "value", "word").agg(F.count(F.lit(1)).alias("n11")))
+    # Written once to the shared checkpoint folder: later branches read the aggregate instead of re-running
+    # tokenisation, and the lineage is cut (a lost executor does not re-trigger the text scan).
+    checkpoint_dir(df.sparkSession)
+    agg = agg.checkpoint(eager=True)
+
+    totals = agg.where(F.col("word") == "").select("factor", "value", F.col("n11").alias("ny"))
     totals = totals.withColumn("n", F.sum("ny").over(Window.partitionBy("factor")))
     eligible = totals.where((F.col("ny") >= min_value) & (F.col("ny") < F.col("n")))
 
-    pairs = (fd.select("factor", "value", F.explode("words").alias("word"))
-               .groupBy("factor", "value", "word").agg(F.count(F.lit(1)).alias("n11")))
+    pairs = agg.where(F.col("word") != "")
     vocab = pairs.groupBy("factor", "word").agg(F.sum("n11").alias("nx"))
     vocab = (vocab.join(totals.select("factor", "n").distinct(), "factor")
                   .where((F.col("nx") >= min_df) & (F.col("nx") < F.col("n"))).drop("n"))
