@@ -169,3 +169,23 @@ def predictability(df: DataFrame, key: str, text: Column, targets: list[str], ma
         out.append(rec)
     from corpuslens.sources.schemas import PREDICTABILITY
     return spark.createDataFrame([tuple(r[f.name] for f in PREDICTABILITY.fields) for r in out], PREDICTABILITY)
+
+
+def compare_results(left: DataFrame, right: DataFrame, on: str = "target", metrics: tuple[str, ...] = (),
+                    baseline: str = "majority_baseline", suffixes: tuple[str, str] = ("_a", "_b"),
+                    order: list[str] | None = None) -> DataFrame:
+    """Inner join of two result tables (e.g. two languages) on ``on``; the baseline comes from the left
+    side. For each metric: both values, the gain over the baseline in percentage points on each side, and
+    the ratio of the two gains (NULL when the right gain is 0). ``order`` fixes a display ordinal."""
+    a, b = suffixes
+    l = left.select(on, F.col(baseline).alias("baseline"), *[F.col(m).alias(m + a) for m in metrics])
+    r = right.select(on, F.col(baseline).alias(baseline + b), *[F.col(m).alias(m + b) for m in metrics])
+    j = l.join(r, on, "inner")
+    for m in metrics:
+        j = j.withColumn(f"gain{a}_{m}", (F.col(m + a) - F.col("baseline")) * 100.0)
+        j = j.withColumn(f"gain{b}_{m}", (F.col(m + b) - F.col(baseline + b)) * 100.0)
+        j = j.withColumn(f"ratio_{m}", F.try_divide(F.col(f"gain{a}_{m}"), F.col(f"gain{b}_{m}")))
+    if order:
+        ords = F.create_map(*[x for i, t in enumerate(order) for x in (F.lit(t), F.lit(i))])
+        j = j.withColumn("ord", ords[F.col(on)]).where(F.col("ord").isNotNull())
+    return j

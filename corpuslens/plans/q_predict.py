@@ -145,3 +145,46 @@ def signal_grade(spark, d):
     return p.select("target", "lr_accuracy", "majority_baseline",
                     pr.grade(F.col("lr_accuracy") - F.col("majority_baseline"), pr.GRADE_GAIN).alias("grade_a"),
                     pr.grade(gain_pp, pr.GRADE_GAIN_PP).alias("grade_b"))
+
+
+# ----------------------------------------------------------------------------------------------- E6, F32
+_CMP_TARGETS = ["source", "quality"]
+
+
+def _elig_lang(spark, d, lang):
+    docs = _docs(spark, d).where(F.col("language") == lang)
+    parts = []
+    for t in _CMP_TARGETS:
+        _, s = pr.eligible_rows(docs, t, 3, 10, "filter")
+        parts.append(s.withColumn("target", F.lit(t)).withColumn("share_minority",
+                                                                  F.col("min_class") / F.col("n_samples")))
+    return parts[0].unionByName(parts[1])
+
+
+def _elig_lang_sql(lang):
+    return ("(SELECT target, CAST(max_class AS DOUBLE) / n_samples AS majority_baseline, "
+            "CAST(min_class AS DOUBLE) / n_samples AS share_minority FROM (SELECT target, sum(n) AS n_samples, "
+            "min(n) AS min_class, max(n) AS max_class FROM (" + " UNION ALL ".join(
+                f"SELECT '{t}' AS target, count(*) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id "
+                f"WHERE d.lang = '{lang}' AND {c} IS NOT NULL AND CAST({c} AS VARCHAR) <> '' GROUP BY {c}"
+                for t, c in (("source", "d.source"), ("quality", "l.quality"))) +
+            ") WHERE n >= 3 GROUP BY target))")
+
+
+@register("compare_predictability", f"""WITH a AS {_elig_lang_sql('en')}, b AS {_elig_lang_sql('fr')}
+SELECT a.target, round(a.majority_baseline, {R}) AS baseline, round(b.majority_baseline, {R}) AS baseline_b,
+   round((a.share_minority - a.majority_baseline) * 100.0, {R}) AS gain_a,
+   round((b.share_minority - b.majority_baseline) * 100.0, {R}) AS gain_b,
+   round(CASE WHEN (b.share_minority - b.majority_baseline) = 0 THEN NULL
+         ELSE ((a.share_minority - a.majority_baseline) * 100.0) / ((b.share_minority - b.majority_baseline) * 100.0) END, {R}) AS ratio
+FROM a JOIN b USING (target)""")
+def compare_predictability(spark, d):
+    """E6 join of two per-language result tables (here: class-guard summaries with the minority share as
+    the compared metric), baseline from the first language; gain in pp and the cross-language ratio."""
+    out = pr.compare_results(_elig_lang(spark, d, "en"), _elig_lang(spark, d, "fr"), "target", ("share_minority",),
+                             suffixes=("_a", "_b"), order=_CMP_TARGETS)
+    return out.select("target", F.round("baseline", R).alias("baseline"),
+                      F.round("majority_baseline_b", R).alias("baseline_b"),
+                      F.round("gain_a_share_minority", R).alias("gain_a"),
+                      F.round("gain_b_share_minority", R).alias("gain_b"),
+                      F.round("ratio_share_minority", R).alias("ratio"))

@@ -221,3 +221,16 @@ def test_lr_separable(spark):
     m = LogisticRegression(regParam=1 / 40, standardization=False, maxIter=200).fit(df)
     acc = m.transform(df).where(F.col("prediction") == F.col("label")).count() / 40
     assert acc == 1.0
+
+
+def test_compare_results_published_gains(spark):
+    # MLP accuracy and majority baseline of the published result files (English, Hindi), targets in file order
+    en = [("child_gender", 0.3333333333333333, 0.605358051321707), ("nationality", 0.027777777777777776, 0.591067382230173)]
+    hi = [("child_gender", 0.3333333333333333, 0.5498158360635722), ("nationality", 0.027777777777777776, 0.03395348837209302)]
+    l = spark.createDataFrame(en, "target string, majority_baseline double, mlp_accuracy double")
+    r = spark.createDataFrame(hi, "target string, majority_baseline double, mlp_accuracy double")
+    out = {x.target: x for x in P.compare_results(l, r, "target", ("mlp_accuracy",)).collect()}
+    assert out["child_gender"].gain_a_mlp_accuracy == pytest.approx(27.202, abs=1e-3)
+    assert out["child_gender"].gain_b_mlp_accuracy == pytest.approx(21.648, abs=1e-3)
+    assert out["nationality"].gain_a_mlp_accuracy == pytest.approx(56.329, abs=1e-3)
+    assert out["nationality"].ratio_mlp_accuracy == pytest.approx(91.2, abs=0.1)
