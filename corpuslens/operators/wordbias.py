@@ -8,12 +8,14 @@ closed form from four counts:
     phi = (n*n11 - nx*ny) / sqrt(nx*(n-nx) * ny*(n-ny))        n11 = stories of v containing w
 
 Plan (no matrix, no cross join):
-  1. tokenise once; explode distinct words per story once for all factors (factors unpivoted);
-  2. (factor, value, word) -> n11 with map-side partial aggregation (the only large shuffle);
-  3. (factor, word) -> nx from the aggregated pairs; (factor, value) -> ny, n from the stories;
-  4. phi for co-occurring pairs; top-k per (factor, value) via a row_number window (WindowGroupLimit).
+  1. tokenise once; explode distinct words per story once for all factors (factors unpivoted), plus one
+     '' marker per story so the same aggregation also counts stories per value;
+  2. (factor, value, word) -> n11 with map-side partial aggregation (the only large shuffle), written once
+     to the shared checkpoint folder;
+  3. (factor, word) -> nx from the aggregate; phi for co-occurring pairs; top-k per (factor, value) via a
+     row_number window (WindowGroupLimit), written once (k rows per value).
 Pairs that never co-occur (n11 = 0) have phi = -sqrt(nx*ny / ((n-nx)*(n-ny))) < 0, decreasing in nx. They
-can only enter a value's top k when it has fewer than k words with phi > 0; only for such values the
+can only enter a value's top k when its top k is short or reaches phi <= 0; only for such values the
 k best absent words are generated: words ranked by (nx, word) within the factor, ranks 1..k+p_v exploded
 (p_v = words co-occurring with v), co-occurring ones removed. Work is bounded by the pair table.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import has_value
-from corpuslens.session import checkpoint_dir
+from corpuslens.session import materialize
 
 
 def _phi(n: Column, n11: Column, nx: Column, ny: Column) -> Column:
@@ -53,8 +55,7 @@ def word_bias(df: DataFrame, tokens: Column, factors: list[str], min_df: int = 5
              .groupBy("factor", "value", "word").agg(F.count(F.lit(1)).alias("n11")))
     # Written once to the shared checkpoint folder: later branches read the aggregate instead of re-running
     # tokenisation, and the lineage is cut (a lost executor does not re-trigger the text scan).
-    checkpoint_dir(df.sparkSession)
-    agg = agg.checkpoint(eager=True)
+    agg = materialize(agg, "word_pairs")
 
     totals = agg.where(F.col("word") == "").select("factor", "value", F.col("n11").alias("ny"))
     totals = totals.withColumn("n", F.sum("ny").over(Window.partitionBy("factor")))
@@ -68,28 +69,34 @@ def word_bias(df: DataFrame, tokens: Column, factors: list[str], min_df: int = 5
     present = (pairs.join(vocab, ["factor", "word"])
                     .join(eligible, ["factor", "value"])
                     .withColumn("phi", _phi(F.col("n"), F.col("n11"), F.col("nx"), F.col("ny"))))
-    cand = present.select("factor", "value", "word", "nx", "phi")
+    w = Window.partitionBy("factor", "value").orderBy(F.round("phi", 9).desc(), F.col("word").asc())
+    top = (present.select("factor", "value", "word", "nx", "phi")
+                  .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k))
+    # k rows per value: small, written once so the check below and the result share one computation
+    top = materialize(top, "word_bias_top")
 
     if exact_absent:
-        stats = present.groupBy("factor", "value").agg(
-            F.count(F.lit(1)).alias("p_v"), F.count_if(F.col("phi") > 0).alias("pos_v"))
-        needy = (eligible.join(stats, ["factor", "value"], "left")
-                         .select("factor", "value", "n", "ny", F.coalesce("p_v", F.lit(0)).alias("p_v"),
-                                 F.coalesce("pos_v", F.lit(0)).alias("pos_v"))
-                         .where(F.col("pos_v") < top_k))
-        ranked = vocab.withColumn("r", F.row_number().over(Window.partitionBy("factor").orderBy("nx", "word")))
-        want = needy.select("factor", "value", "n", "ny",
-                            F.explode(F.sequence(F.lit(1), F.col("p_v") + F.lit(top_k))).alias("r"))
-        absent = (want.join(ranked, ["factor", "r"])
-                      .join(pairs.select("factor", "value", "word"), ["factor", "value", "word"], "left_anti")
-                      .withColumn("phi", _phi(F.col("n"), F.lit(0), F.col("nx"), F.col("ny")))
-                      .select("factor", "value", "word", "nx", "phi"))
-        cand = cand.unionByName(absent)
-
-    w = Window.partitionBy("factor", "value").orderBy(F.round("phi", 9).desc(), F.col("word").asc())
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
-                .select("factor", F.col("value").alias("factor_value"), F.col("rank").cast("int").alias("rank"),
-                        "word", F.col("phi").alias("pearson_correlation"), F.col("nx").cast("bigint").alias("word_count")))
+        # A value needs absent words only if its top k is short or reaches phi <= 0 (absent pairs have phi < 0).
+        got = top.groupBy("factor", "value").agg(F.count(F.lit(1)).alias("m"), F.min("phi").alias("min_phi"))
+        needy = (eligible.join(got, ["factor", "value"], "left")
+                         .where(F.col("m").isNull() | (F.col("m") < top_k) | (F.col("min_phi") <= 0))
+                         .select("factor", "value", "n", "ny"))
+        if not needy.isEmpty():
+            p_v = (present.join(needy.select("factor", "value"), ["factor", "value"], "left_semi")
+                          .groupBy("factor", "value").agg(F.count(F.lit(1)).alias("p_v")))
+            needy = needy.join(p_v, ["factor", "value"], "left").fillna(0, subset=["p_v"])
+            ranked = vocab.withColumn("r", F.row_number().over(Window.partitionBy("factor").orderBy("nx", "word")))
+            want = needy.select("factor", "value", "n", "ny",
+                                F.explode(F.sequence(F.lit(1), F.col("p_v") + F.lit(top_k))).alias("r"))
+            absent = (want.join(ranked, ["factor", "r"])
+                          .join(pairs.select("factor", "value", "word"), ["factor", "value", "word"], "left_anti")
+                          .withColumn("phi", _phi(F.col("n"), F.lit(0), F.col("nx"), F.col("ny")))
+                          .select("factor", "value", "word", "nx", "phi"))
+            cand = top.drop("rank").unionByName(absent)
+            top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+
+    return top.select("factor", F.col("value").alias("factor_value"), F.col("rank").cast("int").alias("rank"),
+                      "word", F.col("phi").alias("pearson_correlation"), F.col("nx").cast("bigint").alias("word_count"))
 
 
 def doc_frequency(df: DataFrame, tokens: Column, min_df: int = 5) -> DataFrame:

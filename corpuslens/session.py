@@ -57,3 +57,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for materialised intermediate tables."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}-{os.getpid()}-{id(spark)}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor re-reads the table instead of recomputing the plan) and gives later
+    branches a columnar scan with pruning, unlike re-running an expensive upstream plan per branch."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/corpuslens-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
