@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.session import materialize
+
 
 def term_counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
     """key, term, tf (map-side partial aggregation collapses repeats inside a document)."""
@@ -34,7 +36,8 @@ def vocabulary(tf: DataFrame, key: str, n_docs: Column, max_features: int | None
 def tfidf(df: DataFrame, key: str, terms: Column, max_features: int | None = 5000, min_df: int = 1):
     """Returns (weights, vocab). weights: key, term, index, w (L2-normalised per document)."""
     n_docs = df.agg(F.count(F.lit(1))).scalar()
-    tf = term_counts(df, key, terms)
+    # tf feeds both the vocabulary and the weights: written once so the text is tokenised once
+    tf = materialize(term_counts(df, key, terms), "term_counts")
     vocab = vocabulary(tf, key, n_docs, max_features, min_df)
     small = F.broadcast(vocab) if max_features is not None else vocab  # bounded by max_features
     w = tf.join(small.select("term", "idf", "index"), "term").withColumn("w", F.col("tf") * F.col("idf"))

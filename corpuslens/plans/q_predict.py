@@ -32,7 +32,7 @@ w AS (SELECT tf.doc_id, tf.term, v.idx, CAST(tf.tf AS DOUBLE) * v.idf AS w FROM
 
 
 def _tfidf(spark, d):
-    docs = _docs(spark, d)
+    docs = tv.stories(spark, d)
     return tfidf(docs, "id", terms(F.col("story")), MAX_FEATURES, MIN_DF)
 
 
