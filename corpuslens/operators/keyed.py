@@ -65,3 +65,31 @@ def categorize(df: DataFrame, keys: list[str], items: Column, dim: DataFrame, di
 def normalised_attr(c, lower) -> Column:
     t = trim_ws(c)
     return F.when(lower, F.lower(t)).otherwise(t) if isinstance(lower, Column) else (F.lower(t) if lower else t)
+
+
+def enrich(df: DataFrame, constants: dict) -> DataFrame:
+    """Add constant columns (model name, language, ...) to every record."""
+    return df.withColumns({k: F.lit(v) for k, v in constants.items()})
+
+
+def project(df: DataFrame, mapping: dict[str, str], default: str | None = "") -> DataFrame:
+    """Select and rename ``{source: target}``; missing values become ``default`` (None keeps NULL)."""
+    cols = []
+    for src, dst in mapping.items():
+        c = F.col(src) if src in df.columns else F.lit(None).cast("string")
+        cols.append((F.coalesce(c, F.lit(default)) if default is not None else c).alias(dst))
+    return df.select(*cols)
+
+
+def parse_response(df: DataFrame, col: str, schema: str, keys: list[str], corrupt: str = "_corrupt") -> DataFrame:
+    """Parse a JSON text column into fields: keys..., parsed fields..., ``corrupt`` (bad JSON -> NULL fields
+    and true). Parsed fields named like a key are dropped: keys always come from the base record."""
+    from pyspark.sql.types import StructType
+
+    st = StructType.fromDDL(schema)
+    fields = [f.name for f in st.fields if f.name not in keys]
+    st = st.add("_corrupt_record", "string")
+    parsed = F.from_json(F.col(col), st, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    out = df.select(*keys, parsed.alias("_p"))
+    return out.select(*keys, *[F.col("_p")[f].alias(f) for f in fields],
+                      F.col("_p._corrupt_record").isNotNull().alias(corrupt))

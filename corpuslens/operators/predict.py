@@ -189,3 +189,11 @@ def compare_results(left: DataFrame, right: DataFrame, on: str = "target", metri
         ords = F.create_map(*[x for i, t in enumerate(order) for x in (F.lit(t), F.lit(i))])
         j = j.withColumn("ord", ords[F.col(on)]).where(F.col("ord").isNotNull())
     return j
+
+
+def chart_table(results: DataFrame, targets: list[str], metrics: tuple[str, ...] = ("majority_baseline", "lr_accuracy",
+                                                                                    "mlp_accuracy")) -> DataFrame:
+    """Chart data: the listed targets in the given order, metrics as percentages."""
+    ords = F.create_map(*[x for i, t in enumerate(targets) for x in (F.lit(t), F.lit(i))])
+    out = results.withColumn("ord", ords[F.col("target")]).where(F.col("ord").isNotNull())
+    return out.select("ord", "target", *[(F.col(m) * 100.0).alias(f"{m}_pct") for m in metrics]).orderBy("ord")

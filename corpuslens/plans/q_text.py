@@ -8,6 +8,7 @@ from corpuslens.functions.text import (ANALYSIS_REMOVE_WORDS, PREDICT_STOP_EN, h
                                        split_multivalue, strip_words_substring, strip_words_whole, terms)
 from corpuslens.operators.complexity import (METRICS, READABILITY, complexity, describe_by, describe_overall,
                                              range_share)
+from corpuslens.operators.keyed import parse_response
 from corpuslens.plans import sqltext as q
 from corpuslens.plans.registry import register
 from corpuslens.sources import testviews as tv
@@ -179,8 +180,7 @@ def pretty_labels(spark, sf_dir):
 
 @register("parse_json_props", """
 SELECT event_id AS id, TRY_CAST(json_extract(props, '$.k') AS DOUBLE) AS k,
-       (json_extract(props, '$.k') IS NULL) AS corrupt FROM events""")
+       (props IS NOT NULL AND NOT json_valid(props)) AS corrupt FROM events""")
 def parse_json_props(spark, sf_dir):
-    e = tv.table(spark, sf_dir, "events")
-    parsed = F.from_json(F.col("props"), "k double")
-    return e.select(F.col("event_id").alias("id"), parsed["k"].alias("k"), parsed["k"].isNull().alias("corrupt"))
+    e = tv.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "props")
+    return parse_response(e, "props", "k double", ["id"], "corrupt")

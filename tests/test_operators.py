@@ -234,3 +234,44 @@ def test_compare_results_published_gains(spark):
     assert out["child_gender"].gain_b_mlp_accuracy == pytest.approx(21.648, abs=1e-3)
     assert out["nationality"].gain_a_mlp_accuracy == pytest.approx(56.329, abs=1e-3)
     assert out["nationality"].ratio_mlp_accuracy == pytest.approx(91.2, abs=0.1)
+
+
+def test_sinks_round_trip(spark, tmp_path):
+    from corpuslens.sources.io import read_csv, read_json_map, read_table, write_table
+    df = spark.createDataFrame([(1, "hindi", "a"), (2, "english", "b")], "id long, language string, story string")
+    for fmt in ("parquet", "json", "csv"):
+        path = str(tmp_path / fmt)
+        write_table(df, path, fmt, mode="append", partition_by=["language"])
+        write_table(df.limit(0), path, fmt, mode="append", partition_by=["language"])
+        back = read_table(spark, path, fmt, schema=df.schema if fmt != "csv" else None, language="english") \
+            if fmt != "csv" else spark.read.option("header", True).csv(path).where(F.col("language") == "english")
+        assert [r.story for r in back.collect()] == ["b"], fmt
+    p = tmp_path / "map.json"
+    p.write_text('{"kind": "emotional", "tall": "physical"}')
+    m = {r.key: r.value for r in read_json_map(spark, str(p)).collect()}
+    assert m == {"kind": "emotional", "tall": "physical"}
+    c = tmp_path / "res.csv"
+    c.write_text("target,n\nreligion,180\n")
+    assert read_csv(spark, str(c), "target string, n long").collect()[0].n == 180
+
+
+def test_project_enrich_parse(spark):
+    df = spark.createDataFrame([(1, None, '{"traits": "kind", "id": 9}'), (2, "mother", "{bad")],
+                               "id long, parent_role string, raw string")
+    p = K.project(df, {"id": "id", "parent_role": "role"}).collect()
+    assert [r.role for r in p] == ["", "mother"]
+    e = K.enrich(df, {"model_name": "m", "language": "english"}).select("model_name").distinct().collect()
+    assert e[0].model_name == "m"
+    parsed = K.parse_response(df, "raw", "traits string, id long", ["id"])
+    assert parsed.columns == ["id", "traits", "_corrupt"]
+    base = df.select("id", "parent_role")
+    att = K.attach_keys(base, parsed, ["id"])
+    rows = {r.id: r for r in att.collect()}
+    assert rows[1].traits == "kind" and rows[2]._corrupt
+
+
+def test_chart_table(spark):
+    r = spark.createDataFrame([("religion", 0.1, 0.5, 0.6), ("x", 0.2, 0.3, 0.4)],
+                              "target string, majority_baseline double, lr_accuracy double, mlp_accuracy double")
+    out = P.chart_table(r, ["religion"]).collect()
+    assert len(out) == 1 and out[0].lr_accuracy_pct == pytest.approx(50.0)
