@@ -35,8 +35,8 @@ def eligible_rows(df: DataFrame, label: str, min_class_size: int = 3, min_rows:
         keep = cc.where(F.col("n") >= min_class_size)
     else:
         keep = cc
-    # class table: one row per class (bounded by the label domain)
-    rows = lab.join(F.broadcast(keep.select(label)), label, "left_semi")
+    # class table: one row per class; AQE broadcasts it when its measured size allows
+    rows = lab.join(keep.select(label), label, "left_semi")
     s = keep.agg(F.sum("n").cast("bigint").alias("n_samples"), F.count(F.lit(1)).cast("bigint").alias("n_classes"),
                  F.min("n").alias("min_class"), F.max("n").alias("max_class"))
     s = s.withColumn("n_splits", F.least(F.lit(5), F.col("min_class")).cast("int"))

@@ -348,7 +348,9 @@ def theme_heatmap(spark, d):
                                   F.min(F.struct("rel_ord", *KEYS, "pos")).alias("seen"))
     top6 = tot.orderBy(F.col("n").desc(), F.col("seen").asc()).limit(6).select("theme")
     counts = ex.join(F.broadcast(top6), "theme").groupBy("religion", "theme").agg(F.count(F.lit(1)).alias("n"))
-    grid = rel.select("religion").crossJoin(top6)  # 10 x 6 cells at most: both sides are fixed-size lists
+    # the six top themes as one array (a scalar subquery over <= 6 rows), exploded per religion row
+    top_arr = top6.agg(F.collect_list("theme")).scalar()
+    grid = rel.select("religion", F.explode(top_arr).alias("theme"))
     m = grid.join(counts, ["religion", "theme"], "left").fillna(0, subset=["n"])
     tot_r = F.sum("n").over(Window.partitionBy("religion"))
     pct = F.when(tot_r == 0, F.lit(0.0)).otherwise(F.col("n") * 100.0 / tot_r)
