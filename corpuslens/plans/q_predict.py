@@ -110,10 +110,10 @@ tot AS (SELECT source, sum(n) AS t FROM cls GROUP BY source),
 cf AS (SELECT tot.source, fs.fold, tot.t, coalesce(cls.n, 0) AS n FROM tot CROSS JOIN (SELECT unnest(range(0, {K})) AS fold) fs
    LEFT JOIN cls ON cls.source = tot.source AND cls.fold = fs.fold),
 pf AS (SELECT fold, arg_min(source, {{'neg': -(t - n), 'lab': source}}) AS mode, sum(n) AS test_n FROM cf GROUP BY fold)
-SELECT pf.fold, pf.mode, round(CAST(cf.n AS DOUBLE) / pf.test_n, {R}) AS accuracy FROM pf JOIN cf ON cf.fold = pf.fold AND cf.source = pf.mode""")
+SELECT CAST(pf.fold AS INTEGER) AS fold, pf.mode, round(CAST(cf.n AS DOUBLE) / pf.test_n, {R}) AS accuracy FROM pf JOIN cf ON cf.fold = pf.fold AND cf.source = pf.mode""")
 def dummy_cv(spark, d):
     out = pr.dummy_cv(_folded(spark, d), FOLD_TARGET, K)
-    return out.withColumn("accuracy", F.round("accuracy", R))
+    return out.withColumn("accuracy", F.round("accuracy", R)).withColumn("fold", F.col("fold").cast("int"))
 
 
 # ----------------------------------------------------------------------------------------------- G10-G12, G14

@@ -59,7 +59,7 @@ def scan_stories(spark, d):
 
 
 @register("scan_by_language", """SELECT lang AS language, count(*) AS stories, sum(n_chars) AS chars
-   FROM documents WHERE lang IN ('en', 'de') GROUP BY lang""")
+   FROM documents WHERE lang IN ('en', 'de') GROUP BY lang""".replace("sum(n_chars)", "CAST(sum(n_chars) AS BIGINT)"))
 def scan_by_language(spark, d):
     s = tv.table(spark, d, "documents").where(F.col("lang").isin("en", "de"))
     return s.groupBy(F.col("lang").alias("language")).agg(F.count(F.lit(1)).alias("stories"),
