@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.functions.text import trim_ws
 
 
 def dedup_last_wins(df: DataFrame, keys: list[str], ord_col: str) -> DataFrame:
@@ -62,11 +61,6 @@ def categorize(df: DataFrame, keys: list[str], items: Column, dim: DataFrame, di
     return out
 
 
-def normalised_attr(c, lower) -> Column:
-    t = trim_ws(c)
-    return F.when(lower, F.lower(t)).otherwise(t) if isinstance(lower, Column) else (F.lower(t) if lower else t)
-
-
 def enrich(df: DataFrame, constants: dict) -> DataFrame:
     """Add constant columns (model name, language, ...) to every record."""
     return df.withColumns({k: F.lit(v) for k, v in constants.items()})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.text import normalise, render_top, split_multivalue
 from corpuslens.operators.counts import (crosstab, explode_items, global_rank, item_counts_by_factors, leaning,
-                                         share_within, top_k_by_group, union_top, value_counts)
+                                         share_within, union_top, value_counts)
 from corpuslens.operators.keyed import categorize, dedup_last_wins, merge_keyed
 from corpuslens.plans import sqltext as q
 from corpuslens.plans.registry import register
@@ -401,5 +401,3 @@ def corpus_stats(spark, d):
         F.round(F.avg(F.size(plain_tokens(F.col("story")))), R).alias("avg_words"),
         F.count_if(tox == 1).alias("flagged"), F.round(F.avg(tox.cast("double")), R).alias("flag_rate"))
 
-
-_ = top_k_by_group  # re-exported helper used by other query modules

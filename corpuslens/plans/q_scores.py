@@ -8,8 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corpuslens.functions.maps import flagged_keys
-from corpuslens.functions.text import (PUNCT_CLASS, TOKEN_PUNCTUATION, WORD_BIAS_STOP_EN, PREDICT_STOP_EN,
-                                       strip_words_whole, terms)
+from corpuslens.functions.text import PREDICT_STOP_EN, PUNCT_CLASS, WORD_BIAS_STOP_EN, strip_words_whole, terms
 from corpuslens.operators import scores as sc
 from corpuslens.operators.similarity import agreement
 from corpuslens.operators.tfidf import sparse_cosine, term_counts, tfidf, vocabulary
@@ -179,5 +178,3 @@ def toxicity_model_scores(spark, d):
     scored = sc.model_scores(docs, "id", "_terms", "toxic", vocab)
     return scored
 
-
-_ = TOKEN_PUNCTUATION
