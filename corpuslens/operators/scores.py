@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.functions.maps import key_matches
+
 # Fixed value: category names are normalised by mapping '/' and '-' to '_' ('self-harm' == 'self_harm').
 CATEGORY_SEPARATORS = "[/-]"
 
@@ -51,7 +53,7 @@ def score_by_factor(long: DataFrame, records: DataFrame, group: str, pattern: st
     The (group x category) grid comes from a pivot over the matching categories (their list is aggregated
     from the data), not from a cross join."""
     n_g = records.groupBy(group).agg(F.count(F.lit(1)).alias("_ng"))
-    m = long.where(F.col("category").rlike(pattern))
+    m = long.where(key_matches(F.col("category"), pattern))
     wide = m.groupBy(group).pivot("category").agg(F.sum("score"))
     cats = [c for c in wide.columns if c != group]
     if not cats:

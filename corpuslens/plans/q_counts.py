@@ -37,10 +37,11 @@ def _traits():
     return split_multivalue(F.col("traits"))
 
 
-def _joined(spark, d):
-    """annotations LEFT JOIN de-duplicated factor stories (last wins); annotation columns take precedence."""
+def _joined(spark, d, nationality: bool = True):
+    """annotations LEFT JOIN de-duplicated factor stories (last wins); annotation columns take precedence.
+    The supplier/nation lookups are joined only when the nationality factor is used."""
     fs = dedup_last_wins(tv.factor_stories(spark, d), KEYS, "ord")
-    fs = tv.with_nationality(spark, d, fs).drop("suppkey")
+    fs = (tv.with_nationality(spark, d, fs) if nationality else fs).drop("suppkey")
     return merge_keyed(_ann(spark, d), fs, KEYS, "left")
 
 
@@ -124,7 +125,7 @@ _F2_SQL = _with(ANN_SQL, FS_SQL, JEX_SQL, "u AS (" + " UNION ALL ".join(
 
 @register("traits_by_joined_factor", _F2_SQL + "SELECT * FROM r WHERE rank <= 6")
 def traits_by_joined_factor(spark, d):
-    out = item_counts_by_factors(_joined(spark, d), ["religion", "ethnicity"], _traits(), KEYS, top_k=6,
+    out = item_counts_by_factors(_joined(spark, d, False), ["religion", "ethnicity"], _traits(), KEYS, top_k=6,
                                  drop_blank=True)
     return out.withColumnRenamed("group", "group_value")
 
@@ -338,7 +339,7 @@ _REL_SQL = "rel(religion, rel_ord) AS (VALUES " + ", ".join(f"('{r}', {i})" for
     f"""SELECT religion, theme, n, round(CASE WHEN sum(n) OVER (PARTITION BY religion) = 0 THEN 0.0
    ELSE n * 100.0 / sum(n) OVER (PARTITION BY religion) END, {R}) AS pct FROM m""")
 def theme_heatmap(spark, d):
-    j = _joined(spark, d)
+    j = _joined(spark, d, False)
     rel = spark.createDataFrame([(r, i) for i, r in enumerate(RELIGIONS)], "religion string, rel_ord int")
     themes = F.transform(split_multivalue(F.col("theme")),
                          lambda x: F.when(F.col("language") == "english", F.lower(x)).otherwise(x))

@@ -275,3 +275,15 @@ def test_chart_table(spark):
                               "target string, majority_baseline double, lr_accuracy double, mlp_accuracy double")
     out = P.chart_table(r, ["religion"]).collect()
     assert len(out) == 1 and out[0].lr_accuracy_pct == pytest.approx(50.0)
+
+
+def test_score_lookup_and_prompt_language(spark):
+    from corpuslens.functions.maps import flagged_keys, score_lookup
+    df = spark.createDataFrame([({"violence": 0.5, "self_harm": 0.1}, {"a": True, "b": False})],
+                               "m map<string,double>, f map<string,boolean>")
+    r = df.select(score_lookup("m", "violence").alias("v"), score_lookup("m", "hate").alias("h"),
+                  flagged_keys("f").alias("k")).collect()[0]
+    assert (r.v, r.h, r.k) == (0.5, 0.0, ["a"])
+    p = spark.createDataFrame([("hindi", "E", "H"), ("english", "E", "H")], "language string, prompt_en string, prompt_hi string")
+    got = [x[0] for x in p.select(W.prompt_for_language(p, F.col("language"))).collect()]
+    assert got == ["H", "E"]
