@@ -44,8 +44,16 @@ def item_counts(df: DataFrame, group: str | Column, items: Column, keys: list[st
     ex = df.select(g, *keys, items.alias("_items"))
     ex = explode_items(ex, F.col("_items"), keys, keep=[group_name])
     counts = ex.groupBy(group_name, "item").agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("seen"))
-    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy(group_name)))
-    return top_k_by_group(counts, [group_name], top_k).select(group_name, "item", "n", "total", "rank")
+    return _with_totals(top_k_by_group(counts, [group_name], top_k), counts, [group_name]) \
+        .select(group_name, "item", "n", "total", "rank")
+
+
+def _with_totals(top: DataFrame, counts: DataFrame, group: list[str]) -> DataFrame:
+    """Attach the group total to the top-k rows. The total is a grouped sum (one row per group) joined
+    back, not a window: a window sum would send a whole group's items to one task and would stop the
+    rank window from being limited map-side (WindowGroupLimit)."""
+    totals = counts.groupBy(*group).agg(F.sum("n").alias("total"))
+    return top.join(totals, group)
 
 
 def unpivot(df: DataFrame, cols: list[str], name: str = "factor", value: str = "value",
@@ -63,8 +71,8 @@ def item_counts_by_factors(df: DataFrame, factors: list[str], items: Column, key
     u = u.where(has_value("group")) if drop_blank else u.withColumn("group", or_unknown("group"))
     ex = explode_items(u, F.col("_items"), keys, keep=["factor", "group"])
     counts = ex.groupBy("factor", "group", "item").agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("seen"))
-    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("factor", "group")))
-    return top_k_by_group(counts, ["factor", "group"], top_k).select("factor", "group", "item", "n", "total", "rank")
+    top = top_k_by_group(counts, ["factor", "group"], top_k)
+    return _with_totals(top, counts, ["factor", "group"]).select("factor", "group", "item", "n", "total", "rank")
 
 
 def pair_counts(df: DataFrame, group: str, items: Column, keys: list[str], a: str, b: str) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.operators.partitioning import rank_within
 from corpuslens.session import materialize
 
 
@@ -22,27 +23,36 @@ def term_counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
 
 
 def vocabulary(tf: DataFrame, key: str, n_docs: Column, max_features: int | None = 5000,
-               min_df: int = 1) -> DataFrame:
+               min_df: int = 1, with_index: bool = True) -> DataFrame:
     """term, df, total, idf, index (alphabetical position inside the kept vocabulary)."""
     v = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     v = v.where(F.col("df") >= min_df)
     if max_features is not None:
         v = v.orderBy(F.col("total").desc(), F.col("term").asc()).limit(max_features)
     v = v.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
-    # index over the kept vocabulary only (<= max_features rows): bounded window
-    return v.withColumn("index", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
+    if not with_index:
+        return v
+    if max_features is not None:
+        # index over the kept vocabulary only (<= max_features rows): a bounded window
+        return v.withColumn("index", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
+    # unbounded vocabulary: distributed rank instead of a one-task global window
+    return rank_within(v, [], [F.col("term")], "_r").withColumn("index", (F.col("_r") - 1).cast("int")).drop("_r")
 
 
-def tfidf(df: DataFrame, key: str, terms: Column, max_features: int | None = 5000, min_df: int = 1):
-    """Returns (weights, vocab). weights: key, term, index, w (L2-normalised per document)."""
+def tfidf(df: DataFrame, key: str, terms: Column, max_features: int | None = 5000, min_df: int = 1,
+          with_index: bool = True):
+    """Returns (weights, vocab). weights: key, term, [index,] w (L2-normalised per document).
+    ``with_index`` adds the vector position of each term (needed for ML vectors, not for cosine joins)."""
     n_docs = df.agg(F.count(F.lit(1))).scalar()
     # tf feeds both the vocabulary and the weights: written once so the text is tokenised once
     tf = materialize(term_counts(df, key, terms), "term_counts")
-    vocab = vocabulary(tf, key, n_docs, max_features, min_df)
+    vocab = vocabulary(tf, key, n_docs, max_features, min_df, with_index)
     small = F.broadcast(vocab) if max_features is not None else vocab  # bounded by max_features
-    w = tf.join(small.select("term", "idf", "index"), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    cols = ["term", "idf"] + (["index"] if with_index else [])
+    w = tf.join(small.select(*cols), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    # per-document norm: a document's distinct terms, bounded by the document itself
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return w.withColumn("w", F.col("w") / norm).select(key, "term", "index", "w"), vocab
+    return w.withColumn("w", F.col("w") / norm).select(key, *[c for c in cols if c != "idf"], "w"), vocab
 
 
 def tfidf_vectors(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, out: str = "features") -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import has_value
+from corpuslens.operators.partitioning import rank_within
 from corpuslens.session import materialize
 
 
@@ -85,7 +86,8 @@ def word_bias(df: DataFrame, tokens: Column, factors: list[str], min_df: int = 5
             p_v = (present.join(needy.select("factor", "value"), ["factor", "value"], "left_semi")
                           .groupBy("factor", "value").agg(F.count(F.lit(1)).alias("p_v")))
             needy = needy.join(p_v, ["factor", "value"], "left").fillna(0, subset=["p_v"])
-            ranked = vocab.withColumn("r", F.row_number().over(Window.partitionBy("factor").orderBy("nx", "word")))
+            # words by (nx, word) inside each factor: distributed rank, not a one-task window per factor
+            ranked = rank_within(vocab, ["factor"], [F.col("nx"), F.col("word")], "r")
             want = needy.select("factor", "value", "n", "ny",
                                 F.explode(F.sequence(F.lit(1), F.col("p_v") + F.lit(top_k))).alias("r"))
             absent = (want.join(ranked, ["factor", "r"])

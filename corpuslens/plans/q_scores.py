@@ -127,7 +127,7 @@ dots AS (SELECT p.conv_id, p.turn, sum(x.w * y.w) AS c FROM pairs p JOIN w x ON
 SELECT p.conv_id, p.turn, round(coalesce(d.c, 0.0), {R}) AS cosine FROM pairs p LEFT JOIN dots d USING (conv_id, turn)""")
 def tfidf_cosine(spark, d):
     c = tv.table(spark, d, "conversations").withColumn("k", F.concat_ws(":", "conv_id", "turn"))
-    w, _ = tfidf(c, "k", terms(F.col("text")), max_features=None, min_df=1)
+    w, _ = tfidf(c, "k", terms(F.col("text")), max_features=None, min_df=1, with_index=False)
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("k").alias("right"))
     pairs = c.select("conv_id", "turn", F.col("k").alias("left")).join(nxt, ["conv_id", "turn"])
     pairs = pairs.withColumn("pair_id", F.col("left"))
