@@ -127,10 +127,16 @@ def value_counts(df: DataFrame, group: str, attrs: list[str], keys: list[str], t
 
 def share_within(counts: DataFrame, group: list[str], n: str = "n", pct: str = "pct",
                  floor_one: bool = True) -> DataFrame:
-    """Percentage of ``n`` within its group; denominator max(1, total) when ``floor_one``."""
-    tot = F.sum(n).over(Window.partitionBy(*group)) if group else F.sum(n).over(Window.partitionBy())
-    den = F.greatest(tot, F.lit(1)) if floor_one else tot
-    return counts.withColumn(pct, F.col(n) * F.lit(100.0) / den)
+    """Percentage of ``n`` within its group; denominator max(1, total) when ``floor_one``.
+    Group totals are a grouped sum joined back (one row per group); the overall total is a scalar subquery."""
+    if group:
+        tot = counts.groupBy(*group).agg(F.sum(n).alias("_tot"))
+        out = counts.join(tot, group)
+        den = F.col("_tot")
+    else:
+        out, den = counts, counts.agg(F.sum(n)).scalar()
+    den = F.greatest(den, F.lit(1)) if floor_one else den
+    return out.withColumn(pct, F.col(n) * F.lit(100.0) / den).drop("_tot")
 
 
 def crosstab(df: DataFrame, row: str, col: str, col_values: list[str], row_values: list[str] | None = None,

@@ -35,8 +35,10 @@ def incremental_score(spark: SparkSession, source: str, source_schema: T.StructT
     _ensure_table(spark, sink, out_schema)
 
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
-        done = batch.sparkSession.read.parquet(sink).select(*keys)
         todo = prepare(batch).dropDuplicates(keys)
+        # Keys of this batch already in the sink: the sink's key column is semi-joined with the batch's keys
+        # (the small side, which AQE can broadcast), so the growing sink is scanned, never shuffled.
+        done = batch.sparkSession.read.parquet(sink).select(*keys).join(todo.select(*keys), keys, "left_semi")
         score_with(todo, scorer, out_schema, keys, done).write.mode("append").parquet(sink)
 
     q = (spark.readStream.schema(source_schema).parquet(source).writeStream
