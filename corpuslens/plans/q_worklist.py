@@ -134,15 +134,19 @@ def pending_traits(spark, d):
     return items.join(done, "trait", "left_anti")
 
 
-@register("trait_batches", f"""WITH {ANN_SQL}, {EX_SQL},
+@register("trait_batches", f"""WITH {ANN_SQL}, {EX_SQL}, dim(trait) AS (VALUES {_DIM_VALUES}),
 c AS (SELECT item, count(*) AS n, min({{'id': id, 'story_index': story_index, 'pos': pos}}) AS seen FROM ex GROUP BY item),
-r AS (SELECT item, row_number() OVER (ORDER BY n DESC, seen ASC) AS rk FROM c)
+p AS (SELECT * FROM c WHERE item NOT IN (SELECT trait FROM dim)),
+r AS (SELECT item, row_number() OVER (ORDER BY n DESC, seen ASC) AS rk FROM p)
 SELECT CAST(floor((rk - 1) / {BATCH}) AS BIGINT) AS batch, string_agg(item, '|' ORDER BY rk) AS items, count(*) AS n
 FROM r GROUP BY ALL""")
 def trait_batches(spark, d):
+    """Traits not yet categorised, in frequency order (ties: first appearance), cut into batches."""
     keys = ["id", "story_index"]
     ex = explode_items(tv.annotations(spark, d).select(*keys, split_multivalue(F.col("traits")).alias("_i")),
                        F.col("_i"), keys)
     c = ex.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("seen"))
-    b = wl.chunk(c, [F.col("n").desc(), F.col("seen").asc()], BATCH)
+    done = spark.createDataFrame([(a,) for a, _ in TRAIT_DIM], "item string")
+    pending = c.join(done, "item", "left_anti")
+    b = wl.chunk(pending, [F.col("n").desc(), F.col("seen").asc()], BATCH)
     return b.select("batch", F.array_join("items", "|").alias("items"), "n")

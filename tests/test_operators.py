@@ -287,3 +287,10 @@ def test_score_lookup_and_prompt_language(spark):
     p = spark.createDataFrame([("hindi", "E", "H"), ("english", "E", "H")], "language string, prompt_en string, prompt_hi string")
     got = [x[0] for x in p.select(W.prompt_for_language(p, F.col("language"))).collect()]
     assert got == ["H", "E"]
+
+
+def test_chunk_batches_in_order(spark):
+    items = spark.createDataFrame([(f"t{i:03d}", 100 - i) for i in range(75)], "item string, n long")
+    b = sorted(W.chunk(items, [F.col("n").desc()], 30).collect(), key=lambda r: r.batch)
+    assert [r.n for r in b] == [30, 30, 15]
+    assert b[0]["items"][:2] == ["t000", "t001"] and b[2]["items"][-1] == "t074"
