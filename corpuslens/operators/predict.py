@@ -129,45 +129,54 @@ def predictability(df: DataFrame, key: str, text: Column, targets: list[str], ma
                    mlp_max_iter: int = 300, seed: int = SEED) -> DataFrame:
     """One row per eligible target: target, n_samples, n_classes, majority_baseline, lr_accuracy, lr_std,
     mlp_accuracy, mlp_std, n_splits. ``text`` is the (cleaned) text column; terms use the TF-IDF tokeniser.
-    As in the reference, the vectoriser is fitted on all rows of the target before cross-validation."""
+    As in the reference, the vectoriser is fitted on all rows of the target before cross-validation.
+    Targets and models run one after another (each evaluation already runs its k fits concurrently), which
+    keeps the number of models held by the driver at k."""
     from pyspark.ml.feature import StringIndexer
 
     from corpuslens.functions.text import terms as term_expr
     from corpuslens.operators.tfidf import term_counts, tfidf_vectors, vocabulary
+    from corpuslens.sources.schemas import PREDICTABILITY
 
     spark = df.sparkSession
-    out = []
     base = df.select(key, *targets, term_expr(text).alias("_terms"))
-    for target in targets:
+
+    def prepare(target: str):
         rows, summary = eligible_rows(base, target, min_class_size, 10, "filter")
         s = summary.collect()[0]  # one summary row
         if not s["eligible"]:
-            continue
+            return None
         k = int(s["n_splits"])
         rows = rows.select(key, target, "_terms")
         n_docs = rows.agg(F.count(F.lit(1))).scalar()
         vocab = vocabulary(term_counts(rows, key, F.col("_terms")), key, n_docs, max_features, min_df)
         feats = tfidf_vectors(rows, key, "_terms", vocab)
         idx = StringIndexer(inputCol=target, outputCol="label_idx", stringOrderType="alphabetAsc").fit(feats)
-        feats = idx.transform(feats)
-        folded = stratified_folds(feats, target, key, k, seed).select(key, "fold", "label_idx", "features")
+        folded = stratified_folds(idx.transform(feats), target, key, k, seed).select(key, "fold", "label_idx",
+                                                                                     "features")
         # Iterative fits re-read the training set every iteration: size partitions to the data so small
         # targets do not pay per-task overhead on each L-BFGS step, large ones keep full parallelism.
         parts = max(1, min(spark.sparkContext.defaultParallelism, int(s["n_samples"]) // ROWS_PER_FIT_PARTITION))
         folded = folded.repartition(parts).persist()
-        n_feat = vocab.count()
         rec = {"target": target, "n_samples": int(s["n_samples"]), "n_classes": int(s["n_classes"]),
                "majority_baseline": float(s["majority_baseline"]), "n_splits": k}
+        return rec, folded, vocab.count()
+
+    out = []
+    for target in targets:
+        p = prepare(target)
+        if p is None:
+            continue
+        rec, folded, n_feat = p
         for m in ("lr", "mlp"):
             if m in models:
-                acc = cv_accuracy(folded, "features", "label_idx", k, m, int(s["n_classes"]), n_feat,
+                acc = cv_accuracy(folded, "features", "label_idx", rec["n_splits"], m, rec["n_classes"], n_feat,
                                   lr_max_iter if m == "lr" else mlp_max_iter, seed).collect()[0]
                 rec[f"{m}_accuracy"], rec[f"{m}_std"] = float(acc["accuracy"]), float(acc["std"])
             else:
                 rec[f"{m}_accuracy"], rec[f"{m}_std"] = None, None
         folded.unpersist()
         out.append(rec)
-    from corpuslens.sources.schemas import PREDICTABILITY
     return spark.createDataFrame([tuple(r[f.name] for f in PREDICTABILITY.fields) for r in out], PREDICTABILITY)
 
 

@@ -188,3 +188,4 @@ def compare_predictability(spark, d):
                       F.round("gain_a_share_minority", R).alias("gain_a"),
                       F.round("gain_b_share_minority", R).alias("gain_b"),
                       F.round("ratio_share_minority", R).alias("ratio"))
+
