@@ -12,10 +12,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     shuffle of raw text is added at scale; a single-row-group file is spread before CPU-heavy text work.
     """
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or spark.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a remote session): leave partitioning to the planner
+        return df
+    return df.repartition(target) if current < target else df
 
 
 def rank_within(df: DataFrame, group: list[str], order: list, rank_col: str = "rank") -> DataFrame:
