@@ -294,3 +294,23 @@ def test_chunk_batches_in_order(spark):
     b = sorted(W.chunk(items, [F.col("n").desc()], 30).collect(), key=lambda r: r.batch)
     assert [r.n for r in b] == [30, 30, 15]
     assert b[0]["items"][:2] == ["t000", "t001"] and b[2]["items"][-1] == "t074"
+
+
+def test_word_bias_with_a_hot_value(spark):
+    # one value holds a third of the stories; results still equal brute force
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(i, "hot" if i % 3 == 0 else rnd.choice(["a", "b", "c", "d"]), rnd.sample(words, 5)) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, f string, toks array<string>")
+    got = word_bias(df, F.col("toks"), ["f"], min_df=2, min_value=3, top_k=8).collect()
+    exp = _brute(rows, 8, min_df=2)
+    for v, lst in exp.items():
+        g = sorted([r for r in got if r.factor_value == v], key=lambda r: r.rank)
+        assert [r.word for r in g] == [w for w, _ in lst], v
+
+
+def test_dedup_hot_key(spark):
+    rows = [(1, i, f"v{i}") for i in range(300)] + [(k, 0, "x") for k in range(2, 200)]
+    df = spark.createDataFrame(rows, "id long, ord long, v string")
+    out = {r.id: r.v for r in K.dedup_last_wins(df, ["id"], "ord").collect()}
+    assert out[1] == "v299" and len(out) == 199
