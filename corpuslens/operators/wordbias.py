@@ -50,7 +50,7 @@ def word_bias(df: DataFrame, tokens: Column, factors: list[str], min_df: int = 5
     fd = factor_docs(df, tokens, factors)
     # One pass over the text: every story contributes its distinct words plus one '' marker (tokens are
     # never blank), so the same aggregation yields n11 per (value, word) and ny per value (the '' rows).
-    # All later branches read this one aggregate (the shuffle is reused, the text is tokenised once).
+    # All later branches read this one aggregate, so the text is tokenised once.
     marked = F.array_union(F.col("words"), F.array(F.lit("")))
     agg = (fd.select("factor", "value", F.explode(marked).alias("word"))
              .groupBy("factor", "value", "word").agg(F.count(F.lit(1)).alias("n11")))
@@ -90,8 +90,10 @@ def word_bias(df: DataFrame, tokens: Column, factors: list[str], min_df: int = 5
             ranked = rank_within(vocab, ["factor"], [F.col("nx"), F.col("word")], "r")
             want = needy.select("factor", "value", "n", "ny",
                                 F.explode(F.sequence(F.lit(1), F.col("p_v") + F.lit(top_k))).alias("r"))
+            # co-occurring pairs of the needy values only (semi-join with the small needy table)
+            seen = pairs.join(needy.select("factor", "value"), ["factor", "value"], "left_semi")
             absent = (want.join(ranked, ["factor", "r"])
-                          .join(pairs.select("factor", "value", "word"), ["factor", "value", "word"], "left_anti")
+                          .join(seen.select("factor", "value", "word"), ["factor", "value", "word"], "left_anti")
                           .withColumn("phi", _phi(F.col("n"), F.lit(0), F.col("nx"), F.col("ny")))
                           .select("factor", "value", "word", "nx", "phi"))
             cand = top.drop("rank").unionByName(absent)
