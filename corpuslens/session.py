@@ -14,6 +14,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Arrow batches carry whole texts into the scorer extension point: keep a batch to a few MB
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -52,14 +54,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_MATERIALIZED: list[str] = []
+
+
 def materialize(df, name: str):
     """Write ``df`` as a Parquet table under the shared checkpoint folder and read it back.
 
     Cuts the lineage (a lost executor re-reads the table instead of recomputing the plan) and gives later
-    branches a columnar scan with pruning, unlike re-running an expensive upstream plan per branch."""
+    branches a columnar scan with pruning, unlike re-running an expensive upstream plan per branch.
+    The paths are remembered so :func:`release_materialized` can delete them once results are consumed."""
     import uuid
 
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/corpuslens-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _MATERIALIZED.append(path)
     return spark.read.parquet(path)
+
+
+def release_materialized(spark: SparkSession) -> int:
+    """Delete the intermediate tables written by :func:`materialize` (through the Hadoop file system of the
+    checkpoint folder, so it works on shared storage). Call it after the results that read them are written."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _MATERIALIZED:
+        p = jvm.org.apache.hadoop.fs.Path(_MATERIALIZED.pop())
+        fs = p.getFileSystem(conf)
+        n += bool(fs.delete(p, True))
+    return n

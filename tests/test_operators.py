@@ -314,3 +314,10 @@ def test_dedup_hot_key(spark):
     df = spark.createDataFrame(rows, "id long, ord long, v string")
     out = {r.id: r.v for r in K.dedup_last_wins(df, ["id"], "ord").collect()}
     assert out[1] == "v299" and len(out) == 199
+
+
+def test_materialize_and_release(spark):
+    from corpuslens.session import materialize, release_materialized
+    df = materialize(spark.range(10), "t")
+    assert df.count() == 10
+    assert release_materialized(spark) >= 1
