@@ -53,10 +53,13 @@ WINDOW_SCHEMA = ("window_start timestamp, window_end timestamp, event_type strin
 
 def windowed_counts(spark: SparkSession, source: str, source_schema: T.StructType, sink: str, checkpoint: str,
                     ts: str = "ts", group: str = "event_type", value: str = "value", flag_value: str = "error",
-                    window: str = "1 day", watermark: str = "1 day") -> None:
+                    window: str = "1 day", watermark: str = "1 day", max_files_per_trigger: int | None = None) -> None:
     """Per (window, group): event count, value sum and flagged count, streamed with a watermark."""
     _ensure_table(spark, sink, WINDOW_SCHEMA)
-    ev = spark.readStream.schema(source_schema).parquet(source)
+    reader = spark.readStream.schema(source_schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    ev = reader.parquet(source)
     ev = ev.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", watermark)
     agg = ev.groupBy(F.window("_ts", window).alias("w"), F.col(group).alias("event_type")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(value).alias("total_value"),
