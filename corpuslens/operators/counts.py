@@ -125,6 +125,26 @@ def value_counts(df: DataFrame, group: str, attrs: list[str], keys: list[str], t
     return top_k_by_group(counts, [group_name, "attr"], top_k).select(group_name, "attr", "value", "n", "rank")
 
 
+def value_counts_by_factors(df: DataFrame, groups: list[str], attrs: list[str], keys: list[str],
+                            top_k: int | dict[str, int] = 5, drop_blank_group: bool = False) -> DataFrame:
+    """``value_counts`` for several group columns and attributes in one aggregation:
+    factor, group_value, attr, value, n, rank. ``top_k`` may differ per group column (dict)."""
+    base = df.select(*keys, *groups, *attrs)
+    u = unpivot(base, groups, "factor", "group_value", keep=keys + attrs)
+    u = u.where(has_value("group_value")) if drop_blank_group else u.withColumn("group_value", or_unknown("group_value"))
+    u = unpivot(u, attrs, "attr", "value", keep=keys + ["factor", "group_value"]).withColumn("value", or_unknown("value"))
+    counts = (u.groupBy("factor", "group_value", "attr", "value")
+               .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*keys)).alias("seen")))
+    if isinstance(top_k, dict):
+        k_max = max(top_k.values())
+        ks = F.create_map(*[x for f, k in top_k.items() for x in (F.lit(f), F.lit(k))])
+        ranked = top_k_by_group(counts, ["factor", "group_value", "attr"], k_max)
+        ranked = ranked.where(F.col("rank") <= ks[F.col("factor")])
+    else:
+        ranked = top_k_by_group(counts, ["factor", "group_value", "attr"], top_k)
+    return ranked.select("factor", "group_value", "attr", "value", "n", "rank")
+
+
 def share_within(counts: DataFrame, group: list[str], n: str = "n", pct: str = "pct",
                  floor_one: bool = True) -> DataFrame:
     """Percentage of ``n`` within its group; denominator max(1, total) when ``floor_one``.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.text import normalise, render_top, split_multivalue
 from corpuslens.operators.counts import (crosstab, explode_items, global_rank, item_counts_by_factors, leaning,
-                                         share_within, union_top, value_counts)
+                                         share_within, union_top, value_counts_by_factors)
 from corpuslens.operators.keyed import categorize, dedup_last_wins, merge_keyed
 from corpuslens.plans import sqltext as q
 from corpuslens.plans.registry import register
@@ -185,11 +185,7 @@ _F4_ATTRS = ["setting", "theme", "tone"]
    CAST(row_number() OVER (PARTITION BY factor, group_value, attr ORDER BY n DESC, seen ASC) AS INTEGER) AS rank FROM c)
    WHERE rank <= 5""")
 def context_by_factor(spark, d):
-    ann = _ann(spark, d)
-    parts = [value_counts(ann, g, _F4_ATTRS, KEYS, 5, "group_value").withColumn("factor", F.lit(g))
-             for g in _F4_GROUPS]
-    out = parts[0].unionByName(parts[1])
-    return out.select("factor", "group_value", "attr", "value", "n", "rank")
+    return value_counts_by_factors(_ann(spark, d), _F4_GROUPS, _F4_ATTRS, KEYS, 5)
 
 
 _F5 = [("religion", 5), ("nationality", 3)]
@@ -203,10 +199,9 @@ _F5 = [("religion", 5), ("nationality", 3)]
    CAST(row_number() OVER (PARTITION BY factor, group_value ORDER BY n DESC, seen ASC) AS INTEGER) AS rank FROM c)
    WHERE rank <= k""")
 def settings_by_joined_factor(spark, d):
-    j = _joined(spark, d)
-    parts = [value_counts(j, f, ["setting"], KEYS, k, "group_value", drop_blank_group=True)
-             .withColumn("factor", F.lit(f)) for f, k in _F5]
-    return parts[0].unionByName(parts[1]).select("factor", "group_value", "value", "n", "rank")
+    out = value_counts_by_factors(_joined(spark, d), [f for f, _ in _F5], ["setting"], KEYS, dict(_F5),
+                                  drop_blank_group=True)
+    return out.select("factor", "group_value", "value", "n", "rank")
 
 
 # ----------------------------------------------------------------------------------------------- F6, F34
