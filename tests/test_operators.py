@@ -321,3 +321,16 @@ def test_materialize_and_release(spark):
     df = materialize(spark.range(10), "t")
     assert df.count() == 10
     assert release_materialized(spark) >= 1
+
+
+def test_item_and_value_counts_first_seen_ties(spark):
+    rows = [(1, 0, "g", "b, a", "park"), (2, 0, "g", "a, b", "home"), (3, 0, None, "c", None)]
+    df = spark.createDataFrame(rows, "id long, story_index int, grp string, traits string, setting string")
+    keys = ["id", "story_index"]
+    from corpuslens.functions.text import split_multivalue
+    ic = {(r.group, r.item): (r.n, r.total, r.rank) for r in
+          C.item_counts(df, "grp", split_multivalue(F.col("traits")), keys, top_k=8).collect()}
+    # a and b tie at 2; b appears first (story 1, position 0)
+    assert ic[("g", "b")] == (2, 4, 1) and ic[("g", "a")] == (2, 4, 2) and ic[("unknown", "c")] == (1, 1, 1)
+    vc = {(r.group, r.value): (r.n, r.rank) for r in C.value_counts(df, "grp", ["setting"], keys, 5).collect()}
+    assert vc[("g", "park")] == (1, 1) and vc[("g", "home")] == (1, 2) and vc[("unknown", "unknown")] == (1, 1)
