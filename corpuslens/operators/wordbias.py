@@ -59,12 +59,13 @@ def word_bias(df: DataFrame, tokens: Column, factors: list[str], min_df: int = 5
     agg = materialize(agg, "word_pairs")
 
     totals = agg.where(F.col("word") == "").select("factor", "value", F.col("n11").alias("ny"))
-    totals = totals.withColumn("n", F.sum("ny").over(Window.partitionBy("factor")))
+    n_f = totals.groupBy("factor").agg(F.sum("ny").alias("n"))          # one row per factor
+    totals = totals.join(n_f, "factor")
     eligible = totals.where((F.col("ny") >= min_value) & (F.col("ny") < F.col("n")))
 
     pairs = agg.where(F.col("word") != "")
     vocab = pairs.groupBy("factor", "word").agg(F.sum("n11").alias("nx"))
-    vocab = (vocab.join(totals.select("factor", "n").distinct(), "factor")
+    vocab = (vocab.join(n_f, "factor")
                   .where((F.col("nx") >= min_df) & (F.col("nx") < F.col("n"))).drop("n"))
 
     present = (pairs.join(vocab, ["factor", "word"])
