@@ -184,3 +184,19 @@ SELECT event_id AS id, TRY_CAST(json_extract(props, '$.k') AS DOUBLE) AS k,
 def parse_json_props(spark, sf_dir):
     e = tv.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "props")
     return parse_response(e, "props", "k double", ["id"], "corrupt")
+
+
+_TURN_CX = _CX_SQL.replace("SELECT doc_id, lang, source, text,", "SELECT conv_id AS doc_id, role AS lang, role AS source, text,") \
+                  .replace("FROM documents)", "FROM conversations)")
+
+
+@register("complexity_by_role", f"""WITH {_TURN_CX}
+SELECT source AS parent_role,
+  round(avg(CAST(word_count AS DOUBLE)), {R}) AS word_count_mean, round(stddev_samp(CAST(word_count AS DOUBLE)), {R}) AS word_count_std,
+  round(avg(complexity_score), {R}) AS complexity_score_mean, round(stddev_samp(complexity_score), {R}) AS complexity_score_std,
+  round(avg(avg_word_length), {R}) AS avg_word_length_mean, round(avg(lexical_density), {R}) AS lexical_density_mean
+FROM cx WHERE source IS NOT NULL GROUP BY source""")
+def complexity_by_role(spark, sf_dir):
+    """F12 over stories with a composite key (conversation turns), grouped by the speaker role."""
+    out = describe_by(complexity(tv.turns(spark, sf_dir), "story"), "parent_role", _BY_SPEC)
+    return rnd(out, [c for c in out.columns if c != "parent_role"])

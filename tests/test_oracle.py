@@ -25,7 +25,7 @@ def test_query_matches_duckdb(spark, con, name):
 def test_every_query_registered_has_callable():
     qs = entry.queries()
     assert set(ORACLE) <= set(qs)
-    assert len(qs) >= 72
+    assert len(qs) >= 73
 
 
 def test_entry_smoke(spark):
