@@ -334,3 +334,16 @@ def test_item_and_value_counts_first_seen_ties(spark):
     assert ic[("g", "b")] == (2, 4, 1) and ic[("g", "a")] == (2, 4, 2) and ic[("unknown", "c")] == (1, 1, 1)
     vc = {(r.group, r.value): (r.n, r.rank) for r in C.value_counts(df, "grp", ["setting"], keys, 5).collect()}
     assert vc[("g", "park")] == (1, 1) and vc[("g", "home")] == (1, 2) and vc[("unknown", "unknown")] == (1, 1)
+
+
+def test_pushdown_and_pruning(spark):
+    import __spark_entry__ as entry
+    sf = "/root/testdata/sf0.001"
+
+    def plan(name):
+        return entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    p = plan("scan_by_language")
+    assert "PushedFilters: [In(lang" in p or "In(lang" in p
+    assert "ReadSchema: struct<lang:string,n_chars:bigint>" in p
+    p = plan("text_complexity")
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in p  # lang, source, n_chars pruned
