@@ -43,17 +43,22 @@ def factor_docs(df: DataFrame, tokens: Column, factors: list[str]) -> DataFrame:
               .select(F.col("fv.factor").alias("factor"), F.col("fv.value").alias("value"), "words"))
 
 
+def word_pairs(df: DataFrame, tokens: Column, factors: list[str]) -> DataFrame:
+    """factor, value, word, n11 — plus one row per value with word '' holding ny (stories of the value).
+
+    One pass over the text: every story contributes its distinct words plus one '' marker (tokens are never
+    blank), so a single aggregation (one shuffle, combined map-side) yields both counts."""
+    fd = factor_docs(df, tokens, factors)
+    marked = F.array_union(F.col("words"), F.array(F.lit("")))
+    return (fd.select("factor", "value", F.explode(marked).alias("word"))
+              .groupBy("factor", "value", "word").agg(F.count(F.lit(1)).alias("n11")))
+
+
 def word_bias(df: DataFrame, tokens: Column, factors: list[str], min_df: int = 5, min_value: int = 3,
               top_k: int = 20, exact_absent: bool = True) -> DataFrame:
     """Top-k words per factor value by phi. Columns: factor, factor_value, rank, word,
     pearson_correlation, word_count (= nx over the factor's stories)."""
-    fd = factor_docs(df, tokens, factors)
-    # One pass over the text: every story contributes its distinct words plus one '' marker (tokens are
-    # never blank), so the same aggregation yields n11 per (value, word) and ny per value (the '' rows).
-    # All later branches read this one aggregate, so the text is tokenised once.
-    marked = F.array_union(F.col("words"), F.array(F.lit("")))
-    agg = (fd.select("factor", "value", F.explode(marked).alias("word"))
-             .groupBy("factor", "value", "word").agg(F.count(F.lit(1)).alias("n11")))
+    agg = word_pairs(df, tokens, factors)
     # Written once to the shared checkpoint folder: later branches read the aggregate instead of re-running
     # tokenisation, and the lineage is cut (a lost executor does not re-trigger the text scan).
     agg = materialize(agg, "word_pairs")

@@ -347,3 +347,15 @@ def test_pushdown_and_pruning(spark):
     assert "ReadSchema: struct<lang:string,n_chars:bigint>" in p
     p = plan("text_complexity")
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in p  # lang, source, n_chars pruned
+
+
+def test_word_pairs_single_shuffle_after_tokenising(spark):
+    from corpuslens.operators.wordbias import word_pairs
+    from corpuslens.plans import q_wordbias as qw
+    from corpuslens.sources import testviews as tv
+    df = word_pairs(tv.stories(spark, "/root/testdata/sf0.001", with_labels=True), qw._tokens(),
+                    ["source", "lang", "quality", "toxic"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # one hash exchange for the pair counts (partial aggregation before it); the rest is the scan-side spread
+    assert plan.count("hashpartitioning(factor") == 1
+    assert "partial_count" in plan
