@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 22  # text bytes a kernel holds at once, unless one text alone is longer
+SLICE_BYTES = 1 << 20  # text bytes a kernel holds at once, unless one text alone is longer
 _U = np.uint64
 _WORD_POW = 1024
 _WS_BYTES = [9, 10, 11, 12, 13, 32]

@@ -14,7 +14,8 @@ from corpuslens.llm.components import connected_components
 from corpuslens.session import materialize
 
 _U = np.uint64
-_NEAR = 32  # neighbours on each side that a bucket compares in its second round
+_REACH = 4096  # places apart that a bucket's members are compared in its second round
+_SKETCH = 8  # 64-bit words of a parity sketch
 
 
 class Bands:
@@ -100,18 +101,33 @@ def _rows(names, *cols):
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in cols], names)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Parity sketch: each element flips one of the bits. The bits in which two sketches differ are at most the
+    elements in which the sets differ, so more of them than a link allows rule the pair out, without error."""
+    bit = mix64(s ^ _U(0x2545F4914F6CDD1D)) % _U(64 * _SKETCH)
+    out = np.zeros(_SKETCH, np.uint64)
+    np.bitwise_xor.at(out, (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
+    return out
+
+
 def shingle_classes(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2): set size and a 128-bit name of the set. ``docs`` is (doc_id, text)."""
+    """(doc_id, n_shingles, h1, h2, sketch): set size, a 128-bit name of the set and its parity sketch. ``docs`` is
+    (doc_id, text)."""
     def run(batches):
         for b in batches:
             n, one, two = (np.zeros(len(b), t) for t in (np.int64, np.uint64, np.uint64))
+            bits = np.zeros((len(b), _SKETCH), np.uint64)
             for i, s in shingle_sets(b.column(1), words):
                 n[i] = len(s)
                 one[i] = mix64(s).sum(dtype=np.uint64)
                 two[i] = mix64(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-            yield _rows(["doc_id", "n_shingles", "h1", "h2"], b.column(0), n, as_long(one), as_long(two))
+                bits[i] = parity(s)
+            sketch = pa.ListArray.from_arrays(np.arange(0, len(b) * _SKETCH + 1, _SKETCH, dtype=np.int32),
+                                              as_long(bits.reshape(-1)))
+            yield _rows(["doc_id", "n_shingles", "h1", "h2", "sketch"], b.column(0), n, as_long(one), as_long(two),
+                        sketch)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sketch array<long>")
 
 
 def _signature_rows(docs: DataFrame, words: int, bands: Bands, strict: dict[int, int]) -> DataFrame:
@@ -140,42 +156,74 @@ def _signature_rows(docs: DataFrame, words: int, bands: Bands, strict: dict[int,
     return docs.mapInArrow(run, "key long, id long")
 
 
-def _first_pairs(batches):
-    """Sorted (key, id): each member of a bucket with its first. O(1) state."""
-    key = first = None
+_BUCKETS = "key long, id long, head long, large boolean"
+
+
+def _buckets(batches):
+    """Sorted (key, id) to bucket members with the bucket's first id: all members of buckets with three or more, the
+    second member alone of those with two (their only pair). State: at most two rows."""
+    key = head = last = None  # of the running bucket, if it is large already
+    wait = np.zeros((2, 0), np.int64)  # else its rows
+    names = ["key", "id", "head", "large"]
     for b in batches:
-        k, v = b.column(0).to_numpy(), b.column(1).to_numpy()
+        k, v = (np.concatenate(x) for x in zip(wait, (b.column(0).to_numpy(), b.column(1).to_numpy())))
+        fresh = np.ones(len(k), bool)
+        fresh[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
+        if key is not None and len(k):
+            fresh[0] = k[0] != key or v[0] != last
+        k, v = k[fresh], v[fresh]
         if not len(k):
             continue
-        if key is None:
-            key, first = k[0], v[0]
-        new = k != np.concatenate(([key], k[:-1]))
-        start = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-        head = np.where(start >= 0, v[np.maximum(start, 0)], first)
-        other = v != head
-        pairs = np.unique(np.stack((head[other], v[other]), 1), axis=0)
-        key, first = k[-1], head[-1]
-        yield _rows(["a", "b"], pairs[:, 0].copy(), pairs[:, 1].copy())
-
-
-def _more_pairs(low: int, high: int):
-    """Sorted (key, id, label): pairs of a bucket whose places differ by ``low`` to ``high`` and whose labels differ.
-    Holds the last ``high`` members of the bucket."""
+        start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        size = np.diff(np.append(start, len(k)))
+        heads = v[start]
+        more = size >= 3
+        if key is not None and k[0] == key:
+            more[0], heads[0] = True, head
+        two = size == 2
+        two[-1] = False  # it may go on
+        two &= ~more
+        wide, at = np.repeat(more, size), start[two] + 1
+        yield _rows(names, np.concatenate((k[wide], k[at])), np.concatenate((v[wide], v[at])),
+                    np.concatenate((np.repeat(heads, size)[wide], heads[two])),
+                    pa.array(np.arange(wide.sum() + len(at)) < wide.sum()))
+        if more[-1]:
+            key, head, last, wait = k[-1], heads[-1], v[-1], np.zeros((2, 0), np.int64)
+        else:
+            key, wait = None, np.stack((k[start[-1]:], v[start[-1]:]))
+    if wait.shape[1] == 2:
+        yield _rows(names, wait[0, 1:], wait[1, 1:], wait[1, :1], pa.array([False]))
+
+
+def _open_pairs(low: int, high: int, num: int, den: int):
+    """Sorted (key, id, label, n, sketch): pairs of a bucket that are ``low`` to ``high`` places apart, have different
+    labels, and that sizes and sketches don't rule out. Holds the last ``high`` members."""
     def run(batches):
         tail = None
         for b in batches:
-            now = [b.column(i).to_numpy() for i in range(3)]
+            now = [b.column(i).to_numpy() for i in range(4)]
+            now.append(b.column(4).flatten().to_numpy().view(np.uint64).reshape(-1, _SKETCH))
+            old = 0
             if tail is not None:
+                old = len(tail[0])
                 now = [np.concatenate(x) for x in zip(tail, now)]
-            old = 0 if tail is None else len(tail[0])
-            k, v, c = now
-            n = len(k)
-            for o in range(low, min(high, n - 1) + 1):
-                hit = np.flatnonzero((k[o:] == k[:-o]) & (c[o:] != c[:-o]) & (v[o:] != v[:-o]))
-                hit = hit[hit + o >= old]
-                if len(hit):
-                    yield _rows(["a", "b"], v[hit], v[hit + o])
-            keep = max(0, n - high)
+            k, v, c, n, bits = now
+            found = [np.zeros((0, 2), np.int64)]
+            for o in range(low, min(high, len(k) - 1) + 1):
+                same = np.flatnonzero(k[o:] == k[:-o])
+                if not len(same):
+                    break
+                x = same[same + o >= old]
+                x = x[(c[x + o] != c[x]) & (v[x + o] != v[x])]
+                most, least = np.maximum(n[x], n[x + o]), np.minimum(n[x], n[x + o])
+                x = x[den * least >= num * most]
+                differ = np.bitwise_count(bits[x] ^ bits[x + o]).sum(axis=1, dtype=np.int64)
+                x = x[(den + num) * differ <= (den - num) * (n[x] + n[x + o])]
+                if len(x):
+                    found.append(np.stack((v[x], v[x + o]), 1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield _rows(["a", "b"], pairs[:, 0].copy(), pairs[:, 1].copy())
+            keep = max(0, len(k) - high)
             tail = [x[keep:].copy() for x in now]
     return run
 
@@ -223,10 +271,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by links, itself included. Links are exact, from full sets (64-bit shingle hashes).
 
     Equal sets become one class by aggregation. The sets' signatures (:func:`signatures`) meet in buckets by one
-    shuffle and a sort. A first round compares each member of a bucket with its first; the later rounds
-    compare, in buckets that still hold several components, the members 1 to 32 places apart, then up to 64,
-    128 and so on, so no group is spread into all its pairs when fewer connect it and none is left out.
-    Bucket members are streamed; per-task state is bounded by the distance of the round.
+    shuffle and a sort. A first round takes each member of a bucket with its first. The next rounds take the pairs of
+    different components in buckets that still hold several, up to 4,096 places apart, then up to 8,192 and so on,
+    so a group is not spread into all its pairs where fewer connect it, and no link is left out. Sizes and parity
+    sketches rule out most pairs (without error) before texts move; the rest is verified on the full sets. Bucket
+    members are streamed; per-task state is bounded by the distance of the round.
 
     Rows with a null id get a null component_id and link with nothing. Rows that repeat an id and differ in text are
     one document with several texts: its links are the union. An empty table gives an empty result. Other columns
@@ -245,33 +294,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                     ["n_shingles", "h1", "h2"]).select("doc_id", "rep"), "classes")
     texts = src.where("doc_id is not null and text is not null")
 
-    keyed = _signature_rows(texts, words, bands, strict).repartition("key").sortWithinPartitions("key", "id")
-    buckets = materialize(_members(keyed), "buckets")
-    ordered = buckets.repartition("key").sortWithinPartitions("key", "id")
-    # equal sets are linked without a comparison
-    links = classes.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    buckets = materialize(_signature_rows(texts, words, bands, strict).repartition("key")
+                          .sortWithinPartitions("key", "id").mapInArrow(_buckets, _BUCKETS), "buckets")
     rep = classes.groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    info = full.select("doc_id", "n_shingles", "sketch")
 
     def to_reps(pairs: DataFrame) -> DataFrame:
         ra, rb = rep.toDF("a", "ra"), rep.toDF("b", "rb")
         return (pairs.join(ra, "a").join(rb, "b").where("ra <> rb")
                 .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
 
-    tested = materialize(to_reps(ordered.mapInArrow(_first_pairs, "a long, b long").distinct()), "pairs")
+    def possible(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(info.toDF("a", "na", "sa"), "a").join(info.toDF("b", "nb", "sb"), "b")
+        differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
+                             lambda t, x: t + x)
+        return both.where((den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
+                          & ((den + num) * differ <= (den - num) * (F.col("na") + F.col("nb")))).select("a", "b").distinct()
+
+    first = to_reps(buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    tested = materialize(possible(first), "pairs")
+    # equal sets are linked without a comparison
+    links = classes.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = materialize(links.union(_verify(tested, texts, words, num, den, hub_pairs)), "links")
     labels = materialize(connected_components(links), "labels")
-    low, high = 1, _NEAR
+    buckets = buckets.where("large").select("key", "id")
+    low, high = 1, _REACH
     while True:
         # buckets that still hold several components
-        named = buckets.join(labels, "id", "left").select(
-            "key", "id", F.coalesce("component", "id").alias("label"))
-        named = materialize(named.join(
-            named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"))
-            .where((F.col("x") < F.col("y")) & (F.col("n") > low)).select("key"), "key", "left_semi"), "open")
+        named = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+        several = (named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"))
+                   .where((F.col("x") < F.col("y")) & (F.col("n") > low)).select("key"))
+        named = materialize(named.join(several, "key", "left_semi"), "open")
         if named.isEmpty():
             break
-        pairs = (named.repartition("key").sortWithinPartitions("key", "id")
-                 .mapInArrow(_more_pairs(low, high), "a long, b long").distinct())
+        pairs = (named.join(info, named.id == info.doc_id).select("key", "id", "label", "n_shingles", "sketch")
+                 .repartition("key").sortWithinPartitions("key", "id")
+                 .mapInArrow(_open_pairs(low, high, num, den), "a long, b long").distinct())
         fresh = materialize(to_reps(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
         found = materialize(_verify(fresh, texts, words, num, den, hub_pairs), "links")
         if not found.isEmpty():
@@ -282,39 +340,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         low, high = high + 1, high * 2
     out = sets.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _members(keyed: DataFrame) -> DataFrame:
-    """The rows of sorted (key, id) whose key has two different ids or more, without repeats."""
-    def run(batches):
-        held = None  # the last row, not yet known to have company
-        for b in batches:
-            k, v = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if held is not None:
-                k, v = np.concatenate((held[0], k)), np.concatenate((held[1], v))
-                sent = held[2]
-            else:
-                sent = False
-            if not len(k):
-                continue
-            same = k[1:] == k[:-1]
-            fresh = np.ones(len(k), bool)
-            fresh[1:] = ~same | (v[1:] != v[:-1])
-            near = np.zeros(len(k), bool)  # a neighbour has the same key and another id
-            differ = same & (v[1:] != v[:-1])
-            near[1:] |= differ
-            near[:-1] |= differ
-            fresh_at = np.flatnonzero(fresh)
-            # of a run of equal rows, the first speaks for all
-            group = np.cumsum(fresh) - 1
-            company = np.zeros(len(fresh_at), bool)
-            np.logical_or.at(company, group, near)
-            if sent:
-                company[0] = False
-            last = group[-1]
-            done = company.copy()
-            yield _rows(["key", "id"], k[fresh_at[done]], v[fresh_at[done]])
-            held = (k[fresh_at[last]:fresh_at[last] + 1].copy(), v[fresh_at[last]:fresh_at[last] + 1].copy(),
-                    bool(company[last]) or (sent and last == 0))
-
-    return keyed.mapInArrow(run, "key long, id long")
