@@ -73,8 +73,8 @@ def _places(block):
 def sample(data: np.ndarray, places, window: int, gram: int, roll: Roller):
     """Sampled suffixes of a block: in each window the leftmost position whose ``gram``-byte hash is least.
 
-    Returns (name of the gram, name of the whole stretch of windows that it stands for, row, start in the text, number of
-    windows). Equal windows sample the same place, so whatever repeats does so around equal grams."""
+    Returns (name of the gram, name of the whole stretch of windows that it stands for, row, packed start in the text,
+    number of windows and place of the gram in the first). Equal windows sample the same place, so whatever repeats does so around equal grams."""
     roll.load(data)
     n = len(data) - gram + 1
     at = np.arange(n)
@@ -101,10 +101,19 @@ def sample(data: np.ndarray, places, window: int, gram: int, roll: Roller):
     ends = starts + counts - 1 + window
     stretch = mix64(roll.of(starts, ends) + mix64((ends - starts).astype(np.uint64) * _U(1 << 21)
                                                     + (heads - starts).astype(np.uint64)))
-    return value[heads], stretch, rows, starts + offs, counts
+    return value[heads], stretch, rows, _pack(starts + offs, counts, heads - starts)
 
 
-_SPAN = 1 << 8  # windows of one sample, in the low bits of a packed (start, count)
+_BITS = 10  # for the number of windows of a sample, and for the place of its head in the first of them
+_MASK = (1 << _BITS) - 1
+
+
+def _pack(start, count, head):
+    return (start << 2 * _BITS) | (count << _BITS) | head
+
+
+def _unpack(at):
+    return at >> 2 * _BITS, (at >> _BITS) & _MASK, at & _MASK
 
 
 def _batch(schema: str, *cols):
@@ -126,10 +135,10 @@ def _sampled(docs: DataFrame, window: int, gram: int) -> DataFrame:
             found = [sample(d, p, window, gram, roll) for d, p in parts(b.column(1), window)]
             if not found:
                 continue
-            g, s, rows, start, n = (np.concatenate(x) for x in zip(*found))
+            g, s, rows, at = (np.concatenate(x) for x in zip(*found))
             doc = ids[rows]
-            order = np.lexsort((start, doc, s))
-            g, s, doc, at = g[order], s[order], doc[order], (start * _SPAN + n)[order]
+            order = np.lexsort((at, doc, s))
+            g, s, doc, at = g[order], s[order], doc[order], at[order]
             late = np.zeros(len(g), bool)
             late[1:] = (s[1:] == s[:-1]) & (g[1:] == g[:-1])
             # decided samples are dealt by their place, far from their gram
@@ -139,7 +148,7 @@ def _sampled(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, _SAMPLES)
 
 
-_DECIDED = "doc_id long, at long, kind int"
+_DECIDED = "doc_id long, at long, kind int, gram long"
 
 
 def _decide(batches):
@@ -151,7 +160,7 @@ def _decide(batches):
         g, s, doc, at, kind = (b.column(i).to_numpy() for i in range(5))
         known = kind == 1
         if known.any():
-            yield _batch(_DECIDED, doc[known], at[known], pa.array(kind[known]))
+            yield _batch(_DECIDED, doc[known], at[known], pa.array(kind[known]), g[known])
             g, s, doc, at = (x[~known] for x in (g, s, doc, at))
         if not len(g):
             continue
@@ -172,68 +181,160 @@ def _decide(batches):
             if held is not None and not opens[0]:
                 extra, held = [held], None
             if opens[-1]:
-                held = (doc[firsts[-1]], at[firsts[-1]])
+                held = (doc[firsts[-1]], at[firsts[-1]], g[firsts[-1]])
             else:
                 held = None
         pick = np.concatenate((late, again, lead)).astype(np.int64)
-        kind = np.concatenate((np.ones(len(late), np.int32), np.full(len(again) + len(lead), 2, np.int32)))
-        yield _batch(_DECIDED, np.concatenate((doc[pick], np.array([x[0] for x in extra], np.int64))),
-                     np.concatenate((at[pick], np.array([x[1] for x in extra], np.int64))),
-                     pa.array(np.concatenate((kind, np.full(len(extra), 2, np.int32)))))
+        kind = np.full(len(pick) + len(extra), 2, np.int32)
+        kind[:len(late)] = 1
+        cols = (np.concatenate((x[pick], np.array([y[i] for y in extra], np.int64))) for i, x in enumerate((doc, at, g)))
+        d, t, name = cols
+        yield _batch(_DECIDED, d, t, pa.array(kind), name)
         g0, s0 = g[-1], s[-1]
 
 
-_WINDOWS = "name long, doc_id long, at long, late int"
+_TUPLES = "gram long, doc_id long, at long, stretch binary"
 
 
-def _single_windows(texts: DataFrame, window: int) -> DataFrame:
-    """Names of the single windows of undecided stretches; ``texts`` is (doc_id, text, spans)."""
+def _tuples(texts: DataFrame, window: int) -> DataFrame:
+    """Suffix tuples of undecided samples with the bytes of their windows; ``texts`` is (doc_id, text, spans)."""
     def run(batches):
-        roll = Roller(_PART + window + 1)
         for b in batches:
-            ids, spans = b.column(0).to_pylist(), b.column(2).to_pylist()
-            names, docs, ats = [], [], []
-            for data, places in parts(b.column(1), window):
-                roll.load(data)
-                for r, begin, length, off in places:
-                    sp = np.array(spans[r], np.int64)
-                    start, n = sp // _SPAN, sp % _SPAN
-                    at = np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                    at = at[(at >= off) & (at + window <= off + length)]
-                    p = at - off + begin
-                    names.append(roll.of(p, p + window))
-                    ats.append(at)
-                    docs.append(np.full(len(at), ids[r], np.int64))
-            if not names:
-                continue
-            h, d, at = mix64(np.concatenate(names)), np.concatenate(docs), np.concatenate(ats)
-            order = np.lexsort((at, d, h))
-            h, d, at = h[order], d[order], at[order]
-            late = np.zeros(len(h), np.int32)
-            late[1:] = h[1:] == h[:-1]
-            known = late == 1
-            h[known] = mix64(at[known].astype(np.uint64) + mix64(d[known].astype(np.uint64)))
-            yield _batch(_WINDOWS, as_long(h), d, at, pa.array(late))
+            data, offsets = text_bytes(b.column(1))
+            lists = b.column(2)
+            flat = lists.flatten()
+            at, gram = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            row = np.repeat(np.arange(len(b)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            ids = b.column(0).to_numpy()
+            for i in range(0, len(at), 20_000):
+                part = slice(i, i + 20_000)
+                start, n, _ = _unpack(at[part])
+                size = n + window - 1
+                cut = np.concatenate(([0], np.cumsum(size)))
+                place = np.repeat(offsets[row[part]] + start - cut[:-1], size) + np.arange(cut[-1])
+                raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cut.astype(np.int32).tobytes()),
+                                                                     pa.py_buffer(data[place].tobytes())])
+                yield _batch(_TUPLES, gram[part], ids[row[part]], at[part], raw)
+
+    return texts.mapInArrow(run, _TUPLES)
+
+
+_BLOCK = 50_000  # tuples sorted at once; a gram with more is induced in blocks, which then meet by name
+_LATE = "name long, doc_id long, at long, count int"
+
+
+def induce(group: np.ndarray, doc: np.ndarray, at: np.ndarray, text: np.ndarray, sizes: np.ndarray, window: int,
+           reach: int) -> np.ndarray:
+    """late[t, o]: whether the window of tuple t that starts ``o`` bytes before its gram occurs earlier among the tuples.
+
+    Tuples come sorted by (group, suffix from the gram), shorter ones first where one begins the other; row t of ``text``
+    holds its bytes with the gram at column ``reach``. The order of the suffixes that begin one byte further left is
+    induced from this one: a stable sort by that byte. Their common prefixes are induced too: one more than the least
+    common prefix between the two before, or 0 where the byte differs. A run of neighbours with ``window`` or more
+    in common is one repeated string; all but its first (by document and place) are late."""
+    start, n, head = _unpack(at)
+    right = sizes - head  # bytes known from the gram on
+    t = len(at)
+    rank = np.empty(t, np.int64)
+    rank[np.lexsort((start + head, doc))] = np.arange(t)
+    differ = np.ones((t, text.shape[1] - reach + 1), bool)
+    differ[1:, :-1] = text[1:, reach:] != text[:-1, reach:]
+    common = differ.argmax(axis=1)
+    common[1:] = np.minimum(common[1:], np.minimum(right[1:], right[:-1]))
+    common[1:][group[1:] != group[:-1]] = 0
+    common[0] = 0
+    late = np.zeros((t, reach + 1), bool)
+    order = np.arange(t)
+    for o in range(reach + 1):
+        if o:
+            stay = np.flatnonzero(head[order] >= o)  # further left, the others have no windows
+            if not len(stay):
+                break
+            key = group[order[stay]] * 256 + text[order[stay], reach - o]
+            new = stay[np.argsort(key, kind="stable")]
+            key = np.sort(key, kind="stable")
+            same = np.concatenate(([False], key[1:] == key[:-1]))
+            low = np.zeros(len(new), np.int64)
+            at_same = np.flatnonzero(same)
+            if len(at_same):
+                ends = np.stack((new[at_same - 1] + 1, new[at_same] + 1), 1).reshape(-1)
+                padded = np.append(common, 0)  # so that an end may be the length
+                low[at_same] = np.minimum.reduceat(padded, ends)[::2] + 1
+            order, common = order[new], low
+        again = common >= window
+        if again.any():
+            first = np.flatnonzero(~again)
+            least = np.minimum.reduceat(rank[order], first)
+            member = np.repeat(least, np.diff(np.append(first, len(order))))
+            late[order, o] = rank[order] > member
+    return late
+
+
+def _induced(window: int, reach: int):
+    """Sorted tuples to late windows: (doc_id, first start, count). Of grams with more than a block of tuples also the
+    names of the windows that aren't late in their block, with count 0."""
+    roll = Roller(window + reach + 1)
+
+    def decide(g, doc, at, raw, cut):
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        start, n, head = _unpack(at)
+        text = np.zeros((len(raw), reach + window), np.uint8)
+        for i, x in enumerate(raw):
+            text[i, reach - head[i]:reach - head[i] + len(x)] = np.frombuffer(x, np.uint8)
+        group = np.cumsum(np.concatenate(([0], g[1:] != g[:-1])))
+        late = induce(group, doc, at, text, sizes, window, reach)
+        # runs of late windows; a window o bytes before the gram starts at start + head - o
+        edge = np.diff(late.astype(np.int8), axis=1, prepend=0, append=0)
+        t0, lo = np.nonzero(edge == 1)
+        _, hi = np.nonzero(edge == -1)
+        yield _batch(_LATE, mix_row(doc[t0], start[t0]), doc[t0],
+                     (start + head)[t0] - hi + 1, pa.array((hi - lo).astype(np.int32)))
+        if cut is not None:
+            for i in np.flatnonzero(g == cut):
+                roll.load(text[i])
+                o = np.flatnonzero(~late[i])
+                o = o[(o <= head[i]) & (o > head[i] - n[i])]
+                names = mix64(roll.of(reach - o, reach - o + window))
+                yield _batch(_LATE, as_long(names), np.full(len(o), doc[i]), start[i] + head[i] - o,
+                             pa.array(np.zeros(len(o), np.int32)))
+
+    def mix_row(doc, start):
+        return mix64(mix64(doc.astype(np.uint64)) + start.astype(np.uint64)).view(np.int64)
 
-    return texts.mapInArrow(run, _WINDOWS)
+    def run(batches):
+        held, long_gram = None, None
+        for b in batches:
+            now = [b.column(i).to_numpy() for i in range(3)] + [b.column(3).to_numpy(zero_copy_only=False)]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            while len(held[0]) > _BLOCK:
+                g = held[0]
+                whole = np.flatnonzero(g[:_BLOCK] != g[_BLOCK])
+                end = int(whole[-1]) + 1 if len(whole) else _BLOCK
+                if not len(whole):
+                    long_gram = g[0]  # it fills the block and goes on
+                yield from decide(*(x[:end] for x in held), long_gram)
+                held = [x[end:] for x in held]
+        if held is not None and len(held[0]):
+            yield from decide(*held, long_gram)
+
+    return run
 
 
 def _not_first(batches):
-    """Sorted windows to decisions: all that aren't the first of their name. State: the last name."""
+    """Sorted (name, doc_id, at) of windows, and runs of late windows (count > 0), to late runs. State: the last name."""
     last = None
     for b in batches:
-        h, d, at, known = (b.column(i).to_numpy() for i in range(4))
-        known = known == 1
-        if known.any():
-            yield _batch(_DECIDED, d[known], at[known] * _SPAN + 1, pa.array(np.ones(known.sum(), np.int32)))
-            h, d, at = (x[~known] for x in (h, d, at))
-        if not len(h):
-            continue
-        late = np.zeros(len(h), bool)
-        late[1:] = h[1:] == h[:-1]
-        late[0] = last is not None and h[0] == last
-        last = h[-1]
-        yield _batch(_DECIDED, d[late], at[late] * _SPAN + 1, pa.array(np.ones(late.sum(), np.int32)))
+        h, d, at, count = (b.column(i).to_numpy() for i in range(4))
+        known = count > 0
+        one = np.flatnonzero(~known)
+        late = np.zeros(len(one), bool)
+        if len(one):
+            name = h[one]
+            late[1:] = name[1:] == name[:-1]
+            late[0] = last is not None and name[0] == last
+            last = name[-1]
+        pick = np.concatenate((np.flatnonzero(known), one[late]))
+        yield _batch("doc_id long, at long", d[pick], _pack(at[pick], np.maximum(count[pick], 1), 0))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100,
@@ -248,20 +349,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty result; other columns are not read.
 
     1. Every window samples one suffix (:func:`sample`), about one in 30 positions, carried as a tuple of names.
-    2. Spark's external sort brings equal suffixes together; neighbours with the same name share the whole stretch of
-       windows that the suffix stands for, and all but the first are decided at once.
-    3. Where equal grams lie in different stretches, the common part is shorter than the stretch; the single windows
-       of one occurrence of each such stretch are named, sorted and decided the same way.
-    Names are 64-bit hashes of whole stretches and windows."""
+    2. Spark's external sort, on disk where memory ends, brings equal suffixes together; neighbours with the same name
+       share the whole stretch of windows that the suffix stands for, and all but the first are decided at once.
+    3. Where equal grams lie in different stretches, the first tuple of each stretch goes into a second external sort
+       with its bytes, and the windows around the gram are induced from the sorted suffixes (:func:`induce`).
+    Names are 64-bit hashes of whole stretches; induced windows are compared byte by byte."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = src.where("doc_id is not null and text is not null")
     decided = materialize(_sampled(known, window, gram).repartition("gram")
                           .sortWithinPartitions("kind", "gram", "stretch", "doc_id", "at")
                           .mapInArrow(_decide, _DECIDED), "stretches")
-    open_spans = decided.where("kind = 2").groupBy("doc_id").agg(F.collect_list("at").alias("spans"))
-    late = (_single_windows(known.join(open_spans, "doc_id"), window).repartition("name")
-            .sortWithinPartitions("late", "name", "doc_id", "at").mapInArrow(_not_first, _DECIDED))
-    covered = decided.where("kind = 1").union(late).groupBy("doc_id").agg(F.collect_list("at").alias("spans"))
+    open_spans = decided.where("kind = 2").groupBy("doc_id").agg(F.collect_list(F.struct("at", "gram")).alias("spans"))
+    late = (_tuples(known.join(open_spans, "doc_id"), window).repartition("gram")
+            .sortWithinPartitions("gram", F.expr(f"substring(stretch, cast(at & {_MASK} AS INT) + 1)"))
+            .mapInArrow(_induced(window, window - gram), _LATE).repartition("name")
+            .sortWithinPartitions("count", "name", "doc_id", "at").mapInArrow(_not_first, "doc_id long, at long"))
+    covered = (decided.where("kind = 1").select("doc_id", "at").union(late)
+               .groupBy("doc_id").agg(F.collect_list("at").alias("spans")))
     # both joins read the texts by doc_id: one exchange serves both
     rows = known.join(covered, "doc_id", "left").select("doc_id", "text", "spans").union(
         src.where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast("array<bigint>")))
@@ -275,8 +379,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone = np.zeros(len(raw) + 1, np.int32)
                 if spans:
                     sp = np.array(spans, np.int64)
-                    np.add.at(gone, sp // _SPAN, 1)
-                    np.add.at(gone, sp // _SPAN + sp % _SPAN - 1 + window, -1)
+                    start, n, _ = _unpack(sp)
+                    np.add.at(gone, start, 1)
+                    np.add.at(gone, start + n - 1 + window, -1)
                 hit = np.cumsum(gone[:-1]) > 0
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False]))))
                 runs.append([{"start": int(x), "length": int(y - x)} for x, y in zip(edge[::2], edge[1::2])])
