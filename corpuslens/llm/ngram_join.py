@@ -15,7 +15,7 @@ from corpuslens.session import materialize
 
 _U = np.uint64
 _REACH = 4096  # places apart that a bucket's members are compared in its second round
-_SKETCH = 8  # 64-bit words of a parity sketch
+_SKETCH = (4, 512)  # least and most 64-bit words of a parity sketch
 
 
 class Bands:
@@ -48,19 +48,27 @@ class Bands:
         return (self.den - self.num) * (x + y) // (self.den + self.num) + 1
 
 
+    def sketch_words(self, band: int) -> int:
+        """Words of a parity sketch: a power of two with four bits or more for each difference a link allows."""
+        words, (least, most) = 4 * self.segments(band) / 64, _SKETCH
+        return min(most, max(least, 1 << max(0, math.ceil(math.log2(words)))))
+
+
 def allocate(sizes: dict[int, int], bands: Bands, same: float) -> dict[int, int]:
     """For each scheme the largest subset size that gets the stricter signature of :func:`signatures`.
 
     The plain signature of a segment with k elements is expected to meet n * Poisson(k) * same^k other sets, where
-    n sets are in the two bands and ``same`` is the assumed chance that two sets share a given element. The strict
-    one costs 1 + (mean elements) signatures instead. Either choice finds every link; this one only costs less."""
+    n sets are in the two bands and ``same`` is the assumed chance that two sets share a given element; each such meeting
+    costs about as much as handling an eighth of the set. The strict one costs 1 + (mean elements) signatures
+    instead. Either choice finds every link; this one only costs less."""
     out = {}
     for b in set(sizes) | {x - 1 for x in sizes if x}:
         n = sizes.get(b, 0) + sizes.get(b + 1, 0)
         m = bands.segments(b)
         mean = max(1.0, bands.edges[b]) / m
         k, p = 0, math.exp(-mean)
-        while k < 8 and n * p * same ** k > 1 + mean:
+        meeting = 1 + bands.edges[b] / 8
+        while k < 8 and n * p * same ** k * meeting > 1 + mean:
             k += 1
             p *= mean / k
         out[b] = k - 1
@@ -101,29 +109,30 @@ def _rows(names, *cols):
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in cols], names)
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """Parity sketch: each element flips one of the bits. The bits in which two sketches differ are at most the
-    elements in which the sets differ, so more of them than a link allows rule the pair out, without error."""
-    bit = mix64(s ^ _U(0x2545F4914F6CDD1D)) % _U(64 * _SKETCH)
-    out = np.zeros(_SKETCH, np.uint64)
+def parity(s: np.ndarray, words: int) -> np.ndarray:
+    """Parity sketch of ``words`` (a power of two) 64-bit words: each element flips one bit. The bits in which two
+    sketches differ are at most the elements in which the sets differ, so more of them than a link allows rule the
+    pair out, without error. A sketch folds to half its length by XOR of its halves."""
+    bit = mix64(s ^ _U(0x2545F4914F6CDD1D)) % _U(64 * words)
+    out = np.zeros(words, np.uint64)
     np.bitwise_xor.at(out, (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
     return out
 
 
-def shingle_classes(docs: DataFrame, words: int) -> DataFrame:
+def shingle_classes(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, sketch): set size, a 128-bit name of the set and its parity sketch. ``docs`` is
     (doc_id, text)."""
     def run(batches):
         for b in batches:
             n, one, two = (np.zeros(len(b), t) for t in (np.int64, np.uint64, np.uint64))
-            bits = np.zeros((len(b), _SKETCH), np.uint64)
+            bits = [np.zeros(0, np.uint64)] * len(b)
             for i, s in shingle_sets(b.column(1), words):
                 n[i] = len(s)
                 one[i] = mix64(s).sum(dtype=np.uint64)
                 two[i] = mix64(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-                bits[i] = parity(s)
-            sketch = pa.ListArray.from_arrays(np.arange(0, len(b) * _SKETCH + 1, _SKETCH, dtype=np.int32),
-                                              as_long(bits.reshape(-1)))
+                bits[i] = parity(s, bands.sketch_words(bands.band(len(s)))) if len(s) else bits[i]
+            cut = np.cumsum([0, *map(len, bits)]).astype(np.int32)
+            sketch = pa.ListArray.from_arrays(cut, as_long(np.concatenate([np.zeros(0, np.uint64), *bits])))
             yield _rows(["doc_id", "n_shingles", "h1", "h2", "sketch"], b.column(0), n, as_long(one), as_long(two),
                         sketch)
 
@@ -195,6 +204,21 @@ def _buckets(batches):
         yield _rows(names, wait[0, 1:], wait[1, 1:], wait[1, :1], pa.array([False]))
 
 
+def _differ(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Differing bits of pairs of sketches; of two lengths the longer is folded."""
+    out = np.zeros(len(left), np.int64)
+    a, b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (left, right))
+    for la, lb in set(zip(a.tolist(), b.tolist())):
+        at = np.flatnonzero((a == la) & (b == lb))
+        both = [np.stack(left[at].tolist()), np.stack(right[at].tolist())]
+        for i in (0, 1):
+            while both[i].shape[1] > min(la, lb):
+                half = both[i].shape[1] // 2
+                both[i] = both[i][:, :half] ^ both[i][:, half:]
+        out[at] = np.bitwise_count(both[0] ^ both[1]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _open_pairs(low: int, high: int, num: int, den: int):
     """Sorted (key, id, label, n, sketch): pairs of a bucket that are ``low`` to ``high`` places apart, have different
     labels, and that sizes and sketches don't rule out. Holds the last ``high`` members."""
@@ -202,7 +226,11 @@ def _open_pairs(low: int, high: int, num: int, den: int):
         tail = None
         for b in batches:
             now = [b.column(i).to_numpy() for i in range(4)]
-            now.append(b.column(4).flatten().to_numpy().view(np.uint64).reshape(-1, _SKETCH))
+            flat = b.column(4).flatten().to_numpy().view(np.uint64)
+            cut = np.cumsum([0, *b.column(4).value_lengths().to_pylist()])
+            bits = np.empty(len(b), object)
+            bits[:] = [flat[i:j] for i, j in zip(cut, cut[1:])]
+            now.append(bits)
             old = 0
             if tail is not None:
                 old = len(tail[0])
@@ -217,9 +245,9 @@ def _open_pairs(low: int, high: int, num: int, den: int):
                 x = x[(c[x + o] != c[x]) & (v[x + o] != v[x])]
                 most, least = np.maximum(n[x], n[x + o]), np.minimum(n[x], n[x + o])
                 x = x[den * least >= num * most]
-                differ = np.bitwise_count(bits[x] ^ bits[x + o]).sum(axis=1, dtype=np.int64)
-                x = x[(den + num) * differ <= (den - num) * (n[x] + n[x + o])]
                 if len(x):
+                    differ = _differ(bits[x], bits[x + o])
+                    x = x[(den + num) * differ <= (den - num) * (n[x] + n[x + o])]
                     found.append(np.stack((v[x], v[x + o]), 1))
             pairs = np.unique(np.concatenate(found), axis=0)
             yield _rows(["a", "b"], pairs[:, 0].copy(), pairs[:, 1].copy())
@@ -263,7 +291,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int, h
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8,
-                    den: int = 10, same: float = 0.01, hub_pairs: int = 500) -> DataFrame:
+                    den: int = 10, same: float = 0.001, hub_pairs: int = 500) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: groups linked by Jaccard >= ``num`` / ``den``.
 
     A document's set is its distinct ``words``-word shingles (A-Z folded; shorter texts are one shingle; texts without
@@ -281,9 +309,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one document with several texts: its links are the union. An empty table gives an empty result. Other columns
     are not read."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = materialize(shingle_classes(src, words), "shingle-sets")
-    full = sets.where("n_shingles > 0 and doc_id is not null")
+    if 10 * num < 6 * den:
+        raise ValueError("thresholds below 0.6 are not supported: sketches of adjacent bands would not fold")
     bands = Bands(num, den)
+    sets = materialize(shingle_classes(src, words, bands), "shingle-sets")
+    full = sets.where("n_shingles > 0 and doc_id is not null")
     top = full.agg(F.max("n_shingles")).first()[0] or 1
     bands.reach(int(top))
     # documents by band: a few dozen numbers, as bands grow geometrically
@@ -306,10 +336,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def possible(pairs: DataFrame) -> DataFrame:
         both = pairs.join(info.toDF("a", "na", "sa"), "a").join(info.toDF("b", "nb", "sb"), "b")
+        xor = lambda x, y: x.bitwiseXOR(y)
+        # sizes that may link lie in adjacent bands, whose sketches differ in length by a factor of two at most
+        fold = lambda x, y: F.when(F.size(x) <= F.size(y), F.col(x)).otherwise(F.zip_with(
+            F.slice(x, F.lit(1), F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), xor))
+        both = both.where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
+        both = both.withColumns({"sa": fold("sa", "sb"), "sb": fold("sb", "sa")})
         differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
                              lambda t, x: t + x)
-        return both.where((den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
-                          & ((den + num) * differ <= (den - num) * (F.col("na") + F.col("nb")))).select("a", "b").distinct()
+        return both.where((den + num) * differ <= (den - num) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
 
     first = to_reps(buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
     tested = materialize(possible(first), "pairs")

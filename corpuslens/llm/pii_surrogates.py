@@ -97,7 +97,8 @@ def _payload(key: str) -> Column:
             F.sequence(F.lit(0), n), lambda i: F.element_at(F.array(*map(F.lit, s)), place(i))), "")
         out = out.when(kind == name, F.initcap(F.when(cyrillic, F.concat(build(_SYLLABLES_CYR), F.lit(cyr)))
                                                .otherwise(F.concat(build(_SYLLABLES), F.lit(latin)))))
-    return out.otherwise(_fill(canon, h))
+    hexadecimal = F.substring(F.repeat(h, 8), F.lit(1), F.length(canon))
+    return out.when(canon.rlike("^[0-9a-f]{1,512}$"), hexadecimal).otherwise(_fill(canon, h))
 
 
 def surrogates(entities: DataFrame, key: str, max_rounds: int = 100) -> DataFrame:
