@@ -79,9 +79,8 @@ def mix_to_targets(docs: DataFrame, targets: dict[str, dict[str, float]] | None
     no tokens at all stay. Null ids hash as null, repeated ids share a decision. Every column of ``docs`` is kept;
     ``_``-prefixed helper names replace columns of the same name."""
     topic = form_topic(F.coalesce(F.col(text_col), F.lit(""))) if topic is None else topic
-    words = F.coalesce(F.size(F.split(F.trim(F.regexp_replace(F.col(text_col), r"[\x20\x09-\x0D]+", " ")), " ")),
-                       F.lit(0))
-    words = F.when(F.coalesce(F.trim(F.col(text_col)), F.lit("")) == "", 0).otherwise(words).cast("long")
+    plain = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    words = F.when(plain == "", 0).otherwise(F.size(F.split(plain, " "))).cast("long")
     dims = {"_d_source": F.col("source"), "_d_lang": F.col("lang"), "_d_topic": topic}
     rows = docs.withColumns({k: F.coalesce(v.cast("string"), F.lit("")) for k, v in dims.items()}
                             | {"_tokens": words})
