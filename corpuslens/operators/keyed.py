@@ -45,9 +45,11 @@ def categorize(df: DataFrame, keys: list[str], items: Column, dim: DataFrame, di
                categories: list[str], default: str = "other") -> DataFrame:
     """Adds ``categorized`` = map(category -> items in original order) with every category present.
 
-    Distinct items are looked up once (the dimension is joined to the exploded items); the per-record
-    regrouping collects only one record's items."""
-    ex = df.select(*keys, F.posexplode(items).alias("pos", "item"))
+    The dimension is joined to the exploded items; the regrouping collects only one record's items. Records are told
+    apart by their keys and items, so several records with one key keep their own items."""
+    df = df.withColumn("_items", items)
+    records, keys = df.select(*keys, "_items").distinct(), [*keys, "_items"]
+    ex = records.select(*keys, F.posexplode("_items").alias("pos", "item"))
     ex = apply_lookup(ex, "item", dim, dim_item, dim_value, "category", categories, default)
     per = (ex.groupBy(*keys, "category")
              .agg(F.sort_array(F.collect_list(F.struct("pos", "item"))).alias("_l"))
@@ -57,8 +59,12 @@ def categorize(df: DataFrame, keys: list[str], items: Column, dim: DataFrame, di
     cats = F.array(*[F.lit(c) for c in categories])
     full = F.map_from_arrays(cats, F.transform(cats, lambda c: F.coalesce(
         F.element_at(F.col("_m"), c), F.array().cast("array<string>"))))
-    out = df.join(per, keys, "left").withColumn("categorized", full).drop("_m")
-    return out
+    per = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_m")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return (df.join(per, same, "left").withColumn("categorized", full)
+            .drop("_m", "_items", *[f"_k{i}" for i in range(len(keys))]))
 
 
 def enrich(df: DataFrame, constants: dict) -> DataFrame:

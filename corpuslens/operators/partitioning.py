@@ -42,6 +42,10 @@ def rank_within(df: DataFrame, group: list[str], order: list, rank_col: str = "r
     sizes = s.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select("_pid", *group, "_first", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
-    out = s.join(offs, ["_pid", *group])
+    # null-safe: rows whose group is NULL are a group of their own
+    same = F.col("s._pid") == F.col("o._pid")
+    for g in group:
+        same = same & F.col(f"s.{g}").eqNullSafe(F.col(f"o.{g}"))
+    out = s.alias("s").join(offs.alias("o"), same).select("s.*", "o._first", "o._off")
     return (out.withColumn(rank_col, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint"))
                .drop("_pid", "_mid", "_first", "_off"))

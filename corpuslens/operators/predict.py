@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.text import has_value
 from corpuslens.operators.partitioning import rank_within
+from corpuslens.operators.tfidf import key_list
+from corpuslens.session import materialize
 
 # Signal-grade thresholds (strict '>').
 GRADE_GAIN = {"STRONG": 0.10, "MODERATE": 0.05}          # variant A: accuracy gain as a fraction
 GRADE_GAIN_PP = {"STRONG": 20.0, "MODERATE": 5.0}        # variant B: gain in percentage points
 SEED = 42
-ROWS_PER_FIT_PARTITION = 20000
+ROWS_PER_FIT_PARTITION = 2000
+
+
+def fit_partitions(n: int) -> int:
+    """Partitions of a training set that iterative fits re-read: proportional to its rows, two or more."""
+    return max(2, -(-n // ROWS_PER_FIT_PARTITION))
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -48,13 +55,17 @@ def eligible_rows(df: DataFrame, label: str, min_class_size: int = 3, min_rows:
     return rows, s
 
 
-def stratified_folds(df: DataFrame, label: str, key: str, k: int | Column, seed: int = SEED) -> DataFrame:
+def stratified_folds(df: DataFrame, label: str, key: str | list[str], k: int | Column, seed: int = SEED) -> DataFrame:
     """fold = (position inside the class in a seeded hash order) mod k: per class, fold sizes differ by <= 1.
     The position comes from a distributed rank (no one-task window over a large class)."""
-    h = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
-    r = rank_within(df.withColumn("_h", h), [label], [F.col("_h"), F.col(key)], "_r")
+    keys = key_list(key)
+    h = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in keys], F.lit(str(seed))))
+    # only the label and the key go through the sort; the other columns are joined back by the key
+    narrow = rank_within(df.select(label, *keys).withColumn("_h", h), [label], [F.col("_h"), *map(F.col, keys)], "_r")
+    rest = [c for c in df.columns if c != label and c not in keys]
+    r = df.join(narrow.drop("_h", label), keys) if rest else narrow
     kk = k if isinstance(k, Column) else F.lit(k)
-    return r.withColumn("fold", F.pmod(F.col("_r") - 1, kk).cast("int")).drop("_h", "_r")
+    return r.withColumn("fold", F.pmod(F.col("_r") - 1, kk).cast("int")).select(*df.columns, "fold")
 
 
 def fold_accuracy(pred: DataFrame, label_idx: str = "label_idx", prediction: str = "prediction") -> DataFrame:
@@ -88,7 +99,7 @@ def grade(gain: Column, thresholds: dict[str, float]) -> Column:
 
 
 def cv_accuracy(folded: DataFrame, features: str, label_idx: str, k: int, model: str, n_classes: int,
-                n_features: int, max_iter: int, seed: int = SEED, tol: float = 1e-4) -> DataFrame:
+                n_features: int, max_iter: int, seed: int = SEED, tol: float = 1e-3) -> DataFrame:
     """k-fold accuracy of one model: fits fold by fold (k <= 5 driver-coordinated MLlib fits on
     distributed data), unions the test predictions, returns fold accuracies' mean and population std.
 
@@ -124,12 +135,13 @@ def cv_accuracy(folded: DataFrame, features: str, label_idx: str, k: int, model:
     return fold_accuracy(allp, label_idx, "prediction")
 
 
-def predictability(df: DataFrame, key: str, text: Column, targets: list[str], max_features: int = 5000,
+def predictability(df: DataFrame, key: str | list[str], text: Column, targets: list[str], max_features: int = 5000,
                    min_df: int = 2, models=("lr", "mlp"), min_class_size: int = 3, lr_max_iter: int = 2000,
                    mlp_max_iter: int = 300, seed: int = SEED) -> DataFrame:
     """One row per eligible target: target, n_samples, n_classes, majority_baseline, lr_accuracy, lr_std,
     mlp_accuracy, mlp_std, n_splits. ``text`` is the (cleaned) text column; terms use the TF-IDF tokeniser.
-    As in the reference, the vectoriser is fitted on all rows of the target before cross-validation.
+    The key (one column or several) must be unique. The vectoriser is fitted on all rows of the target before
+    cross-validation. Texts are tokenised once, into a table that every target and model reads.
     Targets and models run one after another (each evaluation already runs its k fits concurrently), which
     keeps the number of models held by the driver at k."""
     from pyspark.ml.feature import StringIndexer
@@ -139,7 +151,8 @@ def predictability(df: DataFrame, key: str, text: Column, targets: list[str], ma
     from corpuslens.sources.schemas import PREDICTABILITY
 
     spark = df.sparkSession
-    base = df.select(key, *targets, term_expr(text).alias("_terms"))
+    keys = key_list(key)
+    base = materialize(df.select(*keys, *targets, term_expr(text).alias("_terms")), "predict-terms")
 
     def prepare(target: str):
         rows, summary = eligible_rows(base, target, min_class_size, 10, "filter")
@@ -147,17 +160,17 @@ def predictability(df: DataFrame, key: str, text: Column, targets: list[str], ma
         if not s["eligible"]:
             return None
         k = int(s["n_splits"])
-        rows = rows.select(key, target, "_terms")
+        rows = rows.select(*keys, target, "_terms")
         n_docs = rows.agg(F.count(F.lit(1))).scalar()
-        vocab = vocabulary(term_counts(rows, key, F.col("_terms")), key, n_docs, max_features, min_df)
+        vocab = materialize(vocabulary(term_counts(rows, keys, F.col("_terms")), keys, n_docs, max_features, min_df),
+                            "predict-vocabulary")
         feats = tfidf_vectors(rows, key, "_terms", vocab)
         idx = StringIndexer(inputCol=target, outputCol="label_idx", stringOrderType="alphabetAsc").fit(feats)
-        folded = stratified_folds(idx.transform(feats), target, key, k, seed).select(key, "fold", "label_idx",
-                                                                                     "features")
+        folded = stratified_folds(idx.transform(feats), target, keys, k, seed).select(*keys, "fold", "label_idx",
+                                                                                      "features")
         # Iterative fits re-read the training set every iteration: size partitions to the data so small
         # targets do not pay per-task overhead on each L-BFGS step, large ones keep full parallelism.
-        parts = max(1, min(spark.sparkContext.defaultParallelism, int(s["n_samples"]) // ROWS_PER_FIT_PARTITION))
-        folded = folded.repartition(parts).persist()
+        folded = folded.repartition(fit_partitions(int(s["n_samples"]))).persist()
         rec = {"target": target, "n_samples": int(s["n_samples"]), "n_classes": int(s["n_classes"]),
                "majority_baseline": float(s["majority_baseline"]), "n_splits": k}
         return rec, folded, vocab.count()

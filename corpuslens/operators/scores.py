@@ -23,10 +23,10 @@ def score_long(df: DataFrame, keys: list[str], scores: str = "category_scores",
 
 
 def flag_rate(df: DataFrame, flagged: str = "flagged", group: list[str] | None = None) -> DataFrame:
-    """n, n_flagged, flag_rate (per group when given)."""
+    """n, n_flagged, flag_rate (per group when given). The rate is over all records: a NULL flag counts as not flagged."""
     g = df.groupBy(*(group or []))
     return g.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(flagged)).alias("n_flagged"),
-                 F.avg(F.col(flagged).cast("double")).alias("flag_rate"))
+                 (F.count_if(F.col(flagged)) / F.count(F.lit(1))).alias("flag_rate"))
 
 
 def score_wide(long: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,10 +48,11 @@ def score_by_category(long: DataFrame, n_records: Column) -> DataFrame:
 
 def score_by_factor(long: DataFrame, records: DataFrame, group: str, pattern: str) -> DataFrame:
     """Mean score per group for categories matching ``pattern``; records without the category count as 0
-    (the reference averages a zero-filled wide table). Columns: group, category, mean.
+    (the mean is over a zero-filled wide table); records without a group are left out. Columns: group, category, mean.
 
     The (group x category) grid comes from a pivot over the matching categories (their list is aggregated
     from the data), not from a cross join."""
+    records, long = records.where(F.col(group).isNotNull()), long.where(F.col(group).isNotNull())
     n_g = records.groupBy(group).agg(F.count(F.lit(1)).alias("_ng"))
     m = long.where(key_matches(F.col("category"), pattern))
     wide = m.groupBy(group).pivot("category").agg(F.sum("score"))
@@ -78,26 +79,31 @@ def score_with(df: DataFrame, scorer: Callable, schema: str, keys: list[str],
     return todo.mapInPandas(run, schema)
 
 
-def model_scores(docs: DataFrame, key: str, tokens_col: str, label: str, vocab: DataFrame,
-                 max_iter: int = 1000, threshold: float = 0.5) -> DataFrame:
+def model_scores(docs: DataFrame, key: str | list[str], tokens_col: str, label: str, vocab: DataFrame,
+                 max_iter: int = 1000, threshold: float | None = None) -> DataFrame:
     """Re-aimed moderation: fit a logistic regression on the labelled rows (TF-IDF features), score every row.
-    Columns: key, score (probability of class 1), flagged."""
+    Columns: key..., score (probability of class 1), flagged.
+
+    Without a ``threshold``, the share of labelled rows that is flagged matches the share labelled 1: a rare class
+    keeps all probabilities below one half, so a fixed cut there would flag nothing."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
 
     from corpuslens.operators.tfidf import tfidf_vectors
 
-    from corpuslens.operators.predict import ROWS_PER_FIT_PARTITION
+    from corpuslens.operators.predict import fit_partitions
+    from corpuslens.operators.tfidf import key_list
 
     feats = tfidf_vectors(docs, key, tokens_col, vocab)
     train = feats.where(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("double"))
-    n = train.agg(F.count(F.lit(1))).collect()[0][0]
-    # iterative fit: partitions sized to the labelled rows (see predict.ROWS_PER_FIT_PARTITION)
-    parts = max(1, min(docs.sparkSession.sparkContext.defaultParallelism, n // ROWS_PER_FIT_PARTITION))
-    train = train.select("features", "_y").repartition(parts).persist()
+    n, positive = train.agg(F.count(F.lit(1)), F.sum("_y")).first()
+    train = train.select("features", "_y").repartition(fit_partitions(n)).persist()
     lr = LogisticRegression(featuresCol="features", labelCol="_y", regParam=1.0 / max(1, n), elasticNetParam=0.0,
-                            standardization=False, maxIter=max_iter, tol=1e-4)
+                            standardization=False, maxIter=max_iter, tol=1e-3)
     model = lr.fit(train)
+    if threshold is None:
+        scored = model.transform(train).select(vector_to_array("probability")[1].alias("score"))
+        threshold = scored.approxQuantile("score", [1.0 - positive / max(1, n)], 0.001)[0]
     train.unpersist()
     out = model.transform(feats).withColumn("score", vector_to_array("probability")[1])
-    return out.select(key, "score", (F.col("score") > threshold).alias("flagged"))
+    return out.select(*key_list(key), "score", (F.col("score") > threshold).alias("flagged"))

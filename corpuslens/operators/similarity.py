@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.maps import cosine
+from corpuslens.operators.keyed import dedup_last_wins
 
 
 def _blank(v: Column) -> Column:
@@ -18,9 +19,12 @@ def field_similarity(a: Column, b: Column, eps: float = 1e-8) -> Column:
 
 
 def agreement_rows(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str],
-                   left_suffix: str = "_l", right_suffix: str = "_r") -> DataFrame:
-    """Inner join on keys; one similarity column per field plus their mean (``overall_similarity``).
+                   left_suffix: str = "_l", right_suffix: str = "_r", right_ord: str | None = None) -> DataFrame:
+    """Inner join on keys, with the last record of each key on the right (by ``right_ord``, else in reading order); one similarity column per field plus their mean (``overall_similarity``).
     ``fields`` name vector columns present on both sides."""
+    if right_ord is None:
+        right, right_ord = right.withColumn("_ord", F.monotonically_increasing_id()), "_ord"
+    right = dedup_last_wins(right.select(*keys, right_ord, *fields), keys, right_ord)
     l = left.select(*keys, *[F.col(f).alias(f + left_suffix) for f in fields])
     r = right.select(*keys, *[F.col(f).alias(f + right_suffix) for f in fields])
     j = l.join(r, keys, "inner")

@@ -16,13 +16,19 @@ from corpuslens.operators.partitioning import rank_within
 from corpuslens.session import materialize
 
 
-def term_counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
-    """key, term, tf (map-side partial aggregation collapses repeats inside a document)."""
-    return (df.select(key, F.explode(terms).alias("term"))
-              .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+def key_list(key: str | list[str]) -> list[str]:
+    """The key columns of a document: one name, or several (a composite key)."""
+    return [key] if isinstance(key, str) else list(key)
 
 
-def vocabulary(tf: DataFrame, key: str, n_docs: Column, max_features: int | None = 5000,
+def term_counts(df: DataFrame, key: str | list[str], terms: Column) -> DataFrame:
+    """key..., term, tf (map-side partial aggregation collapses repeats inside a document)."""
+    keys = key_list(key)
+    return (df.select(*keys, F.explode(terms).alias("term"))
+              .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def vocabulary(tf: DataFrame, key: str | list[str], n_docs: Column, max_features: int | None = 5000,
                min_df: int = 1, with_index: bool = True) -> DataFrame:
     """term, df, total, idf, index (alphabetical position inside the kept vocabulary)."""
     v = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
@@ -39,10 +45,11 @@ def vocabulary(tf: DataFrame, key: str, n_docs: Column, max_features: int | None
     return rank_within(v, [], [F.col("term")], "_r").withColumn("index", (F.col("_r") - 1).cast("int")).drop("_r")
 
 
-def tfidf(df: DataFrame, key: str, terms: Column, max_features: int | None = 5000, min_df: int = 1,
+def tfidf(df: DataFrame, key: str | list[str], terms: Column, max_features: int | None = 5000, min_df: int = 1,
           with_index: bool = True):
-    """Returns (weights, vocab). weights: key, term, [index,] w (L2-normalised per document).
+    """Returns (weights, vocab). weights: key..., term, [index,] w (L2-normalised per document).
     ``with_index`` adds the vector position of each term (needed for ML vectors, not for cosine joins)."""
+    keys = key_list(key)
     n_docs = df.agg(F.count(F.lit(1))).scalar()
     # tf feeds both the vocabulary and the weights: written once so the text is tokenised once
     tf = materialize(term_counts(df, key, terms), "term_counts")
@@ -51,8 +58,8 @@ def tfidf(df: DataFrame, key: str, terms: Column, max_features: int | None = 500
     cols = ["term", "idf"] + (["index"] if with_index else [])
     w = tf.join(small.select(*cols), "term").withColumn("w", F.col("tf") * F.col("idf"))
     # per-document norm: a document's distinct terms, bounded by the document itself
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return w.withColumn("w", F.col("w") / norm).select(key, *[c for c in cols if c != "idf"], "w"), vocab
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
+    return w.withColumn("w", F.col("w") / norm).select(*keys, *[c for c in cols if c != "idf"], "w"), vocab
 
 
 def tfidf_vectors(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, out: str = "features") -> DataFrame:
@@ -70,11 +77,20 @@ def tfidf_vectors(df: DataFrame, key: str, tokens_col: str, vocab: DataFrame, ou
     return nm.transform(ep.transform(cv.transform(df))).drop("_tf", "_tfidf")
 
 
-def sparse_cosine(weights: DataFrame, pairs: DataFrame, key: str, left: str = "left", right: str = "right",
-                  pair: str = "pair_id") -> DataFrame:
-    """Cosine of L2-normalised TF-IDF rows for given pairs (pair, left key, right key): sum of w1*w2 over
+def sparse_cosine(weights: DataFrame, pairs: DataFrame, key: str | list[str], left: str | list[str] = "left",
+                  right: str | list[str] = "right", pair: str | list[str] = "pair_id") -> DataFrame:
+    """Cosine of L2-normalised TF-IDF rows for given pairs (pair..., left key..., right key...): sum of w1*w2 over
     shared terms. The join is on (pair, term), so a frequent term does not become one hot join key."""
-    lw = pairs.select(pair, F.col(left).alias(key)).join(weights, key).select(pair, "term", F.col("w").alias("w1"))
-    rw = pairs.select(pair, F.col(right).alias(key)).join(weights, key).select(pair, "term", F.col("w").alias("w2"))
-    dots = lw.join(rw, [pair, "term"]).groupBy(pair).agg(F.sum(F.col("w1") * F.col("w2")).alias("cosine"))
+    keys, pair = key_list(key), key_list(pair)
+
+    def side(cols: str | list[str], w: str) -> DataFrame:
+        # pair columns get names of their own, as they may also be key columns
+        p = pairs.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(pair)],
+                         *[F.col(c).alias(k) for c, k in zip(key_list(cols), keys)])
+        return p.join(weights, keys).select(*names, "term", F.col("w").alias(w))
+
+    names = [f"_p{i}" for i in range(len(pair))]
+    dots = (side(left, "w1").join(side(right, "w2"), [*names, "term"]).groupBy(*names)
+            .agg(F.sum(F.col("w1") * F.col("w2")).alias("cosine")))
+    dots = dots.select(*[F.col(n).alias(c) for n, c in zip(names, pair)], "cosine")
     return pairs.join(dots, pair, "left").fillna(0.0, subset=["cosine"])

@@ -65,6 +65,7 @@ def word_bias(df: DataFrame, tokens: Column, factors: list[str], min_df: int = 5
 
     totals = agg.where(F.col("word") == "").select("factor", "value", F.col("n11").alias("ny"))
     n_f = totals.groupBy("factor").agg(F.sum("ny").alias("n"))          # one row per factor
+    n_f = F.broadcast(n_f)  # as many rows as factors were asked for; never an exchange on the factor alone
     totals = totals.join(n_f, "factor")
     eligible = totals.where((F.col("ny") >= min_value) & (F.col("ny") < F.col("n")))
 

@@ -87,6 +87,19 @@ def majority_baseline(spark, d):
     return _eligibility(spark, d).select("target", F.round("majority_baseline", R).alias("majority_baseline"))
 
 
+_SKIP_SQL = _ELIG_SQL.replace("keep AS (SELECT * FROM cc WHERE n >= 3)", "keep AS (SELECT * FROM cc)").replace(
+    "least(5, min_class) >= 2) AS eligible", "least(5, min_class) >= 2 AND min_class >= 30) AS eligible")
+
+
+@register("class_guard_skip", _SKIP_SQL + "SELECT target, n_samples, n_classes, n_splits, eligible FROM e")
+def class_guard_skip(spark, d):
+    """a target with any class under the limit (here 30) is left out as a whole, none of its classes is dropped."""
+    docs = _docs(spark, d)
+    parts = [pr.eligible_rows(docs, t, 30, 10, "skip")[1].withColumn("target", F.lit(t)) for t in _TARGETS]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select("target", "n_samples", "n_classes", "n_splits", "eligible")
+
+
 # ----------------------------------------------------------------------------------------------- G9, G13
 FOLD_TARGET, K = "source", 5
 _FOLD_SQL = f"""WITH f AS (SELECT doc_id, source,
@@ -126,16 +139,27 @@ def _predict(spark, d, targets, models):
     return pr.predictability(docs, "id", _clean_text(), targets, MAX_FEATURES, MIN_DF, models)
 
 
-@register("predict_lr")
+def _beats_sql(targets, flag):
+    """What SQL can compute of a result: the class summary, and that the model beats the majority share."""
+    return _ELIG_SQL + (f"SELECT target, n_samples, n_classes, n_splits, round(majority_baseline, {R}) AS majority_baseline, "
+                        f"majority_baseline < 1.0 AS {flag} FROM e WHERE eligible AND target IN ({targets})")
+
+
+def _summary(p, metric, flag):
+    return p.select("target", F.col("n_samples").cast("bigint").alias("n_samples"),
+                    F.col("n_classes").cast("bigint").alias("n_classes"), F.col("n_splits").cast("int").alias("n_splits"),
+                    F.round("majority_baseline", R).alias("majority_baseline"),
+                    (F.col(metric) > F.col("majority_baseline")).alias(flag))
+
+
+@register("predict_lr", _beats_sql("'lang'", "lr_beats_baseline"))
 def predict_lr(spark, d):
-    return _predict(spark, d, ["lang"], ("lr",)).select("target", "n_samples", "n_classes", "majority_baseline",
-                                                         "lr_accuracy", "lr_std", "n_splits")
+    return _summary(_predict(spark, d, ["lang"], ("lr",)), "lr_accuracy", "lr_beats_baseline")
 
 
-@register("predict_mlp")
+@register("predict_mlp", _beats_sql("'lang'", "mlp_beats_baseline"))
 def predict_mlp(spark, d):
-    return _predict(spark, d, ["lang"], ("mlp",)).select("target", "n_samples", "n_classes", "majority_baseline",
-                                                          "mlp_accuracy", "mlp_std", "n_splits")
+    return _summary(_predict(spark, d, ["lang"], ("mlp",)), "mlp_accuracy", "mlp_beats_baseline")
 
 
 @register("signal_grade")
@@ -147,6 +171,56 @@ def signal_grade(spark, d):
                     pr.grade(gain_pp, pr.GRADE_GAIN_PP).alias("grade_b"))
 
 
+# ----------------------------------------------------------------------------------------------- composite keys
+KEYS = ["id", "story_index"]
+_TURN_SQL = _TFIDF_SQL.replace("doc_id", "conv_id, turn").replace("FROM documents", "FROM conversations").replace(
+    "tf.conv_id, turn", "tf.conv_id, tf.turn")
+
+
+def _turn_tfidf(spark, d):
+    return tfidf(tv.turns(spark, d), KEYS, terms(F.col("story")), MAX_FEATURES, MIN_DF)
+
+
+@register("tfidf_vocabulary_turns", _TURN_SQL + f"SELECT term, df, total, round(idf, {R}) AS idf, idx AS \"index\" FROM v")
+def tfidf_vocabulary_turns(spark, d):
+    _, vocab = _turn_tfidf(spark, d)
+    return vocab.select("term", "df", F.col("total").cast("bigint").alias("total"), F.round("idf", R).alias("idf"), "index")
+
+
+@register("tfidf_weights_turns", _TURN_SQL + f"""SELECT conv_id AS id, CAST(turn AS INTEGER) AS story_index, term, idx AS "index",
+   round(w / sqrt(sum(w * w) OVER (PARTITION BY conv_id, turn)), {R}) AS w FROM w""")
+def tfidf_weights_turns(spark, d):
+    w, _ = _turn_tfidf(spark, d)
+    return w.withColumn("w", F.round("w", R))
+
+
+_TURN_FOLD_SQL = f"""WITH f AS (SELECT conv_id AS id, CAST(turn AS INTEGER) AS story_index, role AS parent_role,
+   CAST((row_number() OVER (PARTITION BY role ORDER BY md5(CAST(conv_id AS VARCHAR) || '|' || CAST(turn AS VARCHAR) || '|42'),
+   conv_id, turn) - 1) % {K} AS INTEGER) AS fold FROM conversations WHERE role IS NOT NULL AND role <> '')
+"""
+
+
+def _turn_folds(spark, d):
+    rows = tv.turns(spark, d).where(has_value("parent_role")).select("parent_role", *KEYS)
+    return pr.stratified_folds(rows, "parent_role", KEYS, K)
+
+
+@register("stratified_folds_turns", _TURN_FOLD_SQL + "SELECT id, story_index, parent_role, fold FROM f")
+def stratified_folds_turns(spark, d):
+    return _turn_folds(spark, d).select(*KEYS, "parent_role", "fold")
+
+
+# G12 over a rule instead of a model: longer than 200 characters -> 'assistant', else 'user'
+@register("fold_metrics_rule", _TURN_FOLD_SQL + f""", p AS (SELECT f.fold, avg(CASE WHEN (CASE WHEN length(c.text) > 200
+   THEN 'assistant' ELSE 'user' END) = f.parent_role THEN 1.0 ELSE 0.0 END) AS acc
+   FROM f JOIN conversations c ON c.conv_id = f.id AND c.turn = f.story_index GROUP BY f.fold)
+SELECT round(avg(acc), {R}) AS accuracy, round(stddev_pop(acc), {R}) AS std, count(*) AS k FROM p""")
+def fold_metrics_rule(spark, d):
+    rule = tv.turns(spark, d).select(*KEYS, F.when(F.length("story") > 200, "assistant").otherwise("user").alias("prediction"))
+    out = pr.fold_accuracy(_turn_folds(spark, d).join(rule, KEYS), "parent_role", "prediction")
+    return out.select(F.round("accuracy", R).alias("accuracy"), F.round("std", R).alias("std"), "k")
+
+
 # ----------------------------------------------------------------------------------------------- E6, F32
 _CMP_TARGETS = ["source", "quality"]
 

@@ -40,8 +40,12 @@ def flag_rate(spark, d):
     return out.withColumn("flag_rate", F.round("flag_rate", R))
 
 
-@register("score_map_wide", f"WITH {LONG_SQL} PIVOT (SELECT id, category, score FROM long) ON category USING "
-          "coalesce(first(score), 0.0) GROUP BY id")
+# the categories of the events table; the query itself reads them from the data
+_WIDE = ["click", "error", "k", "purchase", "signup", "view"]
+
+
+@register("score_map_wide", f"WITH {LONG_SQL} SELECT id, " + ", ".join(
+    f"coalesce(max(CASE WHEN category = '{c}' THEN score END), 0.0) AS {c}" for c in _WIDE) + " FROM long GROUP BY id")
 def score_map_wide(spark, d):
     return sc.score_wide(_long(spark, d).drop("child_gender"), ["id", "story_index"]).drop("story_index")
 
@@ -126,12 +130,10 @@ dots AS (SELECT p.conv_id, p.turn, sum(x.w * y.w) AS c FROM pairs p JOIN w x ON
    JOIN w y ON y.conv_id = p.conv_id AND y.turn = p.turn + 1 AND y.term = x.term GROUP BY ALL)
 SELECT p.conv_id, p.turn, round(coalesce(d.c, 0.0), {R}) AS cosine FROM pairs p LEFT JOIN dots d USING (conv_id, turn)""")
 def tfidf_cosine(spark, d):
-    c = tv.table(spark, d, "conversations").withColumn("k", F.concat_ws(":", "conv_id", "turn"))
-    w, _ = tfidf(c, "k", terms(F.col("text")), max_features=None, min_df=1, with_index=False)
-    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("k").alias("right"))
-    pairs = c.select("conv_id", "turn", F.col("k").alias("left")).join(nxt, ["conv_id", "turn"])
-    pairs = pairs.withColumn("pair_id", F.col("left"))
-    out = sparse_cosine(w, pairs, "k", "left", "right", "pair_id")
+    c, keys = tv.table(spark, d, "conversations"), ["conv_id", "turn"]
+    w, _ = tfidf(c, keys, terms(F.col("text")), max_features=None, min_df=1, with_index=False)
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("turn").alias("next"))
+    out = sparse_cosine(w, c.select(*keys).join(nxt, keys), keys, keys, ["conv_id", "next"], keys)
     return out.select("conv_id", "turn", F.round("cosine", R).alias("cosine"))
 
 
@@ -169,12 +171,30 @@ def score_with_lexicon(spark, d):
 
 
 # ----------------------------------------------------------------------------------------------- G19
-@register("toxicity_model_scores")
-def toxicity_model_scores(spark, d):
+def _toxicity(spark, d):
     docs = tv.stories(spark, d, with_labels=True)
     docs = docs.select("id", "toxic", terms(strip_words_whole(F.col("story"), PREDICT_STOP_EN)).alias("_terms"))
     n = docs.agg(F.count(F.lit(1))).scalar()
     vocab = vocabulary(term_counts(docs, "id", F.col("_terms")), "id", n, 5000, 2)
-    scored = sc.model_scores(docs, "id", "_terms", "toxic", vocab)
-    return scored
+    return sc.model_scores(docs, "id", "_terms", "toxic", vocab)
+
+
+@register("toxicity_model_scores")
+def toxicity_model_scores(spark, d):
+    return _toxicity(spark, d)
+
+
+# F15 over the model's scores: what SQL can compute is the number of records and of labelled ones; the rate is held
+# against the labels (some flagged, recall among the labelled above the share flagged)
+@register("toxicity_flag_summary", """SELECT count(*) AS n, count_if(l.toxic IS NOT NULL) AS n_labelled,
+   count_if(l.toxic = 1) AS n_toxic, count_if(l.toxic = 1) > 0 AS flags_some, count_if(l.toxic = 1) > 0 AS recall_above_rate
+   FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def toxicity_flag_summary(spark, d):
+    labels = tv.table(spark, d, "labels").select(F.col("doc_id").alias("id"), "toxic")
+    s = sc.flag_rate(_toxicity(spark, d).join(labels, "id", "left"), "flagged", ["toxic"])
+    hit = F.sum(F.when(F.col("toxic") == 1, F.col("n_flagged"))) / F.sum(F.when(F.col("toxic") == 1, F.col("n")))
+    return s.agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("toxic").isNotNull(), F.col("n"))), F.lit(0)).alias("n_labelled"),
+                 F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("n_toxic"),
+                 (F.sum("n_flagged") > 0).alias("flags_some"),
+                 F.coalesce(hit > F.sum("n_flagged") / F.sum("n"), F.lit(False)).alias("recall_above_rate"))
 

@@ -10,6 +10,7 @@ from corpuslens.plans.q_scores import LEXICON_SCHEMA, LEXICON_SQL, lexicon_score
 from corpuslens.plans.registry import register
 from corpuslens.session import checkpoint_dir
 from corpuslens.sources import testviews as tv
+from corpuslens.sources.io import read_csv, read_jsonl, write_table
 from corpuslens.streaming.incremental import incremental_score, latest_windows, windowed_counts
 
 R = 9
@@ -58,6 +59,25 @@ def scan_stories(spark, d):
                     F.length("story").cast("bigint").alias("story_chars"))
 
 
+@register("jsonl_round_trip", "SELECT doc_id, text, lang, source, CAST(n_chars AS BIGINT) AS n_chars FROM documents")
+def jsonl_round_trip(spark, d):
+    """A1, A4, A5: written as JSON Lines (overwrite, then append of the other half), read with an explicit schema."""
+    docs = tv.table(spark, d, "documents").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("bigint").alias("n_chars"))
+    path = _scratch(spark, "jsonl")
+    write_table(docs.where("doc_id % 2 = 0"), path, "json", mode="overwrite")
+    write_table(docs.where("doc_id % 2 = 1"), path, "json", mode="append")
+    return read_jsonl(spark, path, docs.schema)
+
+
+@register("csv_round_trip", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def csv_round_trip(spark, d):
+    """Written as CSV with a header, read with an explicit schema."""
+    rows = tv.table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    path = _scratch(spark, "csv")
+    write_table(rows, path, "csv", mode="overwrite")
+    return read_csv(spark, path, rows.schema)
+
+
 @register("scan_by_language", """SELECT lang AS language, count(*) AS stories, sum(n_chars) AS chars
    FROM documents WHERE lang IN ('en', 'de') GROUP BY lang""".replace("sum(n_chars)", "CAST(sum(n_chars) AS BIGINT)"))
 def scan_by_language(spark, d):

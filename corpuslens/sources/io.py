@@ -9,9 +9,12 @@ from pyspark.sql import types as T
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
     """JSON Lines scan with an explicit schema. Blank lines give no row; a broken line fails the job
-    when ``strict`` (FAILFAST), else it is dropped."""
-    mode = "FAILFAST" if strict else "DROPMALFORMED"
-    return spark.read.schema(schema).option("mode", mode).json(path)
+    when ``strict`` (FAILFAST), else it gives a row of NULLs with the line in ``_corrupt_record``."""
+    if strict:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    marked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    return (spark.read.schema(marked).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
 
 
 def read_json_map(spark: SparkSession, path: str, key: str = "key", value: str = "value",

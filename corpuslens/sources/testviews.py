@@ -28,13 +28,15 @@ def stories(spark: SparkSession, sf_dir: str, with_labels: bool = False) -> Data
     d = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.lit(0).cast("int").alias("story_index"), F.col("text").alias("story"),
         F.col("lang").alias("language"), "source", "lang", "n_chars")
+    # A one-row-group file yields one scan task; spread the text work over the cluster's cores. The scan alone is
+    # asked for its partitions: a join would run its exchanges to answer.
+    d = spread(d)
     if with_labels:
         lab = table(spark, sf_dir, "labels").select(
             F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("quality"),
             F.col("toxic").cast("string").alias("toxic"))
         d = d.join(lab, "id", "left")
-    # A one-row-group file yields one scan task; spread the text work over the cluster's cores.
-    return spread(d)
+    return d
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

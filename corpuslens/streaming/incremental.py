@@ -2,14 +2,16 @@
 
 * ``incremental_score`` — resumable scoring: new keys are scored once; a re-run (even with a lost
   checkpoint) adds nothing, because every micro-batch is anti-joined against the sink before scoring.
-* ``windowed_counts`` — running per-window counts over an append-only event stream with a watermark
-  (state for closed windows is dropped), emitted in update mode into an append-only sink; readers take
-  the latest emission per window (``latest_windows``).
+* ``windowed_counts`` — running per-window counts over an append-only event stream, emitted in update mode into
+  an append-only sink; readers take the latest emission per window (``latest_windows``). Late records count, unless
+  the caller asks for a watermark.
 Both sinks are folders under the shared ``spark.checkpoint.dir``-style location the caller passes.
 """
 
 from __future__ import annotations
 
+import sys
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +23,21 @@ from corpuslens.operators.scores import score_with
 
 
 def _ensure_table(spark: SparkSession, path: str, schema: T.StructType | str) -> None:
-    try:
-        spark.read.parquet(path).limit(0).collect()
-    except Exception:  # not there yet: create it empty with its schema
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    """Create an empty table where the folder does not exist. An existing folder is never written to, and an error
+    while looking is raised, so a passing fault cannot empty a sink."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        spark.createDataFrame([], schema).write.mode("errorifexists").parquet(path)
+
+
+def _first_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The first record of each key in reading order."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    first = df.withColumn("_ord", F.monotonically_increasing_id()).groupBy(*keys).agg(
+        F.min_by(F.struct(*rest), "_ord").alias("_r"))
+    return first.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
 def incremental_score(spark: SparkSession, source: str, source_schema: T.StructType, sink: str, checkpoint: str,
@@ -35,7 +48,7 @@ def incremental_score(spark: SparkSession, source: str, source_schema: T.StructT
     _ensure_table(spark, sink, out_schema)
 
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
-        todo = prepare(batch).dropDuplicates(keys)
+        todo = _first_per_key(prepare(batch), keys)
         # Keys of this batch already in the sink: the sink's key column is semi-joined with the batch's keys
         # (the small side, which AQE can broadcast), so the growing sink is scanned, never shuffled.
         done = batch.sparkSession.read.parquet(sink).select(*keys).join(todo.select(*keys), keys, "left_semi")
@@ -48,34 +61,44 @@ def incremental_score(spark: SparkSession, source: str, source_schema: T.StructT
 
 
 WINDOW_SCHEMA = ("window_start timestamp, window_end timestamp, event_type string, n bigint, "
-                 "total_value double, n_flagged bigint, epoch bigint")
+                 "total_value double, n_flagged bigint, run bigint, epoch bigint")
 
 
 def windowed_counts(spark: SparkSession, source: str, source_schema: T.StructType, sink: str, checkpoint: str,
                     ts: str = "ts", group: str = "event_type", value: str = "value", flag_value: str = "error",
-                    window: str = "1 day", watermark: str = "1 day", max_files_per_trigger: int | None = None) -> None:
-    """Per (window, group): event count, value sum and flagged count, streamed with a watermark."""
+                    window: str = "1 day", watermark: str | None = None, max_files_per_trigger: int | None = None) -> None:
+    """Per (window, group): event count, value sum and flagged count.
+
+    By default every record counts, however late it comes: state is one row per (window, group), a few numbers each.
+    With a ``watermark`` the state of closed windows is dropped, and records later than it are not counted; the
+    stream's progress reports their number (``numRowsDroppedByWatermark``), which is printed when it is not 0."""
     _ensure_table(spark, sink, WINDOW_SCHEMA)
     reader = spark.readStream.schema(source_schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     ev = reader.parquet(source)
-    ev = ev.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", watermark)
+    ev = ev.withColumn("_ts", F.col(ts).cast("timestamp"))
+    if watermark:
+        ev = ev.withWatermark("_ts", watermark)
+    run = time.time_ns()  # a later run, also one without its checkpoint, outranks the epochs of an earlier one
     agg = ev.groupBy(F.window("_ts", window).alias("w"), F.col(group).alias("event_type")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(value).alias("total_value"),
         F.count_if(F.col(group) == F.lit(flag_value)).alias("n_flagged"))
 
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
         (batch.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "n",
-                      "total_value", "n_flagged", F.lit(epoch_id).cast("bigint").alias("epoch"))
+                      "total_value", "n_flagged", F.lit(run).alias("run"), F.lit(epoch_id).cast("bigint").alias("epoch"))
               .write.mode("append").parquet(sink))
 
     q = (agg.writeStream.outputMode("update").foreachBatch(each_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+    dropped = sum(o.numRowsDroppedByWatermark for p in q.recentProgress for o in p.stateOperators)
+    if dropped:
+        print(f"windowed_counts: {dropped} records came later than the watermark and are not counted", file=sys.stderr)
 
 
 def latest_windows(spark: SparkSession, sink: str) -> DataFrame:
-    """The final value of every (window, group): the row of the latest epoch."""
-    df = spark.read.parquet(sink)
-    return dedup_last_wins(df, ["window_start", "event_type"], "epoch")
+    """The final value of every (window, group): the row of the latest run and epoch."""
+    df = spark.read.parquet(sink).withColumn("_at", F.struct("run", "epoch")).drop("run", "epoch")
+    return dedup_last_wins(df, ["window_start", "event_type"], "_at")
