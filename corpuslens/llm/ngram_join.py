@@ -15,7 +15,7 @@ from corpuslens.session import materialize
 
 _U = np.uint64
 _REACH = 4096  # places apart that a bucket's members are compared in its second round
-_SKETCH = (4, 512)  # least and most 64-bit words of a parity sketch
+_SKETCH = (16, 512)  # least and most 64-bit words of a parity sketch
 
 
 class Bands:
@@ -49,8 +49,8 @@ class Bands:
 
 
     def sketch_words(self, band: int) -> int:
-        """Words of a parity sketch: a power of two with four bits or more for each difference a link allows."""
-        words, (least, most) = 4 * self.segments(band) / 64, _SKETCH
+        """Words of a parity sketch: a power of two with eight bits or more for each difference a link allows."""
+        words, (least, most) = 8 * self.segments(band) / 64, _SKETCH
         return min(most, max(least, 1 << max(0, math.ceil(math.log2(words)))))
 
 
