@@ -1,7 +1,8 @@
 """Text column expressions: tokenisers, sentence splitting, word stripping, multi-value parsing.
 
 All functions return ``Column`` objects built from Spark SQL built-ins (regexp_replace, split, filter,
-transform, aggregate ...), so they run inside whole-stage code generation; none of them is a Python UDF.
+transform, aggregate ...) and run in the JVM; none of them is a Python UDF. Expressions with a lambda are interpreted
+there, not part of the generated code.
 """
 
 from __future__ import annotations

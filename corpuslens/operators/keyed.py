@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 def dedup_last_wins(df: DataFrame, keys: list[str], ord_col: str) -> DataFrame:
     """One row per key: the row with the greatest ``ord`` (the last one written).
 
-    A hash aggregate of ``max(struct(ord, payload))``: partial aggregation collapses a hot key map-side,
-    unlike a sort-based window. Ties on ``ord`` are broken by the payload, so the result is deterministic."""
+    An aggregate of ``max(struct(ord, payload))`` (sort-based, as the buffer is a struct): partial aggregation
+    collapses a hot key map-side, unlike a window. Ties on ``ord`` are broken by the payload, so the result is deterministic."""
     payload = [c for c in df.columns if c not in keys and c != ord_col]
     return (df.groupBy(*keys).agg(F.max(F.struct(ord_col, *payload)).alias("_r"))
               .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in payload]))
