@@ -141,6 +141,15 @@ def strip_words_substring(text, words: Iterable[str]) -> Column:
     return c
 
 
+def strip_indicators(text, language) -> Column:
+    """Remove the indicator words before a prediction, by language: English whole words in any case; Hindi its own
+    list as substrings; any other language the English list as substrings."""
+    lang = F.lower(_col(language))
+    return (F.when(lang.isin("en", "english"), strip_words_whole(text, PREDICT_STOP_EN))
+             .when(lang.isin("hi", "hindi"), strip_words_substring(text, PREDICT_STOP_HI))
+             .otherwise(strip_words_substring(text, PREDICT_STOP_EN)))
+
+
 def split_multivalue(c) -> Column:
     """Comma list in a string -> array of trimmed, non-blank items (duplicates kept). NULL -> []."""
     arr = F.split(F.coalesce(_col(c), F.lit("")), ",")

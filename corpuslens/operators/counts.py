@@ -2,7 +2,7 @@
 crosstabs and shares.
 
 Top-k ties follow first appearance (as a Python ``Counter.most_common`` does): every item carries
-``first_seen = min(struct(key..., pos))`` so the order is total and reproducible. Top-k windows are
+``seen = min(seen_key(key..., pos))`` so the order is total and reproducible. Top-k windows are
 ``row_number() <= k`` (Catalyst inserts WindowGroupLimit, so each partition keeps only k rows per group
 before the window's shuffle). Aggregations use Spark's partial + final hash aggregate, so a hot group
 is combined map-side before it is shuffled.
@@ -21,11 +21,39 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def seen_key(df: DataFrame, cols: list[str]) -> Column:
+    """The columns as one value that orders as (cols...) does; take its min for the first appearance.
+
+    Integer columns of up to 38 digits together (a long, an int and an array position) become one decimal(38, 0),
+    whose min has a fixed-width buffer, so that the aggregate is hash-based. Other columns become a struct, whose
+    min is sort-based. Both give the same order; a NULL orders as the lowest value. Positions take 9 digits: an
+    array that fits in a row (2 GB, 8 bytes an item) is shorter than that."""
+    bits = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
+    widths = [31 if c == "pos" else bits.get(t.dataType.simpleString(), 999) for c, t in ((c, df.schema[c]) for c in cols)]
+    # decimal digits of each column's range; the first one keeps its sign, the others are shifted to 0 or more
+    digits = [{8: 3, 16: 5, 31: 9, 32: 10, 64: 20}.get(w, 99) for w in widths]
+    if sum(digits[1:]) + {8: 3, 16: 5, 31: 10, 32: 10, 64: 19}.get(widths[0], 99) > 38:
+        return F.struct(*cols)
+    def whole(n: int, p: int = 20) -> Column:
+        return F.lit(str(n)).cast(f"decimal({p},0)")
+
+    out = None
+    for c, w, d in zip(cols, widths, digits):
+        v = F.col(c).cast("decimal(20,0)")
+        if out is None:
+            out = F.coalesce(v, whole(-(2 ** (w - 1)))).cast("decimal(38,0)")
+        else:
+            low = 0 if c == "pos" else 2 ** (w - 1)
+            v = F.coalesce(v + whole(low), whole(0))
+            out = (out * whole(10 ** d, d + 1) + v).cast("decimal(38,0)")
+    return out
+
+
 def explode_items(df: DataFrame, items: Column, keys: list[str], keep: list[str] | None = None) -> DataFrame:
-    """One row per item occurrence: keep..., item, first-seen struct (keys..., pos)."""
+    """One row per item occurrence: keep..., item, seen (orders as (keys..., pos))."""
     keep = keep or []
-    return (df.select(*keep, *keys, F.posexplode(items).alias("pos", "item"))
-              .withColumn("seen", F.struct(*keys, "pos")).drop(*[k for k in keys if k not in keep], "pos"))
+    ex = df.select(*keep, *[k for k in keys if k not in keep], F.posexplode(items).alias("pos", "item"))
+    return ex.withColumn("seen", seen_key(ex, [*keys, "pos"])).drop(*[k for k in keys if k not in keep], "pos")
 
 
 def top_k_by_group(counts: DataFrame, group: list[str], k: int | None, order: list[Column] | None = None,
@@ -120,7 +148,7 @@ def value_counts(df: DataFrame, group: str, attrs: list[str], keys: list[str], t
     if drop_blank_group:
         base = base.where(has_value(group_name))
     u = unpivot(base, attrs, "attr", "value", keep=keys + [group_name]).withColumn("value", or_unknown("value"))
-    u = u.withColumn("seen", F.struct(*keys))
+    u = u.withColumn("seen", seen_key(u, keys))
     counts = u.groupBy(group_name, "attr", "value").agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("seen"))
     return top_k_by_group(counts, [group_name, "attr"], top_k).select(group_name, "attr", "value", "n", "rank")
 
@@ -134,7 +162,7 @@ def value_counts_by_factors(df: DataFrame, groups: list[str], attrs: list[str],
     u = u.where(has_value("group_value")) if drop_blank_group else u.withColumn("group_value", or_unknown("group_value"))
     u = unpivot(u, attrs, "attr", "value", keep=keys + ["factor", "group_value"]).withColumn("value", or_unknown("value"))
     counts = (u.groupBy("factor", "group_value", "attr", "value")
-               .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*keys)).alias("seen")))
+               .agg(F.count(F.lit(1)).alias("n"), F.min(seen_key(u, keys)).alias("seen")))
     if isinstance(top_k, dict):
         k_max = max(top_k.values())
         ks = F.create_map(*[x for f, k in top_k.items() for x in (F.lit(f), F.lit(k))])
@@ -161,17 +189,27 @@ def share_within(counts: DataFrame, group: list[str], n: str = "n", pct: str = "
 
 def crosstab(df: DataFrame, row: str, col: str, col_values: list[str], row_values: list[str] | None = None,
              value: Column | None = None) -> DataFrame:
-    """Row x column count matrix with a fixed column list (stable schema, no extra job); zeros kept.
-    When ``row_values`` is given, every listed row appears (right join to the row dimension)."""
-    agg = F.count(F.lit(1)) if value is None else F.sum(value)
-    wide = df.groupBy(row).pivot(col, col_values).agg(agg).fillna(0, subset=col_values)
+    """Row x column count matrix with a fixed column list (stable schema, no extra job); zeros kept. One aggregate
+    per column, so one exchange. When ``row_values`` is given, exactly the listed rows appear."""
+    one = F.lit(1) if value is None else value
+    wide = df.groupBy(row).agg(*[F.sum(F.when(F.col(col) == v, one)).alias(v) for v in col_values])
+    wide = wide.fillna(0, subset=col_values)
     if row_values is not None:
-        spark = df.sparkSession
-        dim = spark.createDataFrame([(v,) for v in row_values], f"{row} string")
-        wide = dim.join(wide, row, "left").fillna(0, subset=col_values)
+        wide = with_rows(wide, row, row_values).fillna(0, subset=col_values)
     return wide.select(row, *[F.col(v).cast("bigint").alias(v) for v in col_values])
 
 
+def with_rows(wide: DataFrame, row: str, row_values: list[str]) -> DataFrame:
+    """One row per listed value: ``wide``'s (one row per value at most), or NULLs. Both sides are bounded by the list."""
+    dim = (df_of_one(wide).select(F.explode(F.array(*[F.lit(v) for v in row_values])).alias(row)))
+    return dim.join(F.broadcast(wide.where(F.col(row).isin(row_values))), row, "left")
+
+
+def df_of_one(df: DataFrame) -> DataFrame:
+    """A frame of one row, for literal dimension tables."""
+    return df.sparkSession.range(1, numPartitions=1)
+
+
 def global_rank(df: DataFrame, order: list[Column], rank_col: str = "rank") -> DataFrame:
     """Dense 1..N position in a total order, computed without a single-partition window."""
     return rank_within(df, [], order, rank_col)

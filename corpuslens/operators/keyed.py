@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
+from corpuslens.operators.counts import crosstab, with_rows
 
 def dedup_last_wins(df: DataFrame, keys: list[str], ord_col: str) -> DataFrame:
     """One row per key: the row with the greatest ``ord`` (the last one written).
@@ -51,20 +51,28 @@ def categorize(df: DataFrame, keys: list[str], items: Column, dim: DataFrame, di
     records, keys = df.select(*keys, "_items").distinct(), [*keys, "_items"]
     ex = records.select(*keys, F.posexplode("_items").alias("pos", "item"))
     ex = apply_lookup(ex, "item", dim, dim_item, dim_value, "category", categories, default)
-    per = (ex.groupBy(*keys, "category")
-             .agg(F.sort_array(F.collect_list(F.struct("pos", "item"))).alias("_l"))
-             .groupBy(*keys)
-             .agg(F.map_from_entries(F.collect_list(F.struct("category", F.transform("_l", lambda x: x["item"]))))
-                  .alias("_m")))
-    cats = F.array(*[F.lit(c) for c in categories])
-    full = F.map_from_arrays(cats, F.transform(cats, lambda c: F.coalesce(
-        F.element_at(F.col("_m"), c), F.array().cast("array<string>"))))
-    per = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_m")
+    # one grouping for all categories: collect_list leaves out the NULLs that `when` gives for the other ones
+    per = ex.groupBy(*keys).agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("category") == c, F.struct("pos", "item")))).alias(f"_c{i}")
+        for i, c in enumerate(categories)])
+    full = F.create_map(*[x for i, c in enumerate(categories) for x in (
+        F.lit(c), F.coalesce(F.col(f"_c{i}.item"), F.array().cast("array<string>")))])
+    per = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[f"_c{i}" for i in range(len(categories))])
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return (df.join(per, same, "left").withColumn("categorized", full)
-            .drop("_m", "_items", *[f"_k{i}" for i in range(len(keys))]))
+            .drop("_items", *[f"_k{i}" for i in range(len(keys))], *[f"_c{i}" for i in range(len(categories))]))
+
+
+def category_counts(df: DataFrame, items: Column, group: str, group_values: list[str], dim: DataFrame, dim_item: str,
+                    dim_value: str, categories: list[str], default: str = "other") -> DataFrame:
+    """category x group counts of items, every category and group listed. Items are counted per group before the
+    lookup, so that one row per distinct item is shuffled and joined; records are not put together again."""
+    per_item = crosstab(df.select(group, F.explode(items).alias("item")), "item", group, group_values)
+    looked_up = apply_lookup(per_item, "item", dim, dim_item, dim_value, "category", categories, default)
+    sums = looked_up.groupBy("category").agg(*[F.sum(v).alias(v) for v in group_values])
+    return with_rows(sums, "category", categories).fillna(0, subset=group_values).select("category", *group_values)
 
 
 def enrich(df: DataFrame, constants: dict) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import has_value
+from corpuslens.operators.counts import unpivot
 from corpuslens.operators.partitioning import rank_within
 from corpuslens.operators.tfidf import key_list
 from corpuslens.session import materialize
@@ -55,6 +56,25 @@ def eligible_rows(df: DataFrame, label: str, min_class_size: int = 3, min_rows:
     return rows, s
 
 
+def eligibility(df: DataFrame, targets: list[str], min_class_size: int = 3, min_rows: int = 10,
+                on_small_class: str = "filter") -> DataFrame:
+    """The summary of :func:`eligible_rows` for several targets from one pass over ``df``: target, n_samples, n_classes,
+    min_class, n_splits, majority_baseline, eligible. A target without a labelled row has no row here."""
+    cc = (unpivot(df, targets, "target", "cls").where(has_value("cls"))
+          .groupBy("target", "cls").agg(F.count(F.lit(1)).alias("n")))
+    kept = F.col("n") >= (min_class_size if on_small_class == "filter" else 0)
+    n = F.when(kept, F.col("n"))
+    s = cc.groupBy("target").agg(
+        F.sum("n").alias("n_before"), F.sum(n).cast("bigint").alias("n_samples"), F.count(n).alias("n_classes"),
+        F.min(n).alias("min_class"), F.max(n).alias("max_class"))
+    s = s.withColumn("n_splits", F.least(F.lit(5), F.col("min_class")).cast("int"))
+    s = s.withColumn("majority_baseline", F.try_divide(F.col("max_class").cast("double"), F.col("n_samples")))
+    ok = (F.col("n_before") >= min_rows) & (F.col("n_classes") >= 2) & (F.col("n_splits") >= 2)
+    if on_small_class != "filter":
+        ok = ok & (F.col("min_class") >= min_class_size)
+    return s.withColumn("eligible", F.coalesce(ok, F.lit(False))).drop("n_before", "max_class")
+
+
 def stratified_folds(df: DataFrame, label: str, key: str | list[str], k: int | Column, seed: int = SEED) -> DataFrame:
     """fold = (position inside the class in a seeded hash order) mod k: per class, fold sizes differ by <= 1.
     The position comes from a distributed rank (no one-task window over a large class)."""
@@ -126,8 +146,9 @@ def cv_accuracy(folded: DataFrame, features: str, label_idx: str, k: int, model:
                                                  tol=tol)
         return est.fit(train).transform(test).select("fold", label_idx, "prediction")
 
-    # The k fits are independent jobs: submit them concurrently (each one is still distributed).
-    with ThreadPoolExecutor(max_workers=k) as pool:
+    # The k fits are independent jobs: submit them concurrently (each one is still distributed). A network's L-BFGS
+    # history on the driver is some 20 copies of its weights, so only two networks are fitted at a time.
+    with ThreadPoolExecutor(max_workers=k if model == "lr" else min(k, 2)) as pool:
         preds = list(pool.map(fit_fold, range(k)))
     allp = preds[0]
     for p in preds[1:]:

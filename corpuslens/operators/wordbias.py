@@ -16,7 +16,7 @@ Plan (no matrix, no cross join):
      row_number window (WindowGroupLimit), written once (k rows per value).
 Pairs that never co-occur (n11 = 0) have phi = -sqrt(nx*ny / ((n-nx)*(n-ny))) < 0, decreasing in nx. They
 can only enter a value's top k when its top k is short or reaches phi <= 0; only for such values the
-k best absent words are generated: words ranked by (nx, word) within the factor, ranks 1..k+p_v exploded
+k best absent words are generated: words ranked by (nx, word) within the factor, ranks 1..k+p_v exploded in blocks
 (p_v = words co-occurring with v), co-occurring ones removed. Work is bounded by the pair table.
 """
 
@@ -29,6 +29,8 @@ from corpuslens.functions.text import has_value
 from corpuslens.operators.partitioning import rank_within
 from corpuslens.session import materialize
 
+RANK_BLOCK = 4096  # ranks that one row of the absent-word step is exploded to
+
 
 def _phi(n: Column, n11: Column, nx: Column, ny: Column) -> Column:
     n, n11, nx, ny = (c.cast("double") for c in (n, n11, nx, ny))
@@ -77,7 +79,7 @@ def word_bias(df: DataFrame, tokens: Column, factors: list[str], min_df: int = 5
     present = (pairs.join(vocab, ["factor", "word"])
                     .join(eligible, ["factor", "value"])
                     .withColumn("phi", _phi(F.col("n"), F.col("n11"), F.col("nx"), F.col("ny"))))
-    w = Window.partitionBy("factor", "value").orderBy(F.round("phi", 9).desc(), F.col("word").asc())
+    w = Window.partitionBy("factor", "value").orderBy(F.col("phi").desc(), F.col("word").asc())
     top = (present.select("factor", "value", "word", "nx", "phi")
                   .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k))
     # k rows per value: small, written once so the check below and the result share one computation
@@ -95,8 +97,13 @@ def word_bias(df: DataFrame, tokens: Column, factors: list[str], min_df: int = 5
             needy = needy.join(p_v, ["factor", "value"], "left").fillna(0, subset=["p_v"])
             # words by (nx, word) inside each factor: distributed rank, not a one-task window per factor
             ranked = rank_within(vocab, ["factor"], [F.col("nx"), F.col("word")], "r")
-            want = needy.select("factor", "value", "n", "ny",
-                                F.explode(F.sequence(F.lit(1), F.col("p_v") + F.lit(top_k))).alias("r"))
+            # ranks in blocks that are dealt out before they are exploded: no task makes a whole vocabulary's ranks
+            last = F.col("p_v") + F.lit(top_k)
+            blocks = (needy.select("factor", "value", "n", "ny", last.alias("last"),
+                                   F.explode(F.sequence(F.lit(1), last, F.lit(RANK_BLOCK))).alias("lo"))
+                           .repartition("factor", "value", "lo"))
+            hi = F.least(F.col("last"), F.col("lo") + F.lit(RANK_BLOCK - 1))
+            want = blocks.select("factor", "value", "n", "ny", F.explode(F.sequence(F.col("lo"), hi)).alias("r"))
             # co-occurring pairs of the needy values only (semi-join with the small needy table)
             seen = pairs.join(needy.select("factor", "value"), ["factor", "value"], "left_semi")
             absent = (want.join(ranked, ["factor", "r"])

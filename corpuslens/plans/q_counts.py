@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions.text import normalise, render_top, split_multivalue
 from corpuslens.operators.counts import (crosstab, explode_items, global_rank, item_counts_by_factors, leaning,
                                          share_within, union_top, value_counts_by_factors)
-from corpuslens.operators.keyed import categorize, dedup_last_wins, merge_keyed
+from corpuslens.operators.keyed import categorize, category_counts, dedup_last_wins, merge_keyed
 from corpuslens.plans import sqltext as q
 from corpuslens.plans.registry import register
 from corpuslens.sources import testviews as tv
@@ -46,7 +46,8 @@ def _joined(spark, d, nationality: bool = True):
 
 
 def _trait_dim(spark):
-    return spark.createDataFrame(TRAIT_DIM, "trait string, category string")
+    rows = F.array(*[F.struct(F.lit(t).alias("trait"), F.lit(c).alias("category")) for t, c in TRAIT_DIM])
+    return spark.range(1, numPartitions=1).select(F.inline(rows))
 
 
 # ----------------------------------------------------------------------------------------------- SQL twins
@@ -250,9 +251,14 @@ def categorize_traits(spark, d):
                        F.size("traits").cast("bigint").alias("n"))
 
 
+def _cat_matrix(spark, d):
+    """category x gender counts, all categories and genders listed: counted per trait, then looked up."""
+    return category_counts(_ann(spark, d), _traits(), "child_gender", GENDERS, _trait_dim(spark), "trait", "category",
+                           TRAIT_CATEGORIES)
+
+
 def _cat_gender_counts(spark, d):
-    long = _cat_long(spark, d)
-    return long.groupBy("category", "child_gender").agg(F.sum(F.size("traits")).cast("bigint").alias("n"))
+    return _cat_matrix(spark, d).unpivot(["category"], GENDERS, "child_gender", "n")
 
 
 _CG_SQL = _CAT_BASE + """, g(child_gender) AS (VALUES """ + ", ".join(f"('{g}')" for g in GENDERS) + """),
@@ -264,8 +270,7 @@ cg AS (SELECT cats.category, g.child_gender, CAST(count(cex.item) AS BIGINT) AS
 @register("category_by_gender", _CG_SQL + "PIVOT cg ON child_gender IN (" + ", ".join(f"'{g}'" for g in GENDERS)
           + ") USING sum(n)::BIGINT GROUP BY category")
 def category_by_gender(spark, d):
-    long = _cat_long(spark, d).select("category", "child_gender", F.explode("traits").alias("t"))
-    return crosstab(long, "category", "child_gender", GENDERS, TRAIT_CATEGORIES)
+    return _cat_matrix(spark, d)
 
 
 @register("category_pct_by_gender", _CG_SQL + f"""SELECT category, child_gender, n,

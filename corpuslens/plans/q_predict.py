@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuslens.functions.text import PREDICT_STOP_EN, has_value, strip_words_whole, terms
+from corpuslens.functions.text import has_value, strip_indicators, terms
 from corpuslens.operators import predict as pr
 from corpuslens.operators.tfidf import tfidf
 from corpuslens.plans import sqltext as q
@@ -66,15 +66,7 @@ e AS (SELECT s.target, n_samples, n_classes, CAST(least(5, min_class) AS INTEGER
 
 
 def _eligibility(spark, d):
-    docs = _docs(spark, d)
-    parts = []
-    for t in _TARGETS:
-        _, s = pr.eligible_rows(docs, t, 3, 10, "filter")
-        parts.append(s.withColumn("target", F.lit(t)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return pr.eligibility(_docs(spark, d), _TARGETS, 3, 10, "filter")
 
 
 @register("class_eligibility", _ELIG_SQL + "SELECT target, n_samples, n_classes, n_splits, eligible FROM e")
@@ -94,9 +86,7 @@ _SKIP_SQL = _ELIG_SQL.replace("keep AS (SELECT * FROM cc WHERE n >= 3)", "keep A
 @register("class_guard_skip", _SKIP_SQL + "SELECT target, n_samples, n_classes, n_splits, eligible FROM e")
 def class_guard_skip(spark, d):
     """a target with any class under the limit (here 30) is left out as a whole, none of its classes is dropped."""
-    docs = _docs(spark, d)
-    parts = [pr.eligible_rows(docs, t, 30, 10, "skip")[1].withColumn("target", F.lit(t)) for t in _TARGETS]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = pr.eligibility(_docs(spark, d), _TARGETS, 30, 10, "skip")
     return out.select("target", "n_samples", "n_classes", "n_splits", "eligible")
 
 
@@ -131,7 +121,7 @@ def dummy_cv(spark, d):
 
 # ----------------------------------------------------------------------------------------------- G10-G12, G14
 def _clean_text():
-    return strip_words_whole(F.col("story"), PREDICT_STOP_EN)
+    return strip_indicators("story", "language")
 
 
 def _predict(spark, d, targets, models):
@@ -263,3 +253,21 @@ def compare_predictability(spark, d):
                       F.round("gain_b_share_minority", R).alias("gain_b"),
                       F.round("ratio_share_minority", R).alias("ratio"))
 
+
+
+_CMP_LR = ("SELECT a.target, round(a.majority_baseline, 9) AS baseline, round(b.majority_baseline, 9) AS baseline_b, "
+           "TRUE AS accuracies_are_shares")
+
+
+@register("compare_predictability_lr", f"""WITH a AS {_elig_lang_sql('en')}, b AS {_elig_lang_sql('fr')}
+{_CMP_LR} FROM a JOIN b USING (target) WHERE target = 'source'""")
+def compare_predictability_lr(spark, d):
+    """E6 and F32 on two result tables: one run of the predictability table per language (logistic regression on
+    ``source``), joined. SQL holds the baselines, and that both accuracies are shares above 0; tests hold the gains."""
+    docs = _docs(spark, d)
+    en, fr = (pr.predictability(docs.where(F.col("language") == lang), "id", _clean_text(), ["source"], MAX_FEATURES,
+                                MIN_DF, ("lr",)) for lang in ("en", "fr"))
+    out = pr.compare_results(en, fr, "target", ("lr_accuracy",), order=_CMP_TARGETS)
+    ok = F.col("lr_accuracy_a").between(1e-9, 1.0) & F.col("lr_accuracy_b").between(1e-9, 1.0)
+    return out.select("target", F.round("baseline", R).alias("baseline"),
+                      F.round("majority_baseline_b", R).alias("baseline_b"), ok.alias("accuracies_are_shares"))

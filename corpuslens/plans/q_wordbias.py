@@ -50,7 +50,7 @@ phi AS (
             / sqrt(CAST(nx AS DOUBLE) * (CAST(n AS DOUBLE) - CAST(nx AS DOUBLE)) * CAST(ny AS DOUBLE)
                    * (CAST(n AS DOUBLE) - CAST(ny AS DOUBLE))) AS phi
   FROM grid),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY factor, value ORDER BY round(phi, 9) DESC, word ASC) AS rk FROM phi)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY factor, value ORDER BY phi DESC, word ASC) AS rk FROM phi)
 SELECT factor, value AS factor_value, CAST(rk AS INTEGER) AS rank, word, phi AS pearson_correlation,
        CAST(nx AS BIGINT) AS word_count
 FROM ranked WHERE rk <= {TOP_K}

@@ -1,6 +1,7 @@
 """Inputs that the oracle tables don't hold: unreadable sinks, late records, NULL groups and flags, repeated keys."""
 
 import os
+import re
 import subprocess
 import sys
 
@@ -8,12 +9,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import split_multivalue, terms
+from corpuslens.operators import counts as C
 from corpuslens.operators import predict as pr
+from corpuslens.operators import wordbias as wb
 from corpuslens.operators.keyed import categorize
 from corpuslens.operators.partitioning import rank_within
 from corpuslens.operators.scores import flag_rate, model_scores, score_by_factor
 from corpuslens.operators.similarity import agreement
 from corpuslens.operators.tfidf import term_counts, tfidf, vocabulary
+from corpuslens.operators.wordbias import word_bias
+from corpuslens.plans import queries
 from corpuslens.sources import testviews as tv
 from corpuslens.sources.io import read_jsonl
 from corpuslens.streaming.incremental import incremental_score, latest_windows, windowed_counts
@@ -140,3 +145,61 @@ def test_cluster_without_checkpoint_folder_is_told(tmp_path):
     env = {k: v for k, v in os.environ.items() if not k.startswith(("SPARK", "PYSPARK"))} | {"PYTHONPATH": ROOT}
     out = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True)
     assert out.returncode and "spark.checkpoint.dir" in out.stderr
+
+
+def test_seen_key_orders_as_the_columns_do(spark):
+    rows = [(a, b, p) for a in (-(2 ** 63), -5, None, 0, 7, 2 ** 63 - 1) for b in (-(2 ** 31), -1, 3, 2 ** 31 - 1) for p in (0, 9)]
+    df = spark.createDataFrame(rows, "id long, story_index int, pos int").withColumn("pos", F.col("pos"))
+    key = C.seen_key(df, ["id", "story_index", "pos"])
+    got = df.select("*", key.alias("k")).where("id is not null")
+    assert got.schema["k"].dataType.simpleString() == "decimal(38,0)"
+    by_key = [tuple(r)[:3] for r in got.orderBy("k").collect()]
+    assert by_key == sorted(r for r in rows if r[0] is not None)
+    # NULL ids come first; string keys keep the struct
+    assert df.orderBy(key).first().id in (None, -(2 ** 63))
+    text = spark.createDataFrame([("a", 1)], "id string, pos int")
+    assert text.select(C.seen_key(text, ["id", "pos"]).alias("k")).schema["k"].dataType.simpleString().startswith("struct")
+
+
+def _plan(df):  # the plan before any stage has run
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_seen_counts_use_hash_aggregates(spark):
+    for name in ("traits_by_factor", "leaning_traits", "context_by_factor"):
+        assert "SortAggregate" not in _plan(queries()[name](spark, SF)), name
+
+
+def test_category_matrix_takes_one_exchange_of_items(spark):
+    assert _plan(queries()["category_by_gender"](spark, SF)).count("Exchange hashpartitioning") <= 2
+
+
+def test_word_bias_has_no_shuffled_join_on_the_factor_alone(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(i, ("a", "b", "rare")[i % 3 if i < 60 else 0], [f"w{(i * 7 + j) % 40}" for j in range(4)]) for i in range(90)]
+        df = spark.createDataFrame(rows, "id long, f string, toks array<string>")
+        plan = _plan(word_bias(df, F.col("toks"), ["f"], min_df=1, top_k=10))
+        # the sum of stories per factor is exchanged by factor, as one partial row per task; nothing is joined that way
+        assert not re.search(r"(SortMergeJoin|ShuffledHashJoin) \[factor#\d+\], \[factor#\d+\]", plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_word_bias_ranks_over_several_blocks(spark, monkeypatch):
+    rows = [(i, "rare" if i < 3 else "abc"[i % 3], ["x"] if i < 3 else [f"w{(i * 5 + j) % 30}" for j in range(6)]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, f string, toks array<string>")
+    whole = sorted(map(tuple, word_bias(df, F.col("toks"), ["f"], min_df=1, top_k=12).collect()))
+    monkeypatch.setattr(wb, "RANK_BLOCK", 5)
+    assert sorted(map(tuple, word_bias(df, F.col("toks"), ["f"], min_df=1, top_k=12).collect())) == whole
+
+
+def test_eligibility_of_several_targets_equals_one_by_one(spark):
+    rows = [(i, "ab"[i % 2], "rare" if i < 2 else "often", None if i < 40 else "x") for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, f string, g string, h string")
+    for rule, low in (("filter", 3), ("skip", 3)):
+        got = {r.target: r for r in pr.eligibility(df, ["f", "g", "h"], low, 10, rule).collect()}
+        for t in ("f", "g", "h"):
+            one = pr.eligible_rows(df, t, low, 10, rule)[1].first()
+            assert all(got[t][c] == one[c] for c in one.asDict()), (rule, t)

@@ -56,7 +56,7 @@ def _brute(rows, k, min_df=1, min_value=3):
         for w, nx in vocab.items():
             n11 = sum(1 for _, x, toks in rows if x == v and w in toks)
             phi = (n * n11 - nx * ny) / math.sqrt(nx * (n - nx) * ny * (n - ny))
-            cand.append((-round(phi, 9), w, phi))
+            cand.append((-phi, w, phi))
         cand.sort()
         out[v] = [(w, p) for _, w, p in cand[:k]]
     return out

@@ -76,3 +76,10 @@ def test_readability_formula(spark):
     r = df.collect()[0]
     assert r.flesch_reading_ease == pytest.approx(206.835 - 1.015 * 3 - 84.6 * 1)
     assert r.flesch_kincaid_grade == pytest.approx(0.39 * 3 + 11.8 * 1 - 15.59)
+
+
+def test_strip_indicators_by_language(spark):
+    rows = [("english", "My Son and season, HINDU"), ("hindi", "मेरी बेटी son"), ("fr", "raison Son hindu Hindu")]
+    df = spark.createDataFrame(rows, "language string, t string")
+    got = {r.language: r.x for r in df.select("language", T.strip_indicators("t", "language").alias("x")).collect()}
+    assert got == {"english": "My  and season, ", "hindi": "मेरी  son", "fr": "rai Son hindu "}
