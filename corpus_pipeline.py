@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import line_align, mixing, ngram_join, packing, quality_lines
+from corpuslens.llm.common import unique_ids
 from corpuslens.llm.queries import documents, vocab
 from corpuslens.session import materialize
 
@@ -25,8 +26,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates (five-word shingles, 0.8 or more)."""
-    groups = ngram_join.near_duplicates(docs)
-    return docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    named, repeated = unique_ids(docs, "doc_id", "text", "_near_id")
+    groups = ngram_join.near_duplicates(named, id_col="_near_id")
+    later = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_near_id")).distinct()
+    kept = named.join(later, "_near_id", "left_anti")
+    if repeated:  # rows with equal id and text are one document
+        kept = kept.where("_near_id is not null").dropDuplicates(["_near_id"]).unionByName(kept.where("_near_id is null"))
+    return kept.select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpuslens.operators.partitioning import rank_within
 
 SLICE_BYTES = 1 << 20  # text bytes a kernel holds at once, unless one text alone is longer
 _U = np.uint64
@@ -145,3 +149,19 @@ def shingle_sets(col: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield i + r, mix64(acc + _U(n))
             else:
                 yield i + r, np.zeros(0, np.uint64)
+
+
+def unique_ids(docs: DataFrame, id_col: str, text_col: str, out: str) -> tuple[DataFrame, bool]:
+    """``docs`` with a long column ``out`` that names (id, text), and whether ids repeat; null where the id is.
+
+    It is the id itself if no id repeats. Else it is the rank of (id, hash of the text), so it keeps the order of
+    the ids, rows with equal id and text share one, and different texts under one id get different ones."""
+    own, text = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))
+    known = docs.where(own.isNotNull())
+    if known.groupBy(own.alias("id")).count().where("count > 1").isEmpty():
+        return docs.withColumn(out, own), False
+    names = rank_within(known.select(own.alias("_u_id"), text.alias("_u_text")).distinct(), [],
+                        [F.col("_u_id"), F.col("_u_text")], "_u_rank")
+    named = docs.drop("_u_id", "_u_text", "_u_rank").withColumns({"_u_id": own, "_u_text": text})
+    return (named.join(names, ["_u_id", "_u_text"], "left").withColumn(out, F.col("_u_rank"))
+            .drop("_u_id", "_u_text", "_u_rank")), True

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.llm.common import unique_ids
 from corpuslens.session import materialize
 
 
@@ -115,8 +116,8 @@ def common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Documents with the same line sequence are one class: later ones are aligned whole. Common blocks
     (:func:`common_blocks`) are judged on the input, not on what other pairs leave.
 
-    Blank lines match but don't count. Null and empty texts have no lines in common; null ids take no part, and rows
-    that repeat an id are taken as one document each with that id (their removed lines are the union)."""
+    Blank lines match but don't count. Null and empty texts have no lines in common; null ids take no part. Different
+    texts need different ids here (:func:`line_dedup` sees to it); rows with equal id and text are one document."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(_line_rows(src.where("doc_id is not null")), "line-hashes")
     real = rows.where(F.exists("lines", lambda x: x != 0))
@@ -159,12 +160,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the common lines taken out of ``text_col``, and ``_n_lines``, ``_n_removed``.
 
     Every row is kept, also those that lose all lines (their text is ""). Null and empty texts and null ids are
-    unchanged. See :func:`common_lines` for what is removed; all other columns are kept."""
-    gone = common_lines(docs, id_col, text_col, **limits).select(
+    unchanged. Rows with equal id and text are one document; different texts under one id are documents of their own,
+    ordered by a hash of the text. See :func:`common_lines` for what is removed; all other columns are kept, but
+    for columns with the names of the helpers ``_line_id``, ``_removed``, ``_n_lines`` and ``_n_removed``."""
+    docs, _ = unique_ids(docs.drop("_line_id", "_removed"), id_col, text_col, "_line_id")
+    gone = common_lines(docs, "_line_id", text_col, **limits).select(
         F.col("doc_id").alias("_line_id"), F.col("removed").alias("_removed"))
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    return (docs.join(gone, docs[id_col].cast("long") == F.col("_line_id"), "left")
+    return (docs.join(gone, "_line_id", "left")
             .withColumn("_n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
             .withColumn("_n_removed", F.coalesce(F.size("_removed"), F.lit(0)).cast("long"))
             .withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(left))

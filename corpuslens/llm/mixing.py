@@ -82,7 +82,7 @@ def mix_to_targets(docs: DataFrame, targets: dict[str, dict[str, float]] | None
     plain = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " "))
     words = F.when(plain == "", 0).otherwise(F.size(F.split(plain, " "))).cast("long")
     dims = {"_d_source": F.col("source"), "_d_lang": F.col("lang"), "_d_topic": topic}
-    rows = docs.withColumns({k: F.coalesce(v.cast("string"), F.lit("")) for k, v in dims.items()}
+    rows = docs.drop("_p").withColumns({k: F.coalesce(v.cast("string"), F.lit("")) for k, v in dims.items()}
                             | {"_tokens": words})
     keys = list(dims)
     cells = rows.groupBy(*keys).agg(F.sum("_tokens").alias("n")).limit(max_cells + 1).collect()

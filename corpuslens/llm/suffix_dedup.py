@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import as_long, mix64, text_bytes
+from corpuslens.llm.common import as_long, mix64, text_bytes, unique_ids
 from corpuslens.session import materialize
 
 _U = np.uint64
@@ -343,9 +343,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     string that starts earlier (smaller doc_id, or same document and earlier start) are removed.
 
     Texts are read as UTF-8 bytes; matches never cross documents, overlaps count, and strings are judged on the input.
-    ``spans`` are the maximal removed runs as (start, length). A null text counts as empty. Ids are taken to be
-    unique and not null: rows with a null id are returned with nothing removed and take no part, and rows that repeat
-    an id are one document for the order, so a repeat between them is found by its start. An empty table gives an
+    ``spans`` are the maximal removed runs as (start, length). A null text counts as empty. Rows with a null id are
+    returned with nothing removed and take no part. Rows with equal id and text are one document and have the same result;
+    different texts under one id are documents of their own, ordered by a hash of the text. An empty table gives an
     empty result; other columns are not read.
 
     1. Every window samples one suffix (:func:`sample`), about one in 30 positions, carried as a tuple of names.
@@ -355,6 +355,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        with its bytes, and the windows around the gram are induced from the sorted suffixes (:func:`induce`).
     Names are 64-bit hashes of whole stretches; induced windows are compared byte by byte."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src, repeated = unique_ids(src, "doc_id", "text", "name")
+    if not repeated:
+        return _remove(src.select("doc_id", "text"), window, gram)
+    src = materialize(src, "named-rows")
+    once = src.where("name is not null").dropDuplicates(["name"]).union(src.where("name is null"))
+    done = _remove(once.select(F.col("name").alias("doc_id"), "text"), window, gram).withColumnRenamed("doc_id", "name")
+    owners = src.where("name is not null").select("name", "doc_id")
+    return done.join(owners, "name", "left").select("doc_id", *[c for c in done.columns if c != "name"])
+
+
+def _remove(src: DataFrame, window: int, gram: int) -> DataFrame:
+    """:func:`remove_repeats` of (doc_id, text); ids that aren't null are unique."""
     known = src.where("doc_id is not null and text is not null")
     decided = materialize(_sampled(known, window, gram).repartition("gram")
                           .sortWithinPartitions("kind", "gram", "stretch", "doc_id", "at")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -30,10 +31,22 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(vocab_path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.value, self.batch_bytes, self.max_pieces = value, batch_bytes, max_pieces
+        self.cuts = self._safe(vocab_path)
+        self.value, self.batch_bytes, self.max_pieces = value, batch_bytes, max_pieces if self.cuts else 0
         self.bare: dict = {}
         self.spaced: dict = {}  # by piece without its leading space
 
+    @staticmethod
+    def _safe(vocab_path: str) -> bool:
+        """Whether the file's texts may be cut at safe spaces: plain byte-level pre-tokens, and no added token that
+        holds or takes in a space."""
+        with open(vocab_path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = spec.get("pre_tokenizer") or {}
+        return ((pre.get("type"), pre.get("use_regex", True), pre.get("add_prefix_space")) == ("ByteLevel", True, False)
+                and spec.get("normalizer") is None
+                and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens") or []))
+
     def _learn(self, known: dict, new: Iterable[str], prefix: str) -> None:
         batch: list[str] = []
         size = 0
@@ -50,9 +63,10 @@ class PieceEncoder:
         found = self.tokenizer.encode_batch([prefix + p for p in batch], add_special_tokens=False)
         known.update(zip(batch, map(self.value, found)))
 
-    @staticmethod
-    def cut(text: str) -> tuple[str, list[str]]:
+    def cut(self, text: str) -> tuple[str, list[str]]:
         """The first piece, and the others without their leading space."""
+        if not self.cuts:
+            return text, []
         if _UNSAFE_SPACE.search(text):
             parts = _SAFE_CUT.split(text)
             return parts[0], [p[1:] for p in parts[1:]]
@@ -71,6 +85,18 @@ class PieceEncoder:
             yield [bare[head], *map(spaced, rest)]
 
 
+class SentencePieces:
+    """The same for a ``.model`` file of ``sentencepiece``: whole texts, nothing remembered."""
+
+    def __init__(self, vocab_path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=vocab_path)
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        return ([len(ids)] for ids in self.model.encode(texts, num_threads=1))
+
+
 def balanced(texts: list[str], limit: int) -> Iterator[list[str]]:
     """Consecutive batches of about ``limit`` characters each; a longer text is a batch of its own."""
     batch: list[str] = []
@@ -87,7 +113,8 @@ def balanced(texts: list[str], limit: int) -> Iterator[list[str]]:
 
 def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text",
                  max_tokens: int = 1024, batch_bytes: int = 1 << 20, max_pieces: int = 300_000) -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) per row, as the ``tokenizers`` library counts each whole text.
+    """(id, n_bytes, n_tokens, over_limit) per row, as the vocabulary's library counts each whole text:
+    ``tokenizers`` for a .json file, ``sentencepiece`` for a .model file. Only byte-level vocabularies are cut into pieces.
 
     No special tokens are added, nothing is truncated or padded; special strings inside a text are handled as
     the library does by default. A null text counts as empty (0 bytes, 0 tokens). Null and repeated ids keep
@@ -96,7 +123,8 @@ def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        coder = PieceEncoder(vocab_path, len, batch_bytes, max_pieces)
+        coder = (SentencePieces(vocab_path) if vocab_path.endswith(".model")
+                 else PieceEncoder(vocab_path, len, batch_bytes, max_pieces))
         for b in batches:
             sizes, counts = [], []
             texts = [t or "" for t in b.column(1).to_pylist()]

@@ -74,6 +74,23 @@ def test_token_counts(spark, corpus, tokenizer):
         (i, len((t or "").encode()), n := len(tokenizer(t)), n > 1024) for i, t in enumerate(corpus)]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_token_counts_of_other_vocabularies(spark, name):
+    import public_tokenizers
+
+    path, texts = public_tokenizers.path(name), EDGE + sample_docs(20)
+    if name.endswith(".model"):
+        import sentencepiece
+
+        count = lambda t: len(sentencepiece.SentencePieceProcessor(model_file=path).encode(t))
+    else:
+        from tokenizers import Tokenizer
+
+        count = lambda t: len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids)
+    got = token_counts.token_counts(table(spark, texts), path).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == [count(t or "") for t in texts]
+
+
 # ---------------------------------------------------------------- 2 quality rules
 def base(text):
     words, lines, seen, dup = WORD.findall(text or ""), (text or "").split("\n"), set(), 0
@@ -217,6 +234,17 @@ def test_line_dedup(spark):
     assert line_align.line_dedup(table(spark, ["a\nb", "a\nb"], [None, 1])).count() == 2
 
 
+def test_line_dedup_repeated_ids_and_helper_names(spark):
+    block = "first shared line\nsecond shared line"
+    a, b, c = f"only here\n{block}", f"{block}\nother one\nanother two", f"later one\n{block}\nlater two"
+    docs = table(spark, [a, a, b, c, c], [3, 3, 3, 8, 8]).withColumns(
+        {n: F.lit(1) for n in ("_line_id", "_removed", "_n_lines", "_u_id", "_u_rank")})
+    got = sorted((r.doc_id, r.text) for r in line_align.line_dedup(docs).collect())
+    h = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    own = [(3, a), (3, a), (3, "other one\nanother two")] if h[a] < h[b] else [(3, "only here")] * 2 + [(3, b)]
+    assert got == sorted([*own, *[(8, "later one\nlater two")] * 2])
+
+
 # ---------------------------------------------------------------- 6 URL filter
 def judge(url):
     host, path = "", ""
@@ -415,6 +443,21 @@ def test_remove_repeats_edges(spark):
     assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_remove_repeats_repeated_ids(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    passage = word(150)
+    texts = [word(90) + passage, passage + word(70), word(300), passage + word(20), None, "", "q" * 130]
+    rows = [(4, 0), (4, 0), (4, 1), (4, 2), (9, 3), (9, 3), (2, 2), (9, 4), (9, 4), (5, 5), (None, 6), (None, 6)]
+    docs = table(spark, [texts[t] for _, t in rows], [i for i, _ in rows])
+    h = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted({(i, h[i, texts[t]], t) for i, t in rows if i is not None})
+    want = dict(zip([(i, t) for i, _, t in order], repeats([texts[t] for *_, t in order], 100)))
+    want[None, 6] = (130, 0, 0, hashlib.sha256(b"q" * 130).hexdigest())
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()]
+    assert Counter(got) == Counter((i, *want[i, t]) for i, t in rows)
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_stages_against_brute_force(spark, tokenizer):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -438,6 +481,13 @@ def test_pipeline_stages_against_brute_force(spark, tokenizer):
     assert sorted(map(tuple, run.select("doc_id", "start", "length").collect())) and run.agg(F.sum("length")).first()[0] == sum(want.values())
 
 
+def test_near_dedup_stage_keeps_one_of_repeated_rows(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = table(spark, [text, text, text + " more", "another text of some words", text, "null one of words"], [5, 5, 5, 6, 9, None])
+    got = sorted((r.doc_id or -1, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    assert len(got) == 3 and got[0] == (-1, "null one of words") and got[2] == (6, "another text of some words")
+
+
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
 def test_stages_take_edge_tables(spark, stage):
     docs = table(spark, EDGE + EDGE[:3] + ["few words"] * 2, [*range(len(EDGE)), 0, 1, 2, None, None])
