@@ -111,7 +111,7 @@ def common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     earlier document (smaller doc_id). Documents that lose nothing have no row.
 
     Partners come from lines: every document that holds a line is paired with the first document that does, so a
-    line makes fewer pairs than it has holders. A pair is aligned if it shares a rare line (at most ``rare_docs``
+    line makes fewer pairs than it has holders; the few lines with very many are looked up without a shuffle. A pair is aligned if it shares a rare line (at most ``rare_docs``
     holders) or at least ``min_common`` lines of any frequency; a single boilerplate line alone makes no pair.
     Documents with the same line sequence are one class: later ones are aligned whole. Common blocks
     (:func:`common_blocks`) are judged on the input, not on what other pairs leave.
@@ -131,9 +131,13 @@ def common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reps = materialize(named.where("doc_id = rep").select("doc_id", "lines", "chars")
                        .dropDuplicates(["doc_id"]), "line-classes")
     held = reps.select("doc_id", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
-    first = (held.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("holders"))
-             .where("holders > 1"))
-    pairs = (held.join(first, "line").where("doc_id <> first").groupBy("first", "doc_id")
+    first = materialize(held.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("holders"))
+                        .where("holders > 1"), "line-holders")
+    total = first.agg(F.sum("holders")).first()[0] or 0
+    # fewer than 1,000 lines: each has over a thousandth of all holders
+    hot = F.broadcast(first.where(F.col("holders") * 1000 > total))
+    met = held.join(hot, "line").unionByName(held.join(hot.select("line"), "line", "left_anti").join(first, "line"))
+    pairs = (met.where("doc_id <> first").groupBy("first", "doc_id")
              .agg(F.min("holders").alias("rarest"), F.count("*").alias("shared"))
              .where((F.col("rarest") <= rare_docs) | (F.col("shared") >= min_common)).select("first", "doc_id"))
     both = (materialize(pairs, "line-pairs")
