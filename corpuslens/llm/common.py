@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.operators.partitioning import rank_within
+from corpuslens.session import materialize
 
 SLICE_BYTES = 1 << 20  # text bytes a kernel holds at once, unless one text alone is longer
 _U = np.uint64
@@ -163,5 +164,5 @@ def unique_ids(docs: DataFrame, id_col: str, text_col: str, out: str) -> tuple[D
     names = rank_within(known.select(own.alias("_u_id"), text.alias("_u_text")).distinct(), [],
                         [F.col("_u_id"), F.col("_u_text")], "_u_rank")
     named = docs.drop("_u_id", "_u_text", "_u_rank").withColumns({"_u_id": own, "_u_text": text})
-    return (named.join(names, ["_u_id", "_u_text"], "left").withColumn(out, F.col("_u_rank"))
-            .drop("_u_id", "_u_text", "_u_rank")), True
+    named = named.join(names, ["_u_id", "_u_text"], "left").withColumn(out, F.col("_u_rank"))
+    return materialize(named.drop("_u_id", "_u_text", "_u_rank"), "named-rows"), True

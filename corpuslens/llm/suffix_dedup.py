@@ -358,7 +358,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src, repeated = unique_ids(src, "doc_id", "text", "name")
     if not repeated:
         return _remove(src.select("doc_id", "text"), window, gram)
-    src = materialize(src, "named-rows")
     once = src.where("name is not null").dropDuplicates(["name"]).union(src.where("name is null"))
     done = _remove(once.select(F.col("name").alias("doc_id"), "text"), window, gram).withColumnRenamed("doc_id", "name")
     owners = src.where("name is not null").select("name", "doc_id")
