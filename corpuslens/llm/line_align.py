@@ -1,4 +1,4 @@
-"""Line deduplication by pairwise alignment: partners from shared rare lines, patience diff, common blocks removed."""
+"""Line deduplication by pairwise alignment: partners from shared blocks, patience diff, common blocks removed."""
 
 from __future__ import annotations
 
@@ -105,14 +105,70 @@ def _line_rows(src: DataFrame) -> DataFrame:
     return src.mapInArrow(run, _LINES)
 
 
+def runs(lines: list, chars: list, min_lines: int, min_chars: int):
+    """(key, first line, last line, enough) of each run of 1 to ``min_lines`` lines that aren't blank, with the blank
+    lines between them. ``enough``: the run alone is long enough to be removed. A line of a block that counts
+    (:func:`common_blocks`) lies in such a run inside the block."""
+    real = [i for i, x in enumerate(lines) if x]
+    for p, i in enumerate(real):
+        n_chars = 0
+        for r, j in enumerate(real[p:p + min_lines], 1):
+            n_chars += chars[j]
+            key = lines[i] if r == 1 else xxhash.xxh3_64_intdigest(np.array(lines[i:j + 1], np.int64).tobytes()) - (1 << 63)
+            yield key, i, j, r == min_lines or n_chars >= min_chars
+
+
+def _run_rows(reps: DataFrame, min_lines: int, min_chars: int) -> DataFrame:
+    """(doc_id, key, enough): the distinct run keys of each document."""
+    def run(batches):
+        for b in batches:
+            ids, keys, enough = [], [], []
+            for d, lines, chars in zip(*(b.column(i).to_pylist() for i in range(3))):
+                own = {}
+                for k, _, _, ok in runs(lines, chars, min_lines, min_chars):
+                    own[k] = own.get(k, False) or ok
+                ids += [d] * len(own)
+                keys += own.keys()
+                enough += own.values()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()),
+                                              pa.array(enough, pa.bool_())], ["doc_id", "key", "enough"])
+
+    return reps.mapInArrow(run, "doc_id long, key long, enough boolean")
+
+
+def _aligned(pairs: DataFrame, reps: DataFrame, min_lines: int, min_chars: int) -> DataFrame:
+    """(doc_id, removed) of each pair (first, doc_id) with a common block."""
+    both = (pairs.join(reps.select(F.col("doc_id").alias("first"), F.col("lines").alias("earlier")), "first")
+            .join(reps, "doc_id").select("doc_id", "earlier", "lines", "chars"))
+
+    def run(batches):
+        for b in batches:
+            ids, gone = [], []
+            for d, a, lines, chars in zip(*(b.column(i).to_pylist() for i in range(4))):
+                found = common_blocks(a, lines, chars, min_lines, min_chars)
+                if found:
+                    ids.append(d)
+                    gone.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))],
+                                             ["doc_id", "removed"])
+
+    return both.mapInArrow(run, "doc_id long, removed array<int>")
+
+
+def _by_document(found: DataFrame) -> DataFrame:
+    return (found.select("doc_id", F.explode("removed").alias("line")).groupBy("doc_id")
+            .agg(F.collect_set("line").alias("removed")))
+
+
 def common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_docs: int = 50,
                  min_common: int = 3, min_lines: int = 2, min_chars: int = 80) -> DataFrame:
     """(doc_id, removed array<int>): the lines (0-based) of a document that lie in a block it has in common with an
     earlier document (smaller doc_id). Documents that lose nothing have no row.
 
-    Partners come from lines: every document that holds a line is paired with the first document that does, so a
-    line makes fewer pairs than it has holders; the few lines with very many are looked up without a shuffle. A pair is aligned if it shares a rare line (at most ``rare_docs``
-    holders) or at least ``min_common`` lines of any frequency; a single boilerplate line alone makes no pair.
+    Partners come from blocks: every document that holds a run of lines long enough to be removed (:func:`runs`) is
+    paired with the first document that holds it, however many do, so a run makes fewer pairs than it has holders;
+    the few runs with very many are looked up without a shuffle. ``rare_docs`` and ``min_common``, once limits on
+    partners, are taken and have no effect.
     Documents with the same line sequence are one class: later ones are aligned whole. Common blocks
     (:func:`common_blocks`) are judged on the input, not on what other pairs leave.
 
@@ -130,34 +186,18 @@ def common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .where(F.col("long_enough") | (F.col("n_chars") >= min_chars)).select("doc_id", "removed"))
     reps = materialize(named.where("doc_id = rep").select("doc_id", "lines", "chars")
                        .dropDuplicates(["doc_id"]), "line-classes")
-    held = reps.select("doc_id", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
-    first = materialize(held.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("holders"))
-                        .where("holders > 1"), "line-holders")
+    held = materialize(_run_rows(reps, min_lines, min_chars), "line-runs")
+    first = materialize(held.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("holders"),
+                                                F.bool_or("enough").alias("enough"))
+                        .where("holders > 1 and enough").drop("enough"), "run-holders")
     total = first.agg(F.sum("holders")).first()[0] or 0
-    # fewer than 1,000 lines: each has over a thousandth of all holders
+    # fewer than 1,000 runs: each has over a thousandth of all holders
     hot = F.broadcast(first.where(F.col("holders") * 1000 > total))
-    met = held.join(hot, "line").unionByName(held.join(hot.select("line"), "line", "left_anti").join(first, "line"))
-    pairs = (met.where("doc_id <> first").groupBy("first", "doc_id")
-             .agg(F.min("holders").alias("rarest"), F.count("*").alias("shared"))
-             .where((F.col("rarest") <= rare_docs) | (F.col("shared") >= min_common)).select("first", "doc_id"))
-    both = (materialize(pairs, "line-pairs")
-            .join(reps.select(F.col("doc_id").alias("first"), F.col("lines").alias("earlier")), "first")
-            .join(reps, "doc_id").select("doc_id", "earlier", "lines", "chars"))
-
-    def run(batches):
-        for b in batches:
-            ids, gone = [], []
-            for d, a, lines, chars in zip(*(b.column(i).to_pylist() for i in range(4))):
-                found = common_blocks(a, lines, chars, min_lines, min_chars)
-                if found:
-                    ids.append(d)
-                    gone.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))],
-                                             ["doc_id", "removed"])
-
-    found = both.mapInArrow(run, "doc_id long, removed array<int>").union(copies)
-    return (found.select("doc_id", F.explode("removed").alias("line")).groupBy("doc_id")
-            .agg(F.collect_set("line").alias("removed")))
+    met = materialize(held.join(hot, "key").unionByName(
+        held.join(hot.select("key"), "key", "left_anti").join(first, "key")).drop("holders"), "run-meetings")
+    pairs = met.where("enough and doc_id <> first").select("first", "doc_id").distinct()
+    found = _aligned(materialize(pairs, "line-pairs"), reps, min_lines, min_chars)
+    return _by_document(found.union(copies))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:

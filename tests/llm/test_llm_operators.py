@@ -234,6 +234,13 @@ def test_line_dedup(spark):
     assert line_align.line_dedup(table(spark, ["a\nb", "a\nb"], [None, 1])).count() == 2
 
 
+def test_line_dedup_blocks_of_any_frequency(spark):
+    passage, block = "a passage that fills a line of its own " * 3, "short line one\nshort line two"
+    texts = [f"{i} a\n{passage}\n{i} b" for i in range(70)] + [f"{i} c\n{block}\n{i} d" for i in range(70)]
+    got = line_align.line_dedup(table(spark, texts)).orderBy("doc_id").collect()
+    assert [r._n_removed for r in got] == [0] + [1] * 69 + [0] + [2] * 69
+
+
 def test_line_dedup_repeated_ids_and_helper_names(spark):
     block = "first shared line\nsecond shared line"
     a, b, c = f"only here\n{block}", f"{block}\nother one\nanother two", f"later one\n{block}\nlater two"
