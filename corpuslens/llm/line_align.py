@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.common import unique_ids
+from corpuslens.operators.partitioning import rank_within
 from corpuslens.session import materialize
 
 
@@ -160,20 +161,44 @@ def _by_document(found: DataFrame) -> DataFrame:
             .agg(F.collect_set("line").alias("removed")))
 
 
+def _open_runs(met: DataFrame, found: DataFrame, reps: DataFrame, min_lines: int, min_chars: int) -> DataFrame:
+    """(doc_id, key): the runs in ``met`` with a place in the document from which ``found`` leaves a line."""
+    keys = met.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    rows = (keys.join(_by_document(found), "doc_id", "left").join(reps, "doc_id")
+            .select("doc_id", "lines", "chars", "keys", "removed"))
+
+    def run(batches):
+        for b in batches:
+            ids, left = [], []
+            for d, lines, chars, own, gone in zip(*(b.column(i).to_pylist() for i in range(5))):
+                own, gone = set(own), set(gone or ())
+                left_here = {k for k, i, j, ok in runs(lines, chars, min_lines, min_chars)
+                             if ok and k in own and not gone.issuperset(range(i, j + 1))}
+                ids += [d] * len(left_here)
+                left += left_here
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(left, pa.int64())], ["doc_id", "key"])
+
+    return rows.mapInArrow(run, "doc_id long, key long")
+
+
 def common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_docs: int = 50,
                  min_common: int = 3, min_lines: int = 2, min_chars: int = 80) -> DataFrame:
     """(doc_id, removed array<int>): the lines (0-based) of a document that lie in a block it has in common with an
     earlier document (smaller doc_id). Documents that lose nothing have no row.
 
-    Partners come from blocks: every document that holds a run of lines long enough to be removed (:func:`runs`) is
-    paired with the first document that holds it, however many do, so a run makes fewer pairs than it has holders;
-    the few runs with very many are looked up without a shuffle. ``rare_docs`` and ``min_common``, once limits on
-    partners, are taken and have no effect.
+    The result is that of aligning all pairs of documents. Partners come from blocks: every document that holds a run
+    of lines long enough to be removed (:func:`runs`) is paired with the first document that holds it, however many do,
+    so a run makes fewer pairs than it has holders; the few runs with very many are looked up without a shuffle. Where
+    the alignment with the first holder leaves such a run (it lies elsewhere in the order, or twice in the document),
+    the document meets the run's next holder, then four more, sixteen more and so on, until the run is gone or all
+    earlier holders are tried. Few runs need that; one that no alignment ever matches meets all its earlier holders.
+    ``rare_docs`` and ``min_common``, once limits on partners, are taken and have no effect.
     Documents with the same line sequence are one class: later ones are aligned whole. Common blocks
     (:func:`common_blocks`) are judged on the input, not on what other pairs leave.
 
-    Blank lines match but don't count. Null and empty texts have no lines in common; null ids take no part. Different
-    texts need different ids here (:func:`line_dedup` sees to it); rows with equal id and text are one document."""
+    Blank lines match but don't count: one at the edge of a block goes if it is there in a document that was met. Null
+    and empty texts have no lines in common; null ids take no part. Different texts need different ids here
+    (:func:`line_dedup` sees to it); rows with equal id and text are one document."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(_line_rows(src.where("doc_id is not null")), "line-hashes")
     real = rows.where(F.exists("lines", lambda x: x != 0))
@@ -196,7 +221,21 @@ def common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = materialize(held.join(hot, "key").unionByName(
         held.join(hot.select("key"), "key", "left_anti").join(first, "key")).drop("holders"), "run-meetings")
     pairs = met.where("enough and doc_id <> first").select("first", "doc_id").distinct()
-    found = _aligned(materialize(pairs, "line-pairs"), reps, min_lines, min_chars)
+    found = materialize(_aligned(materialize(pairs, "line-pairs"), reps, min_lines, min_chars), "line-blocks")
+    left = materialize(_open_runs(met.where("enough and doc_id <> first"), found, reps, min_lines, min_chars), "open-runs")
+    if not left.isEmpty():
+        holders = rank_within(held.join(left.select("key").distinct(), "key", "left_semi").select("key", "doc_id"),
+                              ["key"], [F.col("doc_id")]).withColumnRenamed("doc_id", "first")
+        tried, step = 1, 1
+        while not left.isEmpty():
+            ahead = holders.where(F.col("rank").between(tried + 1, tried + step))
+            pairs = materialize(left.join(ahead, "key").where("first < doc_id").select("first", "doc_id").distinct(),
+                                "line-pairs")
+            if pairs.isEmpty():
+                break
+            found = found.union(materialize(_aligned(pairs, reps, min_lines, min_chars), "line-blocks"))
+            left = materialize(_open_runs(left, found, reps, min_lines, min_chars), "open-runs")
+            tried, step = tried + step, step * 4
     return _by_document(found.union(copies))
 
 

@@ -241,6 +241,16 @@ def test_line_dedup_blocks_of_any_frequency(spark):
     assert [r._n_removed for r in got] == [0] + [1] * 69 + [0] + [2] * 69
 
 
+def test_line_dedup_partners_of_later_holders(spark):
+    a, b, own = "short line A", "short line B", lambda n: [f"own {n} {i}" for i in range(2)]
+    x, y, z = ("a line of more than eighty characters, which is long enough alone %d" % i * 2 for i in range(3))
+    texts = ["\n".join(t) for t in (
+        [a, *own(1)], [b, *own(2)], [*own(3), a, b], [a, b, *own(4)],  # later holders of a and b share a block
+        [x, *own(5), y, *own(6), z], [*own(7), x], [y, *own(8), z, *own(9), x])]  # x in another order, then alone
+    got = line_align.line_dedup(table(spark, texts)).orderBy("doc_id").collect()
+    assert [r._n_removed for r in got] == [0, 0, 0, 2, 0, 1, 3]
+
+
 def test_line_dedup_repeated_ids_and_helper_names(spark):
     block = "first shared line\nsecond shared line"
     a, b, c = f"only here\n{block}", f"{block}\nother one\nanother two", f"later one\n{block}\nlater two"
