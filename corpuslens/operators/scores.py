@@ -84,13 +84,15 @@ def model_scores(docs: DataFrame, key: str | list[str], tokens_col: str, label:
     """Re-aimed moderation: fit a logistic regression on the labelled rows (TF-IDF features), score every row.
     Columns: key..., score (probability of class 1), flagged.
 
-    Without a ``threshold``, the share of labelled rows that is flagged matches the share labelled 1: a rare class
-    keeps all probabilities below one half, so a fixed cut there would flag nothing."""
+    Without a ``threshold``, it is the score of the n-th best labelled row, where n rows are labelled 1: as many labelled
+    rows are flagged, and those with its very score. A rare class keeps all probabilities below one half, so a fixed cut
+    there would flag nothing. Rows with a score of at least the threshold are flagged; none if no row is labelled 1."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
 
     from corpuslens.operators.tfidf import tfidf_vectors
 
+    from corpuslens.operators.partitioning import rank_within
     from corpuslens.operators.predict import fit_partitions
     from corpuslens.operators.tfidf import key_list
 
@@ -103,7 +105,8 @@ def model_scores(docs: DataFrame, key: str | list[str], tokens_col: str, label:
     model = lr.fit(train)
     if threshold is None:
         scored = model.transform(train).select(vector_to_array("probability")[1].alias("score"))
-        threshold = scored.approxQuantile("score", [1.0 - positive / max(1, n)], 0.001)[0]
+        ranked = rank_within(scored, [], [F.col("score").desc()]).where(F.col("rank") == int(positive or 0)).first()
+        threshold = ranked["score"] if ranked else float("inf")
     train.unpersist()
     out = model.transform(feats).withColumn("score", vector_to_array("probability")[1])
-    return out.select(*key_list(key), "score", (F.col("score") > threshold).alias("flagged"))
+    return out.select(*key_list(key), "score", (F.col("score") >= F.lit(threshold)).alias("flagged"))

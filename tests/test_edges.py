@@ -137,6 +137,14 @@ def test_model_scores_flag_some(spark):
     assert 0 < flagged <= 30 and hit >= 0.8 * n
 
 
+def test_model_scores_flag_a_very_rare_class(spark):
+    rows = [(i, ["bad" if i in (70, 1400) else "fine", f"w{i % 7}"], int(i in (70, 1400))) for i in range(2500)]
+    docs = spark.createDataFrame(rows, "id long, t array<string>, y int")
+    vocab = vocabulary(term_counts(docs, "id", F.col("t")), "id", F.lit(2500), 100, 1)
+    out = model_scores(docs, ["id"], "t", "y", vocab).where("flagged")
+    assert sorted(r.id for r in out.collect()) == [70, 1400]  # 0.08 % are positive
+
+
 def test_cluster_without_checkpoint_folder_is_told(tmp_path):
     code = ("from types import SimpleNamespace as N\nfrom corpuslens.session import checkpoint_dir\n"
             "none = N(get=lambda k, d=None: d)\n"
