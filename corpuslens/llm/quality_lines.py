@@ -17,8 +17,8 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _DIGITS = bytes.maketrans(b"123456789", b"0" * 9)
 
-Limits = namedtuple("Limits", "min_docs share min_words min_left_share",
-                    defaults=(10, 0.10, 20, 0.30))
+Limits = namedtuple("Limits", "min_docs share min_words min_left_share any_docs",
+                    defaults=(10, 0.10, 20, 0.30, 100))
 
 
 def line_key(line: bytes) -> int | None:
@@ -27,22 +27,22 @@ def line_key(line: bytes) -> int | None:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63) if words else None
 
 
-def line_frequency(docs: DataFrame, host: str | Column, text: str | Column, limits: Limits) -> DataFrame:
-    """(host, line) of the lines above the limits: held by at least ``min_docs`` and by at least ``share`` of a
-    host's distinct documents.
+def frequent_lines(docs: DataFrame, host: str | Column, text: str | Column, limits: Limits) -> DataFrame:
+    """(host, fp, frequent array<long>): the lines of a text (``fp`` is its xxhash64) that are above the limits: held by
+    at least ``any_docs`` of a host's distinct documents, or by ``min_docs`` and ``share`` of them. So the number of
+    documents that is enough doesn't grow with a large host.
 
-    Documents with equal texts count once, so a group of copies doesn't make its own lines frequent. A host has
-    at most (mean lines per document / share) such lines. Null hosts are one host."""
+    Documents with equal texts count once, so a group of copies doesn't make its own lines frequent. Null hosts are one
+    host. Texts without such a line have no row; an array has no more lines than its text."""
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     src = docs.select(F.coalesce(F.col(host) if isinstance(host, str) else host, F.lit("")).alias("host"),
-                      (F.col(text) if isinstance(text, str) else text).alias("text"))
+                      text.alias("text"), F.xxhash64(text).alias("fp"))
 
     def run(batches):
         for b in batches:
             hosts, lines, texts = [], [], []
-            for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = (t or "").encode("utf-8")
-                found = {k for k in map(line_key, raw.split(b"\n")) if k is not None}
-                fp = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+            for h, t, fp in zip(*(b.column(i).to_pylist() for i in range(3))):
+                found = {k for k in map(line_key, t.encode("utf-8").split(b"\n")) if k is not None}
                 found = [None, *found]  # the null line counts the host's documents
                 hosts += [h] * len(found)
                 lines += found
@@ -56,12 +56,13 @@ def line_frequency(docs: DataFrame, host: str | Column, text: str | Column, limi
         return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(lines, pa.int64()),
                                            pa.array(texts, pa.int64())], ["host", "line", "fp"])
 
-    pairs = src.mapInArrow(run, "host string, line long, fp long").distinct()
+    pairs = materialize(src.mapInArrow(run, "host string, line long, fp long").distinct(), "host-lines")
     counts = materialize(pairs.groupBy("host", "line").agg(F.count("*").alias("n")).where(
-        F.col("line").isNull() | (F.col("n") >= limits.min_docs)), "line-counts")
+        F.col("line").isNull() | (F.col("n") >= min(limits.min_docs, limits.any_docs))), "line-counts")
     total = counts.where("line is null").select("host", F.col("n").alias("n_docs"))
-    return (counts.where("line is not null").join(total, "host")
-            .where(F.col("n") >= limits.share * F.col("n_docs")).select("host", "line"))
+    above = (F.col("n") >= limits.any_docs) | ((F.col("n") >= limits.min_docs) & (F.col("n") >= limits.share * F.col("n_docs")))
+    hot = materialize(counts.where("line is not null").join(total, "host").where(above).select("host", "line"), "hot-lines")
+    return pairs.join(hot, ["host", "line"]).groupBy("host", "fp").agg(F.collect_list("line").alias("frequent"))
 
 
 def base_counts(col: pa.Array) -> dict[str, np.ndarray]:
@@ -100,18 +101,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     n_removed_lines, left_words, left_text, and with ``carry`` a struct ``carried`` of those columns. ``base_failed``: fewer than ``min_words`` (20) words, or more than 30 %
-    of the words inside repeated 8-word windows. Lines above the limits of :func:`line_frequency` are removed;
+    of the words inside repeated 8-word windows. Lines above the limits of :func:`frequent_lines` are removed;
     a document is depleted, and rejected, if fewer than ``min_words`` words or less than ``min_left_share`` of its
     words are left. A null or empty text has no words, fails and leaves "". Null hosts are one host; null and
     repeated ids keep their rows; other columns are not read; an empty table gives an empty result."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                       F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
                       *([F.struct(*map(F.col, carry)).alias("carried")] if carry else []))
-    # bounded per host (see line_frequency); written first, so the planner sees its size before it plans the join
-    frequent = materialize(line_frequency(docs, F.col(host_col).cast("string"), F.col(text_col), limits)
-                           .groupBy("host").agg(F.collect_set("line").alias("frequent")), "frequent-lines")
+    # written first, so the planner sees its size before it plans the join
+    frequent = materialize(frequent_lines(docs, F.col(host_col).cast("string"), F.col(text_col), limits), "frequent-lines")
     extra = ["carried"] if carry else []
-    rows = src.join(frequent, "host", "left").select("doc_id", "text", "frequent", *extra)
+    fp = F.xxhash64(F.coalesce("text", F.lit("")))
+    # texts are always dealt out: whether the table is small enough to be sent to all depends on the input's size
+    rows = src.withColumn("fp", fp).join(frequent.hint("merge"), ["host", "fp"], "left").select("doc_id", "text", "frequent", *extra)
     carried = f", carried {src.schema['carried'].dataType.simpleString()}" if carry else ""
 
     def run(batches):

@@ -131,6 +131,18 @@ def test_quality_rules(spark, corpus):
     assert quality_lines.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_quality_rules_in_a_large_host(spark):
+    letters = [chr(0x4E00 + i) for i in range(36)]  # digits are all alike
+    texts = [("Boiler plate of the host\n" if i < 12 else "") + " ".join([letters[i // 36], letters[i % 36]] + list("abcdefghij") * 3) for i in range(150)]
+    docs = table(spark, texts).withColumn("source", F.lit("h"))
+    removed = lambda limits: [r.n_removed_lines for r in quality_lines.quality_rules(docs, limits=limits).orderBy("doc_id").collect()]
+    assert removed(quality_lines.Limits(any_docs=12)) == [1] * 12 + [0] * 138  # though 12 are less than a tenth
+    assert removed(quality_lines.Limits()) == [0] * 150
+    texts = ["Boiler plate of the host\n" * (i < 100) + " ".join([letters[i // 36], letters[i % 36]] + list("abcdefghij") * 3) for i in range(1100)]
+    out = quality_lines.quality_rules(table(spark, texts).withColumn("source", F.lit("h")))
+    assert out.agg(F.sum("n_removed_lines")).first()[0] == 100  # as in a host of 1,000
+
+
 # ---------------------------------------------------------------- 3 mixing
 def test_rake_and_calibrate():
     rng = np.random.default_rng(1)
