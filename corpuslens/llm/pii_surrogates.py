@@ -28,7 +28,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # a text without any of these has no match; one simple scan spares most texts the long pattern
-HINT = rf"[0-9@]|{_SECRET}|{_TITLE} \p{{Lu}}"
+HINT = rf"[0-9@]|{_SECRET}|AKIA|ASIA|{_TITLE} \p{{Lu}}"
 KINDS = list(PATTERNS)
 _DIGIT_KINDS = ["card", "ssn", "phone"]
 
@@ -130,13 +130,27 @@ def _kind(mention: Column) -> Column:
     return out
 
 
+def _bare_names(segment: Column, names: Column) -> Column:
+    """``segment`` as pieces (t, hit), with the capitalised words that are keys of ``names`` replaced: hyphenated words
+    as a whole, else by their parts."""
+    def swap(w: Column) -> Column:
+        new = F.try_element_at(names, F.lower(w))
+        return F.when(w.rlike(r"^\p{Lu}"), F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(new)).otherwise(new))
+    piece = lambda w: F.struct(F.coalesce(swap(w), w).alias("t"), swap(w).isNotNull().cast("int").alias("hit"))
+    words = F.regexp_extract_all(segment, F.lit(r"\p{L}[\p{L}\p{M}'’-]*|[^\p{L}]+"), F.lit(0))
+    return F.flatten(F.transform(words, lambda w: F.when(swap(w).isNotNull(), F.array(piece(w))).otherwise(
+        F.transform(F.regexp_extract_all(w, F.lit(r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+"), F.lit(0)), piece))))
+
+
 def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_entities, n_<kind> for each kind, text): every detected entity replaced by its surrogate.
 
     Kinds and their patterns are in ``PATTERNS``. The same entity has the same surrogate in all documents, different
     ones have different surrogates, and no surrogate is an entity that occurs (see :func:`surrogates`): e-mail
     addresses compare without case, phone, card and social security numbers by their digits (phones by the last ten),
-    names by token, so "Mrs. Anna Berg" and "Dr. Berg" keep sharing a family name. Surrogates keep the kind, the
+    names by token, so "Mrs. Anna Berg" and "Dr. Berg" keep sharing a family name. A name is detected by a title before
+    it; its words are then replaced, and counted, wherever the same document has them capitalised and alone ("Berg",
+    "Anna's"). Names that no title introduces in their document are not detected. Surrogates keep the kind, the
     punctuation, case, script and length class; cards keep the first digit and a valid Luhn digit; given names keep the
     gender of their title; titles, country codes and the names of secrets stay.
 
@@ -189,9 +203,23 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
         *[F.count_if(F.col("label") == k).alias(f"n_{k}") for k in KINDS])
     per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"),
                              F.transform("p", lambda x: x["new"]).alias("news"), *[f"n_{k}" for k in KINDS])
+    # a document's own names by word; "Berg's" also names Berg, the first exact mention decides
+    word = F.lower(F.regexp_replace("surface", "(?:['’]s?|-)+$", ""))
+    names = named.where("label = 'name'").withColumn("word", word).groupBy("doc_id", "h", "word").agg(
+        F.min_by("payload", F.struct(F.lower("surface") != F.col("word"), "pos", "place")).alias("payload"))
+    names = names.groupBy(F.col("doc_id").alias("_n_id"), F.col("h").alias("_n_h")).agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "payload"))).alias("names"))
+    per_doc = per_doc.join(names, F.col("_id").eqNullSafe(F.col("_n_id")) & (F.col("_h") == F.col("_n_h")), "left")
     joined = src.join(per_doc, src.doc_id.eqNullSafe(F.col("_id")) & (src.h == F.col("_h")), "left")
-    text = F.array_join(F.transform(F.split("text", ANY, -1),
-                                    lambda s, i: F.concat(s, F.coalesce(F.get("news", i), F.lit("")))), "")
-    return joined.select("doc_id", F.coalesce(F.size("news"), F.lit(0)).cast("long").alias("n_entities"),
-                         *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS],
+    # without names a segment is one piece
+    pieces = F.transform(F.split("text", ANY, -1), lambda s: F.when(F.col("names").isNull(), F.array(F.struct(
+        s.alias("t"), F.lit(0).alias("hit")))).otherwise(_bare_names(s, F.col("names"))))
+    joined = joined.withColumn("pieces", F.when(F.col("news").isNotNull(), pieces))
+    bare = F.when(F.col("names").isNull(), F.lit(0)).otherwise(
+        F.aggregate(F.flatten("pieces"), F.lit(0), lambda n, x: n + x["hit"]))
+    text = F.array_join(F.transform("pieces", lambda s, i: F.concat(
+        F.array_join(F.transform(s, lambda x: x["t"]), ""), F.coalesce(F.get("news", i), F.lit("")))), "")
+    return joined.select("doc_id", (F.coalesce(F.size("news"), F.lit(0)) + bare).cast("long").alias("n_entities"),
+                         *[(F.coalesce(f"n_{k}", F.lit(0)) + (bare if k == "name" else 0)).cast("long").alias(f"n_{k}")
+                           for k in KINDS],
                          F.when(F.col("news").isNull(), F.col("text")).otherwise(text).alias("text"))
