@@ -171,6 +171,33 @@ def test_mix_to_targets(spark, corpus):
         mixing.mix_to_targets(docs, max_cells=1)
 
 
+def test_mixing_probabilities(spark, corpus):
+    def topic(t):
+        return ("short" if len(t) < 400 else "lists" if t.count("\n") * 200 >= len(t)
+                else "figures" if re.search("[0-9]", t) else "prose")
+    out = mixing.mix_to_targets(table(spark, corpus)).collect()
+    cell = lambda r: (r.source or "", r.lang or "", topic(r.text or ""))
+    tokens = Counter()
+    for r in out:
+        assert r._topic == cell(r)[2]
+        tokens[cell(r)] += r._tokens
+    tokens = +tokens
+    total, f = sum(tokens.values()), dict.fromkeys(tokens, 1.0)
+    share = lambda a, v, g: sum(g[c] * n for c, n in tokens.items() if c[a] == v) / total
+    one = dict.fromkeys(tokens, 1.0)
+    goals = [{v: share(a, v, one) ** 0.5 for v in {c[a] for c in tokens}} for a in range(3)]
+    goals = [{v: x / sum(g.values()) for v, x in g.items()} for g in goals]
+    for _ in range(200):
+        for a, goal in enumerate(goals):
+            step = {v: x / share(a, v, f) for v, x in goal.items()}
+            f = {c: x * step[c[a]] for c, x in f.items()}
+    low, high = 0.0, 1e9
+    for _ in range(200):  # p = min(1, scale * f) with half of the tokens
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(1, mid * f[c]) * n for c, n in tokens.items()) < total / 2 else (low, mid)
+    assert all(abs(r._p - (min(1, low * f[cell(r)]) if cell(r) in tokens else 1)) < 1e-6 for r in out)
+
+
 # ---------------------------------------------------------------- 4 n-gram join
 def groups(texts, k, num, den):
     def shingles(t):
@@ -263,6 +290,33 @@ def test_line_dedup_partners_of_later_holders(spark):
     assert [r._n_removed for r in got] == [0, 0, 0, 2, 0, 1, 3]
 
 
+def left_lines(text):
+    return [x for x in (text or "").split("\n") if WORD.search(x)]
+
+
+def dedup_all_pairs(texts):
+    """The lines, without blank ones, that stay when every document is aligned with all earlier ones."""
+    raw = [(t or "").encode().split(b"\n") for t in texts]
+    lines = [[line_align.line_hash(x) for x in r] for r in raw]
+    out = []
+    for d, (own, r) in enumerate(zip(lines, raw)):
+        gone = {y for a in lines[:d] for y in line_align.common_blocks(a, own, [len(x) for x in r], 2, 80)}
+        out.append([x.decode() for i, x in enumerate(r) if own[i] and i not in gone])
+    return out
+
+
+def test_line_dedup_against_all_pairs(spark, corpus):
+    rng = random.Random(11)
+    pool = [f"line {i}" + " and more of it" * (6 * (i % 3 == 0)) for i in range(14)]
+    pick = lambda i: "" if i > 40 else pool[i] if i < 14 else f"own {rng.random()}"
+    texts = corpus + ["\n".join(pick(rng.randrange(45)) for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    want = dedup_all_pairs(texts)
+    got = {r.doc_id: left_lines(r.text) for r in line_align.line_dedup(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want and sum(map(len, want)) < sum(len(left_lines(t)) for t in texts)
+    stage = {r.doc_id: left_lines(r.text) for r in corpus_pipeline.line_dedup(spark, table(spark, texts), SF).collect()}
+    assert all(stage.get(i, []) == w for i, w in enumerate(want))
+
+
 def test_line_dedup_repeated_ids_and_helper_names(spark):
     block = "first shared line\nsecond shared line"
     a, b, c = f"only here\n{block}", f"{block}\nother one\nanother two", f"later one\n{block}\nlater two"
