@@ -16,6 +16,7 @@ from corpuslens.session import materialize
 GRADE_GAIN = {"STRONG": 0.10, "MODERATE": 0.05}          # variant A: accuracy gain as a fraction
 GRADE_GAIN_PP = {"STRONG": 20.0, "MODERATE": 5.0}        # variant B: gain in percentage points
 SEED = 42
+TOL = 1e-4  # convergence tolerance of all fits
 ROWS_PER_FIT_PARTITION = 2000
 
 
@@ -119,7 +120,7 @@ def grade(gain: Column, thresholds: dict[str, float]) -> Column:
 
 
 def cv_accuracy(folded: DataFrame, features: str, label_idx: str, k: int, model: str, n_classes: int,
-                n_features: int, max_iter: int, seed: int = SEED, tol: float = 1e-3) -> DataFrame:
+                n_features: int, max_iter: int, seed: int = SEED, tol: float = TOL) -> DataFrame:
     """k-fold accuracy of one model: fits fold by fold (k <= 5 driver-coordinated MLlib fits on
     distributed data), unions the test predictions, returns fold accuracies' mean and population std.
 

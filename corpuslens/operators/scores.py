@@ -93,7 +93,7 @@ def model_scores(docs: DataFrame, key: str | list[str], tokens_col: str, label:
     from corpuslens.operators.tfidf import tfidf_vectors
 
     from corpuslens.operators.partitioning import rank_within
-    from corpuslens.operators.predict import fit_partitions
+    from corpuslens.operators.predict import TOL, fit_partitions
     from corpuslens.operators.tfidf import key_list
 
     feats = tfidf_vectors(docs, key, tokens_col, vocab)
@@ -101,7 +101,7 @@ def model_scores(docs: DataFrame, key: str | list[str], tokens_col: str, label:
     n, positive = train.agg(F.count(F.lit(1)), F.sum("_y")).first()
     train = train.select("features", "_y").repartition(fit_partitions(n)).persist()
     lr = LogisticRegression(featuresCol="features", labelCol="_y", regParam=1.0 / max(1, n), elasticNetParam=0.0,
-                            standardization=False, maxIter=max_iter, tol=1e-3)
+                            standardization=False, maxIter=max_iter, tol=TOL)
     model = lr.fit(train)
     if threshold is None:
         scored = model.transform(train).select(vector_to_array("probability")[1].alias("score"))

@@ -128,6 +128,18 @@ def test_predictability_on_languages(spark):
     assert 0 <= out.lr_std < 0.5 and 0 <= out.mlp_std < 0.5
 
 
+def test_fits_run_to_the_tolerance(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+    seen, fit = [], LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, *a: seen.append(self.getTol()) or fit(self, *a))
+    rows = [(i, ["ab", "cd"][i % 2], i % 2, i % 2) for i in range(20)]
+    docs = spark.createDataFrame(rows, "id long, t string, y int, fold int").withColumn("_t", F.array("t"))
+    vocab = vocabulary(term_counts(docs, "id", F.col("_t")), "id", F.lit(20), 10, 1)
+    model_scores(docs, ["id"], "_t", "y", vocab)
+    pr.predictability(docs, "id", F.col("t"), ["y"], models=("lr",))
+    assert len(seen) == 6 and max(seen) <= 1e-4
+
+
 def test_model_scores_flag_some(spark):
     rows = [(i, ["bad" if i % 10 == 0 else "fine", f"w{i % 7}"], 1 if i % 10 == 0 else 0) for i in range(200)]
     docs = spark.createDataFrame(rows, "id long, t array<string>, y int")
