@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from corpuslens.llm.common import arrow_map
 from corpuslens.session import materialize
 
 _TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -160,7 +161,7 @@ def build_index(docs: DataFrame, wanted: list[str], id_col: str = "doc_id", text
         counts.append({"term": None, "df": 0, "n_docs": n_docs, "n_terms": n_terms, "block": None})
         yield pa.RecordBatch.from_pylist(counts, schema=schema)
 
-    return src.mapInArrow(run, _INDEX)
+    return src.transform(arrow_map, run, _INDEX)
 
 
 def _arrow_index() -> pa.Schema:
@@ -264,7 +265,7 @@ def _candidates(index: DataFrame, items: list[dict[str, int]], scorer: Scorer, b
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)],
                                           ["item", "doc_id", "text", "bound"])
 
-    return index.where("block is not null").select("block").mapInArrow(run, _PAIRS)
+    return index.where("block is not null").select("block").transform(arrow_map, run, _PAIRS)
 
 
 def _rescored(docs: DataFrame, pairs: DataFrame, items: list[dict[str, int]], scorer: Scorer) -> DataFrame:
@@ -288,7 +289,7 @@ def _rescored(docs: DataFrame, pairs: DataFrame, items: list[dict[str, int]], sc
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64()))],
                                              ["item", "doc_id", "score"])
 
-    return rows.mapInArrow(run, "item int, doc_id long, score long").where("score > 0")
+    return rows.transform(arrow_map, run, "item int, doc_id long, score long").where("score > 0")
 
 
 def _ranked(scored: DataFrame, best: int, by: str = "score") -> DataFrame:

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpuslens.operators.partitioning import rank_within
 from corpuslens.session import materialize
 
 SLICE_BYTES = 1 << 20  # text bytes a kernel holds at once, unless one text alone is longer
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _U = np.uint64
-_WORD_POW = 1024
+_WORD_PART = 1024  # bytes of a word that are weighed by place; longer words are hashed part by part
 _WS_BYTES = [9, 10, 11, 12, 13, 32]
 
 WHITE = np.zeros(256, bool)
@@ -22,18 +26,42 @@ WHITE[_WS_BYTES] = True
 
 
 def _byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random odd weights per byte (white space 0), plain and with A-Z folded to a-z, and powers of one base."""
+    """Random odd weights per byte (white space 0), plain and with A-Z folded to a-z, and per place in a word's part."""
     rng = np.random.default_rng(20240917)
     plain = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
     plain[_WS_BYTES] = 0
     folded = plain.copy()
     folded[65:91] = folded[97:123]
-    power = np.ones(_WORD_POW, np.uint64)
-    power[1:] = _U(0x9E3779B97F4A7C15)
-    return plain, folded, np.multiply.accumulate(power)
+    return plain, folded, rng.integers(1, 1 << 63, _WORD_PART, dtype=np.uint64) * _U(2) + _U(1)
 
 
-PLAIN, FOLDED, POWER = _byte_tables()
+PLAIN, FOLDED, PLACE = _byte_tables()
+
+
+def arrow_map(df: DataFrame, run, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with bounded memory: ``df.transform(arrow_map, run, schema)``.
+
+    Batches are cut by bytes, not by rows alone (the session's setting is lowered to ``BATCH_BYTES`` if it is higher), so
+    what a kernel turns into Python objects doesn't grow with the texts' length. A worker process outlives its task;
+    at the end of the task it gives freed memory back to the system, so that later stages of a long job find it free."""
+    conf = df.sparkSession.conf
+    if int(str(conf.get(_BATCH_CONF)).rstrip("bB")) > BATCH_BYTES:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+    def bounded(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim is not None:
+        trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -72,6 +100,23 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def _word_sums(value: np.ndarray, part: np.ndarray, place: np.ndarray, rel: np.ndarray) -> np.ndarray:
+    """Sums of ``value`` over the words that begin at ``rel``. Of a word of more than ``_WORD_PART`` bytes the sums of its
+    parts are mixed in their order, so that bytes keep their places in words of any length."""
+    later = np.flatnonzero((place & (_WORD_PART - 1) == 0) & (place > 0) & ~WHITE[part])
+    if not later.size:
+        return np.add.reduceat(value, rel)
+    cuts = np.sort(np.concatenate((rel, later)))
+    sums, number = np.add.reduceat(value, cuts), place[cuts] // _WORD_PART
+    h = sums[number == 0]
+    order = np.argsort(number, kind="stable")[len(rel):]  # second parts, third parts and so on
+    word = np.searchsorted(rel, cuts[order], "right") - 1
+    ends = np.flatnonzero(np.diff(number[order], append=-1)) + 1
+    for i, j in zip([0, *ends[:-1]], ends):
+        h[word[i:j]] = mix64(mix64(h[word[i:j]]) * _U(0x9E3779B97F4A7C15) + sums[order[i:j]])
+    return h
+
+
 def word_table(data: np.ndarray, bounds: np.ndarray, fold: bool,
                step: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of concatenated texts: (64-bit hash, row, start, end) of each.
@@ -105,7 +150,7 @@ def word_table(data: np.ndarray, bounds: np.ndarray, fold: bool,
             part = part[s[0]:]
             rel = s - s[0]
             place = np.arange(len(part)) - np.repeat(rel, np.diff(np.append(rel, len(part))))
-            h = np.add.reduceat(table[part] * POWER[place & (_WORD_POW - 1)], rel)
+            h = _word_sums(table[part] * PLACE[place & (_WORD_PART - 1)], part, place, rel)
             hashes.append(mix64(h + (e - s).astype(np.uint64) * _U(0x9FB21C651E98DF25)))
             starts.append(s + at)
             ends.append(e + at)
@@ -152,17 +197,20 @@ def shingle_sets(col: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield i + r, np.zeros(0, np.uint64)
 
 
-def unique_ids(docs: DataFrame, id_col: str, text_col: str, out: str) -> tuple[DataFrame, bool]:
-    """``docs`` with a long column ``out`` that names (id, text), and whether ids repeat; null where the id is.
+def whole_row(docs: DataFrame, less: str | None = None) -> Column:
+    """All columns of ``docs`` (but for ``less``) as one struct, so that no name in it can meet a helper column."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != less])
+
+
+def unique_ids(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(name, row): each row of ``docs`` as a struct, with a long that names (id, text); null where the id is. And whether
+    ids repeat.
 
-    It is the id itself if no id repeats. Else it is the rank of (id, hash of the text), so it keeps the order of
+    The name is the id itself if no id repeats. Else it is the rank of (id, hash of the text), so it keeps the order of
     the ids, rows with equal id and text share one, and different texts under one id get different ones."""
     own, text = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))
-    known = docs.where(own.isNotNull())
-    if known.groupBy(own.alias("id")).count().where("count > 1").isEmpty():
-        return docs.withColumn(out, own), False
-    names = rank_within(known.select(own.alias("_u_id"), text.alias("_u_text")).distinct(), [],
-                        [F.col("_u_id"), F.col("_u_text")], "_u_rank")
-    named = docs.drop("_u_id", "_u_text", "_u_rank").withColumns({"_u_id": own, "_u_text": text})
-    named = named.join(names, ["_u_id", "_u_text"], "left").withColumn(out, F.col("_u_rank"))
-    return materialize(named.drop("_u_id", "_u_text", "_u_rank"), "named-rows"), True
+    rows = docs.select(own.alias("id"), text.alias("fp"), whole_row(docs).alias("row"))
+    if docs.where(own.isNotNull()).groupBy(own.alias("id")).count().where("count > 1").isEmpty():
+        return rows.select(F.col("id").alias("name"), "row"), False
+    names = rank_within(rows.where("id is not null").select("id", "fp").distinct(), [], [F.col("id"), F.col("fp")], "name")
+    return materialize(rows.join(names, ["id", "fp"], "left").select("name", "row"), "named-rows"), True

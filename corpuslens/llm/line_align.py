@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import unique_ids
+from corpuslens.llm.common import arrow_map, unique_ids
 from corpuslens.operators.partitioning import rank_within
 from corpuslens.session import materialize
 
@@ -103,7 +103,7 @@ def _line_rows(src: DataFrame) -> DataFrame:
                  pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
                 ["doc_id", "lines", "chars", "h1", "h2"])
 
-    return src.mapInArrow(run, _LINES)
+    return src.transform(arrow_map, run, _LINES)
 
 
 def runs(lines: list, chars: list, min_lines: int, min_chars: int):
@@ -134,7 +134,7 @@ def _run_rows(reps: DataFrame, min_lines: int, min_chars: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()),
                                               pa.array(enough, pa.bool_())], ["doc_id", "key", "enough"])
 
-    return reps.mapInArrow(run, "doc_id long, key long, enough boolean")
+    return reps.transform(arrow_map, run, "doc_id long, key long, enough boolean")
 
 
 def _aligned(pairs: DataFrame, reps: DataFrame, min_lines: int, min_chars: int) -> DataFrame:
@@ -153,7 +153,7 @@ def _aligned(pairs: DataFrame, reps: DataFrame, min_lines: int, min_chars: int)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))],
                                              ["doc_id", "removed"])
 
-    return both.mapInArrow(run, "doc_id long, removed array<int>")
+    return both.transform(arrow_map, run, "doc_id long, removed array<int>")
 
 
 def _by_document(found: DataFrame) -> DataFrame:
@@ -178,11 +178,11 @@ def _open_runs(met: DataFrame, found: DataFrame, reps: DataFrame, min_lines: int
                 left += left_here
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(left, pa.int64())], ["doc_id", "key"])
 
-    return rows.mapInArrow(run, "doc_id long, key long")
+    return rows.transform(arrow_map, run, "doc_id long, key long")
 
 
-def common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_docs: int = 50,
-                 min_common: int = 3, min_lines: int = 2, min_chars: int = 80) -> DataFrame:
+def common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2,
+                 min_chars: int = 80) -> DataFrame:
     """(doc_id, removed array<int>): the lines (0-based) of a document that lie in a block it has in common with an
     earlier document (smaller doc_id). Documents that lose nothing have no row.
 
@@ -192,7 +192,6 @@ def common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the alignment with the first holder leaves such a run (it lies elsewhere in the order, or twice in the document),
     the document meets the run's next holder, then four more, sixteen more and so on, until the run is gone or all
     earlier holders are tried. Few runs need that; one that no alignment ever matches meets all its earlier holders.
-    ``rare_docs`` and ``min_common``, once limits on partners, are taken and have no effect.
     Documents with the same line sequence are one class: later ones are aligned whole. Common blocks
     (:func:`common_blocks`) are judged on the input, not on what other pairs leave.
 
@@ -239,20 +238,33 @@ def common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _by_document(found.union(copies))
 
 
+def without(lines, removed):
+    """``lines`` less the places in ``removed``, in time that grows with their number: the stretches between removed
+    places, one after the other. The inner names are bound once a row."""
+    def left(b):
+        at, n = b["removed"], F.size(b["lines"])
+        before = lambda k: F.coalesce(F.get(at, k - 1), F.lit(-1))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(at)), lambda k: F.slice(
+            b["lines"], before(k) + 2, F.coalesce(F.get(at, k), n) - before(k) - 1)))
+
+    return F.element_at(F.transform(F.array(F.struct(lines.alias("lines"), F.sort_array(removed).alias("removed"))), left), 1)
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """``docs`` with the common lines taken out of ``text_col``, and ``_n_lines``, ``_n_removed``.
+    """(row, n_lines, n_removed): each row of ``docs`` as a struct of all its columns, with the common lines taken out of
+    ``text_col``.
 
     Every row is kept, also those that lose all lines (their text is ""). Null and empty texts and null ids are
     unchanged. Rows with equal id and text are one document; different texts under one id are documents of their own,
-    ordered by a hash of the text. See :func:`common_lines` for what is removed; all other columns are kept, but
-    for columns with the names of the helpers ``_line_id``, ``_removed``, ``_n_lines`` and ``_n_removed``."""
-    docs, _ = unique_ids(docs.drop("_line_id", "_removed"), id_col, text_col, "_line_id")
-    gone = common_lines(docs, "_line_id", text_col, **limits).select(
-        F.col("doc_id").alias("_line_id"), F.col("removed").alias("_removed"))
-    lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    return (docs.join(gone, "_line_id", "left")
-            .withColumn("_n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-            .withColumn("_n_removed", F.coalesce(F.size("_removed"), F.lit(0)).cast("long"))
-            .withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(left))
-            .drop("_line_id", "_removed"))
+    ordered by a hash of the text. A text of very many lines takes time in proportion to them. An empty table gives an
+    empty result. As the row is a struct, columns may have any names. See :func:`common_lines` for what is removed."""
+    named, _ = unique_ids(docs, id_col, text_col)
+    text = F.col("row").getField(text_col)
+    gone = common_lines(named.select("name", text.alias("text")), "name", "text", **limits).select(
+        F.col("doc_id").alias("name"), "removed")
+    lines = F.split(text, "\n", -1)
+    left = F.array_join(without(lines, F.col("removed")), "\n")
+    return named.join(gone, "name", "left").select(
+        F.when(F.col("removed").isNull(), F.col("row")).otherwise(F.col("row").withField(text_col, left)).alias("row"),
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"))

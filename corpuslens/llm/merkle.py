@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.llm.common import arrow_map
 from corpuslens.operators.partitioning import rank_within
 from corpuslens.session import materialize
 
@@ -107,7 +108,7 @@ def _storey(nodes: DataFrame) -> DataFrame:
                 rows = []
         yield _batch(_NODE, rows)
 
-    return _dealt(src).mapInArrow(run, _NODE)
+    return _dealt(src).transform(arrow_map, run, _NODE)
 
 
 _TYPES = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
@@ -148,7 +149,7 @@ def _paths(nodes: DataFrame, above: DataFrame) -> DataFrame:
                     rows = []
         yield _batch(_PATH, rows)
 
-    return _dealt(src).mapInArrow(run, _PATH)
+    return _dealt(src).transform(arrow_map, run, _PATH)
 
 
 Manifest = namedtuple("Manifest", "leaves paths subroots")
@@ -251,7 +252,7 @@ def fold(manifest: Manifest, replacement: str, carry: dict[str, str], proofs: bo
                     rows = []
         yield _batch(schema, rows)
 
-    return _dealt(src).mapInArrow(run, schema)
+    return _dealt(src).transform(arrow_map, run, schema)
 
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import as_long, mix64, shingle_sets
+from corpuslens.llm.common import arrow_map, as_long, mix64, shingle_sets
 from corpuslens.llm.components import connected_components
 from corpuslens.session import materialize
 
@@ -136,7 +136,7 @@ def shingle_classes(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
             yield _rows(["doc_id", "n_shingles", "h1", "h2", "sketch"], b.column(0), n, as_long(one), as_long(two),
                         sketch)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sketch array<long>")
+    return docs.transform(arrow_map, run, "doc_id long, n_shingles long, h1 long, h2 long, sketch array<long>")
 
 
 def _signature_rows(docs: DataFrame, words: int, bands: Bands, strict: dict[int, int]) -> DataFrame:
@@ -162,7 +162,7 @@ def _signature_rows(docs: DataFrame, words: int, bands: Bands, strict: dict[int,
             if lens:
                 yield _rows(["key", "id"], as_long(np.concatenate(keys)), np.concatenate(owners))
 
-    return docs.mapInArrow(run, "key long, id long")
+    return docs.transform(arrow_map, run, "key long, id long")
 
 
 _BUCKETS = "key long, id long, head long, large boolean"
@@ -287,7 +287,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int, h
                         right.append(ids[i])
             yield _rows(["a", "b"], left, right)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.transform(arrow_map, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8,
@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = src.where("doc_id is not null and text is not null")
 
     buckets = materialize(_signature_rows(texts, words, bands, strict).repartition("key")
-                          .sortWithinPartitions("key", "id").mapInArrow(_buckets, _BUCKETS), "buckets")
+                          .sortWithinPartitions("key", "id").transform(arrow_map, _buckets, _BUCKETS), "buckets")
     rep = classes.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     info = full.select("doc_id", "n_shingles", "sketch")
 
@@ -364,7 +364,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         pairs = (named.join(info, named.id == info.doc_id).select("key", "id", "label", "n_shingles", "sketch")
                  .repartition("key").sortWithinPartitions("key", "id")
-                 .mapInArrow(_open_pairs(low, high, num, den), "a long, b long").distinct())
+                 .transform(arrow_map, _open_pairs(low, high, num, den), "a long, b long").distinct())
         fresh = materialize(to_reps(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
         found = materialize(_verify(fresh, texts, words, num, den, hub_pairs), "links")
         if not found.isEmpty():

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.llm.common import arrow_map
 from corpuslens.llm.token_counts import balanced
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -179,4 +180,4 @@ def pack(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str
                     window, room = [], targets.pop(0) if targets else 0
         yield flush()
 
-    return src.mapInArrow(run, SCHEMA)
+    return src.transform(arrow_map, run, SCHEMA)

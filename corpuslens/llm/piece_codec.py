@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.llm.common import arrow_map
+
 _MARK = "▁"
 _JOINED = 1 << 14  # characters of new chunks segmented in one call
 
@@ -170,7 +172,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     [b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(ids))),
                      pa.array([codec.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return src.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return src.transform(arrow_map, run, "doc_id long, ids array<int>, decoded string")
 
 
 def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -185,4 +187,4 @@ def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: st
             texts = [None if x is None else codec.decode(np.array(x, np.int64)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return src.mapInArrow(run, "doc_id long, text string")
+    return src.transform(arrow_map, run, "doc_id long, text string")

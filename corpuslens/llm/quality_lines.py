@@ -9,8 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from corpuslens.llm.common import SLICE_BYTES, WHITE, mix64, slices, text_bytes, windows, word_table
+from corpuslens.llm.common import SLICE_BYTES, WHITE, arrow_map, mix64, slices, text_bytes, windows, word_table
 from corpuslens.session import materialize
 
 _SYMBOL = np.zeros(256, bool)
@@ -56,7 +57,7 @@ def frequent_lines(docs: DataFrame, host: str | Column, text: str | Column, limi
         return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(lines, pa.int64()),
                                            pa.array(texts, pa.int64())], ["host", "line", "fp"])
 
-    pairs = materialize(src.mapInArrow(run, "host string, line long, fp long").distinct(), "host-lines")
+    pairs = materialize(src.transform(arrow_map, run, "host string, line long, fp long").distinct(), "host-lines")
     counts = materialize(pairs.groupBy("host", "line").agg(F.count("*").alias("n")).where(
         F.col("line").isNull() | (F.col("n") >= min(limits.min_docs, limits.any_docs))), "line-counts")
     total = counts.where("line is null").select("host", F.col("n").alias("n_docs"))
@@ -100,21 +101,26 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: the base counts, what line frequency removes, the verdict and the text that is left.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    n_removed_lines, left_words, left_text, and with ``carry`` a struct ``carried`` of those columns. ``base_failed``: fewer than ``min_words`` (20) words, or more than 30 %
-    of the words inside repeated 8-word windows. Lines above the limits of :func:`frequent_lines` are removed;
-    a document is depleted, and rejected, if fewer than ``min_words`` words or less than ``min_left_share`` of its
-    words are left. A null or empty text has no words, fails and leaves "". Null hosts are one host; null and
-    repeated ids keep their rows; other columns are not read; an empty table gives an empty result."""
+    n_removed_lines, left_words, left_text, and with ``carry`` a struct ``carried`` of those columns.
+    ``base_failed``: fewer than ``min_words`` (20) words, or more than 30 % of the words inside repeated 8-word
+    windows. Lines above the limits of :func:`frequent_lines` are removed; a document is depleted, and rejected, if
+    fewer than ``min_words`` words or less than ``min_left_share`` of its words are left. A null or empty text has no
+    words, fails and leaves "". Null hosts are one host; null and repeated ids keep their rows; very long texts are read
+    whole; other columns are not read; an empty table gives an empty result."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                       F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
-                      *([F.struct(*map(F.col, carry)).alias("carried")] if carry else []))
+                      *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []))
     # written first, so the planner sees its size before it plans the join
     frequent = materialize(frequent_lines(docs, F.col(host_col).cast("string"), F.col(text_col), limits), "frequent-lines")
     extra = ["carried"] if carry else []
     fp = F.xxhash64(F.coalesce("text", F.lit("")))
     # texts are always dealt out: whether the table is small enough to be sent to all depends on the input's size
     rows = src.withColumn("fp", fp).join(frequent.hint("merge"), ["host", "fp"], "left").select("doc_id", "text", "frequent", *extra)
-    carried = f", carried {src.schema['carried'].dataType.simpleString()}" if carry else ""
+    schema = StructType.fromDDL("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+                                "n_repeat_words long, base_failed boolean, kept boolean, n_removed_lines long, "
+                                "left_words long, left_text string")
+    if carry:
+        schema = schema.add(src.schema["carried"])
 
     def run(batches):
         for whole in batches:
@@ -152,6 +158,4 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                      "base_failed", "kept", "n_removed_lines", "left_words", "left_text", *extra])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-                                "n_repeat_words long, base_failed boolean, kept boolean, n_removed_lines long, "
-                                "left_words long, left_text string" + carried)
+    return rows.transform(arrow_map, run, schema)

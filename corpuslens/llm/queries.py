@@ -45,11 +45,14 @@ def op2(spark, sf_dir):
     return quality_lines.quality_rules(documents(spark, sf_dir)).drop("left_text")
 
 
+# shares of the tokens that a training mix should have; what they leave goes to the other values
+TARGETS = {"lang": {"en": 0.4, "de": 0.2}, "topic": {"prose": 0.4, "lists": 0.1}}
+
+
 @query("op3_mix_to_targets")
 def op3(spark, sf_dir):
-    return mixing.mix_to_targets(documents(spark, sf_dir)).select(
-        "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
-        F.col("_p").alias("probability"), F.col("_sampled").alias("sampled"))
+    plan, _ = mixing.mix_to_targets(documents(spark, sf_dir), vocab(), TARGETS)
+    return plan.withColumnRenamed("tokens", "n_tokens")
 
 
 @query("op4_ngram_jaccard_join")
@@ -60,8 +63,8 @@ def op4(spark, sf_dir):
 @query("op5_line_dedup")
 def op5(spark, sf_dir):
     return line_align.line_dedup(documents(spark, sf_dir)).select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
-        F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("kept_sha256"))
+        "row.doc_id", "n_lines", "n_removed", F.length("row.text").cast("long").alias("n_chars_left"),
+        F.sha2("row.text", 256).alias("kept_sha256"))
 
 
 @query("op6_url_filter")

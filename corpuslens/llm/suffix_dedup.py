@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import as_long, mix64, text_bytes, unique_ids
+from corpuslens.llm.common import arrow_map, as_long, mix64, text_bytes, unique_ids
 from corpuslens.session import materialize
 
 _U = np.uint64
@@ -125,27 +125,41 @@ def _batch(schema: str, *cols):
 _SAMPLES = "gram long, stretch long, doc_id long, at long, kind int"
 
 
+_HELD = 1 << 20  # samples that a task sorts at once
+
+
 def _sampled(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Samples of all texts. Repeats inside a batch are decided there (kind 1: a stretch that has an earlier equal),
-    so a passage in very many documents sends one sample for each batch to the sort (kind 0)."""
+    """Samples of all texts. Repeats among the samples that a task holds are decided there (kind 1: a stretch that has an
+    earlier equal), so a passage in very many documents sends few samples to the sort (kind 0)."""
+    def decided(held):
+        g, s, doc, at = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((at, doc, s))
+        g, s, doc, at = g[order], s[order], doc[order], at[order]
+        late = np.zeros(len(g), bool)
+        late[1:] = (s[1:] == s[:-1]) & (g[1:] == g[:-1])
+        # decided samples are dealt by their place, far from their gram
+        g[late] = mix64(at[late].astype(np.uint64) + mix64(doc[late].astype(np.uint64)))
+        s[late] = 0
+        for i in range(0, len(g), 100_000):
+            cut = slice(i, i + 100_000)
+            yield _batch(_SAMPLES, as_long(g[cut]), as_long(s[cut]), doc[cut], at[cut], pa.array(late[cut].astype(np.int32)))
+
     def run(batches):
         roll = Roller(_PART + window + 1)
+        held, size = [], 0
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            found = [sample(d, p, window, gram, roll) for d, p in parts(b.column(1), window)]
-            if not found:
-                continue
-            g, s, rows, at = (np.concatenate(x) for x in zip(*found))
-            doc = ids[rows]
-            order = np.lexsort((at, doc, s))
-            g, s, doc, at = g[order], s[order], doc[order], at[order]
-            late = np.zeros(len(g), bool)
-            late[1:] = (s[1:] == s[:-1]) & (g[1:] == g[:-1])
-            # decided samples are dealt by their place, far from their gram
-            g[late] = mix64(at[late].astype(np.uint64) + mix64(doc[late].astype(np.uint64)))
-            yield _batch(_SAMPLES, as_long(g), as_long(s), doc, at, pa.array(late.astype(np.int32)))
-
-    return docs.mapInArrow(run, _SAMPLES)
+            for d, p in parts(b.column(1), window):
+                g, s, rows, at = sample(d, p, window, gram, roll)
+                held.append((g, s, ids[rows], at))
+                size += len(g)
+                if size >= _HELD:
+                    yield from decided(held)
+                    held, size = [], 0
+        if size:
+            yield from decided(held)
+
+    return docs.transform(arrow_map, run, _SAMPLES)
 
 
 _DECIDED = "doc_id long, at long, kind int, gram long"
@@ -160,7 +174,7 @@ def _decide(batches):
         g, s, doc, at, kind = (b.column(i).to_numpy() for i in range(5))
         known = kind == 1
         if known.any():
-            yield _batch(_DECIDED, doc[known], at[known], pa.array(kind[known]), g[known])
+            yield _batch(_DECIDED, doc[known], at[known], pa.array(kind[known]), np.zeros(known.sum(), np.int64))
             g, s, doc, at = (x[~known] for x in (g, s, doc, at))
         if not len(g):
             continue
@@ -189,6 +203,7 @@ def _decide(batches):
         kind[:len(late)] = 1
         cols = (np.concatenate((x[pick], np.array([y[i] for y in extra], np.int64))) for i, x in enumerate((doc, at, g)))
         d, t, name = cols
+        name[kind == 1] = 0  # only open grams are looked up again
         yield _batch(_DECIDED, d, t, pa.array(kind), name)
         g0, s0 = g[-1], s[-1]
 
@@ -216,7 +231,7 @@ def _tuples(texts: DataFrame, window: int) -> DataFrame:
                                                                      pa.py_buffer(data[place].tobytes())])
                 yield _batch(_TUPLES, gram[part], ids[row[part]], at[part], raw)
 
-    return texts.mapInArrow(run, _TUPLES)
+    return texts.transform(arrow_map, run, _TUPLES)
 
 
 _BLOCK = 50_000  # tuples sorted at once; a gram with more is induced in blocks, which then meet by name
@@ -354,13 +369,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     3. Where equal grams lie in different stretches, the first tuple of each stretch goes into a second external sort
        with its bytes, and the windows around the gram are induced from the sorted suffixes (:func:`induce`).
     Names are 64-bit hashes of whole stretches; induced windows are compared byte by byte."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    src, repeated = unique_ids(src, "doc_id", "text", "name")
+    if not 1 <= gram <= window or window - gram + 1 > _MASK:
+        raise ValueError(f"gram must be 1 to window, and window - gram + 1 at most {_MASK}")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    named, repeated = unique_ids(src, "doc_id", "text")
     if not repeated:
-        return _remove(src.select("doc_id", "text"), window, gram)
-    once = src.where("name is not null").dropDuplicates(["name"]).union(src.where("name is null"))
+        return _remove(src, window, gram)
+    named = named.select("name", "row.*")
+    once = named.where("name is not null").dropDuplicates(["name"]).union(named.where("name is null"))
     done = _remove(once.select(F.col("name").alias("doc_id"), "text"), window, gram).withColumnRenamed("doc_id", "name")
-    owners = src.where("name is not null").select("name", "doc_id")
+    owners = named.where("name is not null").select("name", "doc_id")
     return done.join(owners, "name", "left").select("doc_id", *[c for c in done.columns if c != "name"])
 
 
@@ -369,17 +387,18 @@ def _remove(src: DataFrame, window: int, gram: int) -> DataFrame:
     known = src.where("doc_id is not null and text is not null")
     decided = materialize(_sampled(known, window, gram).repartition("gram")
                           .sortWithinPartitions("kind", "gram", "stretch", "doc_id", "at")
-                          .mapInArrow(_decide, _DECIDED), "stretches")
+                          .transform(arrow_map, _decide, _DECIDED), "stretches")
     open_spans = decided.where("kind = 2").groupBy("doc_id").agg(F.collect_list(F.struct("at", "gram")).alias("spans"))
     late = (_tuples(known.join(open_spans, "doc_id"), window).repartition("gram")
             .sortWithinPartitions("gram", F.expr(f"substring(stretch, cast(at & {_MASK} AS INT) + 1)"))
-            .mapInArrow(_induced(window, window - gram), _LATE).repartition("name")
-            .sortWithinPartitions("count", "name", "doc_id", "at").mapInArrow(_not_first, "doc_id long, at long"))
+            .transform(arrow_map, _induced(window, window - gram), _LATE).repartition("name")
+            .sortWithinPartitions("count", "name", "doc_id", "at").transform(arrow_map, _not_first, "doc_id long, at long"))
     covered = (decided.where("kind = 1").select("doc_id", "at").union(late)
                .groupBy("doc_id").agg(F.collect_list("at").alias("spans")))
-    # both joins read the texts by doc_id: one exchange serves both
-    rows = known.join(covered, "doc_id", "left").select("doc_id", "text", "spans").union(
-        src.where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast("array<bigint>")))
+    # Both joins read the texts by doc_id, and one exchange serves both (a plan test holds this): the joined rows come
+    # second in the union, as Spark renames the columns of a union's first part, and then its exchange would differ.
+    rows = src.where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias(
+        "spans")).union(known.join(covered, "doc_id", "left").select("doc_id", "text", "spans"))
 
     def cut(batches):
         for b in batches:
@@ -405,5 +424,5 @@ def _remove(src: DataFrame, window: int, gram: int) -> DataFrame:
                  pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
+    return rows.transform(arrow_map, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
                                 "spans array<struct<start:long,length:long>>")

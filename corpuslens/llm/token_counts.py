@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.llm.common import arrow_map
+
 # A space that follows a character other than white space always begins a new pre-token of the byte-level
 # pattern (` ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+`), and no alternative looks across it from the
 # left, so a text can be cut there and the pieces encoded alone.
@@ -136,4 +138,4 @@ def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
                  pa.array([c > max_tokens for c in counts], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return src.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return src.transform(arrow_map, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuslens.llm import (exact_index, line_align, mixing, ngram_join, packing, pii_surrogates, quality_lines, queries,
+from corpuslens.llm import (common, exact_index, line_align, mixing, ngram_join, packing, pii_surrogates, quality_lines, queries,
                             suffix_dedup, token_counts, url_gbt)
 
 SF = "/root/testdata/sf0.001"
@@ -146,48 +147,91 @@ def test_quality_rules_in_a_large_host(spark):
 # ---------------------------------------------------------------- 3 mixing
 def test_rake_and_calibrate():
     rng = np.random.default_rng(1)
-    tokens = rng.integers(1, 100, (4, 3, 2)).astype(float)
-    goals = [np.array([4, 3, 2, 1.0]), np.array([1, 1, 2.0]), np.array([1, 3.0])]
-    f = mixing.rake(tokens, goals)
-    for a, g in enumerate(goals):
-        assert np.allclose((f * tokens).sum(axis=tuple(x for x in range(3) if x != a)) / tokens.sum(), g / g.sum())
+    shape, n = (4, 3, 2), 24
+    tokens = rng.integers(1, 100, n).astype(float)
+    place = list(np.unravel_index(np.arange(n), shape))
+    want = [np.array(g) / sum(g) for g in ([4, 3, 2, 1.0], [1, 1, 2.0], [1, 3.0])]
+    f, left = mixing.rake(tokens, place, want)
+    assert left < 1e-9
+    for at, goal in zip(place, want):
+        assert np.allclose(np.bincount(at, f * tokens) / tokens.sum(), goal)
     p = mixing.calibrate(tokens, f, 0.4 * tokens.sum())
     assert (p >= 0).all() and (p <= 1).all() and np.isclose((p * tokens).sum(), 0.4 * tokens.sum())
     assert mixing.calibrate(tokens, f, 9 * tokens.sum()).sum() == tokens.size
-    assert (mixing.rake(np.zeros((2, 1, 1)), goals) == 1).all()
-
-
-def test_mix_to_targets(spark, corpus):
-    docs = table(spark, corpus)
-    out = mixing.mix_to_targets(docs, {"source": {"a": 3, "b": 1, "": 1}}).collect()
-    assert len(out) == len(corpus)
-    assert all(r._tokens == len(WORD.findall(r.text or "")) for r in out if not re.search("[ 　]", r.text or ""))
-    total = sum(r._tokens for r in out)
-    assert abs(sum(r._p * r._tokens for r in out) - 0.5 * total) < 1e-6 * total
-    again = mixing.mix_to_targets(docs.repartition(7), {"source": {"a": 3, "b": 1, "": 1}}).collect()
-    assert {r.doc_id: r._sampled for r in out} == {r.doc_id: r._sampled for r in again}
-    assert mixing.mix_to_targets(docs.limit(0)).count() == 0
+    assert (mixing.rake(np.zeros(2), [np.arange(2)], [np.array([0.5, 0.5])])[0] == 1).all()
+    # a language that one source alone has can't have more than that source
+    f, left = mixing.rake(np.array([10.0, 10]), [np.array([0, 1]), np.array([0, 1])], [np.array([0.9, 0.1]), np.array([0.2, 0.8])])
+    assert left > 0.1
+
+
+def test_goals():
+    assert mixing.goals({"a": 4, "b": 9, "c": 0}, {"a": 0.4, "z": 0.5}, 0.5) == {"a": 0.4, "b": 0.6}
+    assert mixing.goals({"a": 4, "b": 9, "c": 1}, {"a": 3, "b": 1}, 0.5) == {"a": 0.75, "b": 0.25, "c": 0.0}
+    got = mixing.goals({"a": 4, "b": 16}, None, 0.5)
+    assert got == {"a": 1 / 3, "b": 2 / 3} and mixing.goals({}, {"a": 1}, 1) == {}
+
+
+def test_many_sources_need_no_cube():
+    rng = np.random.default_rng(2)
+    n = 600_000  # a dense cube of 500,000 sources, 100 languages and 4 topics would have 200 million cells
+    place = [rng.integers(0, k, n) for k in (500_000, 100, 4)]
+    tokens = rng.integers(1, 1000, n).astype(float)
+    want = [np.bincount(x, tokens) ** 0.5 for x in place]
+    f, left = mixing.rake(tokens, place, [w / w.sum() for w in want], sweeps=5)
+    assert f.shape == (n,) and left < 0.05
+
+
+def apart(docs):
+    """Languages that don't go with the sources, so that any shares can be met."""
+    return docs.withColumn("lang", F.expr("element_at(array('en', null, 'de', 'de'), cast(doc_id div 3 % 4 + 1 AS INT))"))
+
+
+TARGET = {"source": {"a": 0.5}, "lang": {"de": 0.6, "zz": 1}, "topic": {"lists": 0.4, "prose": 0.1}}
+
+
+def form(t):
+    return ("short" if len(t) < 400 else "lists" if t.count("\n") * 200 >= len(t)
+            else "figures" if re.search("[0-9]", t) else "prose")
+
+
+def test_mix_to_targets(spark, corpus, tokenizer):
+    docs = apart(table(spark, corpus)).withColumns({n: F.lit("mine") for n in ("_tokens", "tokens", "row", "probability", "draw", "topic")})
+    plan, kept = mixing.mix_to_targets(docs, queries.vocab(), TARGET)
+    out = sorted(plan.collect())
+    assert [(r.doc_id, r.tokens, r.topic) for r in out] == [(i, len(tokenizer(t)), form(t or "")) for i, t in enumerate(corpus)]
+    rows = kept.select("row.*").collect()
+    assert kept.select("row.*").columns == docs.columns and all(r.tokens == r.row == r._tokens == "mine" for r in rows)
+    assert sorted(r.doc_id for r in rows) == [r.doc_id for r in out if r.sampled]
+    # weighted shares are the targets
+    total = sum(r.tokens for r in out)
+    share = lambda k, v: sum(r.weight * r.tokens for r in out if r[k] == v) / total
+    assert out[0].residual < 1e-6
+    assert abs(share("source", "a") - 0.5) < 1e-6 and abs(share("lang", "de") - 0.6) < 1e-6 and abs(share("topic", "lists") - 0.4) < 1e-6
+    assert abs(sum(r.probability * r.tokens for r in out) - 0.5 * total) < 1e-6 * total
+    again = mixing.mix_to_targets(docs.repartition(7), queries.vocab(), TARGET)[0].collect()
+    assert {r.doc_id: r.sampled for r in out} == {r.doc_id: r.sampled for r in again}
+    for empty in mixing.mix_to_targets(docs.limit(0), queries.vocab(), TARGET):
+        assert empty.count() == 0
     with pytest.raises(ValueError):
-        mixing.mix_to_targets(docs, max_cells=1)
+        mixing.mix_to_targets(docs, queries.vocab(), max_cells=1)
 
 
-def test_mixing_probabilities(spark, corpus):
-    def topic(t):
-        return ("short" if len(t) < 400 else "lists" if t.count("\n") * 200 >= len(t)
-                else "figures" if re.search("[0-9]", t) else "prose")
-    out = mixing.mix_to_targets(table(spark, corpus)).collect()
-    cell = lambda r: (r.source or "", r.lang or "", topic(r.text or ""))
+def test_mixing_probabilities(spark, corpus, tokenizer):
+    """By another way: shares by loops over cells, the scale by bisection."""
+    out = mixing.mix_to_targets(apart(table(spark, corpus)), queries.vocab(), TARGET)[0].collect()
+    cell = lambda r: (r.source, r.lang, r.topic)
     tokens = Counter()
     for r in out:
-        assert r._topic == cell(r)[2]
-        tokens[cell(r)] += r._tokens
+        tokens[cell(r)] += len(tokenizer(corpus[r.doc_id]))
     tokens = +tokens
     total, f = sum(tokens.values()), dict.fromkeys(tokens, 1.0)
     share = lambda a, v, g: sum(g[c] * n for c, n in tokens.items() if c[a] == v) / total
-    one = dict.fromkeys(tokens, 1.0)
-    goals = [{v: share(a, v, one) ** 0.5 for v in {c[a] for c in tokens}} for a in range(3)]
-    goals = [{v: x / sum(g.values()) for v, x in g.items()} for g in goals]
-    for _ in range(200):
+    one, goals = dict.fromkeys(tokens, 1.0), []
+    for a, k in enumerate(("source", "lang", "topic")):
+        given = {v: w for v, w in TARGET[k].items() if any(c[a] == v for c in tokens)}
+        free = {c[a]: share(a, c[a], one) ** 0.5 for c in tokens if c[a] not in given}
+        goals.append(given | {v: (1 - sum(given.values())) * x / sum(free.values()) for v, x in free.items()})
+    for _ in range(500):
         for a, goal in enumerate(goals):
             step = {v: x / share(a, v, f) for v, x in goal.items()}
             f = {c: x * step[c[a]] for c, x in f.items()}
@@ -195,7 +239,7 @@ def test_mixing_probabilities(spark, corpus):
     for _ in range(200):  # p = min(1, scale * f) with half of the tokens
         mid = (low + high) / 2
         low, high = (mid, high) if sum(min(1, mid * f[c]) * n for c, n in tokens.items()) < total / 2 else (low, mid)
-    assert all(abs(r._p - (min(1, low * f[cell(r)]) if cell(r) in tokens else 1)) < 1e-6 for r in out)
+    assert all(abs(r.probability - (min(1, low * f[cell(r)]) if cell(r) in tokens else 1)) < 1e-6 for r in out)
 
 
 # ---------------------------------------------------------------- 4 n-gram join
@@ -239,6 +283,25 @@ def test_near_duplicates_chain_and_edges(spark):
         ngram_join.near_duplicates(table(spark, ["a"]), num=1, den=2)
 
 
+def test_words_of_any_length_are_told_apart(spark):
+    rng = random.Random(7)
+    a, b, mirror = "a" * 1024, "b" * 1024, "a"
+    for _ in range(11):
+        mirror += mirror.translate(str.maketrans("ab", "ba"))
+    odd = [a + b, b + a, a + a, a, a + "a", a[1:], mirror, mirror.translate(str.maketrans("ab", "ba"))] + [
+        "".join(rng.choice("ab") for _ in range(rng.randint(900, 10_000))) for _ in range(60)]
+    data = np.frombuffer(("  " * 700).join(odd + odd).encode(), np.uint8)
+    for step in (common.SLICE_BYTES, 3000):
+        h, _, start, end = common.word_table(data, np.array([0, len(data)]), True, step)
+        assert [data[i:j].tobytes().decode() for i, j in zip(start, end)] == odd + odd
+        assert len(set(h.tolist())) == len(odd) and (h[:len(odd)] == h[len(odd):]).all()
+    swapped = [odd[0], odd[1], " ".join(odd[8:20]), " ".join(odd[8:20]), " ".join([*odd[8:19], odd[20]])]
+    got = ngram_join.near_duplicates(table(spark, swapped), words=4, num=85, den=100).collect()
+    assert sorted(map(tuple, got)) == groups(swapped, 4, 85, 100) and got[0].component_id != got[1].component_id
+    eight = " ".join([a + b] * 8 + [b + a] * 8)
+    assert quality_lines.quality_rules(table(spark, [eight])).first().n_repeat_words == base(eight)[4] == 0
+
+
 # ---------------------------------------------------------------- 5 line dedup
 def test_align_is_a_common_subsequence():
     rng = random.Random(2)
@@ -259,16 +322,16 @@ def test_line_dedup(spark):
     shared = ["first shared line", "second shared line", "", "third shared line"]
     texts = ["\n".join(own(0) + shared), "\n".join(own(1)[:2] + shared + own(1)[2:]), "\n".join(own(2)), None, "",
              "\n".join(own(0) + shared), "single\n" + "first shared line", "\n".join(own(7) + ["FIRST  shared line", "second shared line"])]
-    got = {r.doc_id: r for r in line_align.line_dedup(table(spark, texts)).collect()}
+    got = {r.doc_id: r for r in line_align.line_dedup(table(spark, texts)).select("row.*", "n_removed").collect()}
     assert got[0].text == texts[0] and got[2].text == texts[2] and got[3].text is None and got[4].text == ""
-    assert got[1].text == "\n".join(own(1)) and got[1]._n_removed == 4
-    assert got[5].text == "" and got[5]._n_removed == 8
+    assert got[1].text == "\n".join(own(1)) and got[1].n_removed == 4
+    assert got[5].text == "" and got[5].n_removed == 8
     assert got[6].text == texts[6]  # one short line isn't a block
     assert got[7].text == "\n".join(own(7))
     # a hot boilerplate line makes no pairs alone, a large group of copies still loses its blocks
     many = [f"very common line of this site\n{i} a\n{i} b" for i in range(80)] + ["\n".join(own(5) + [f"tail {i}"]) for i in range(80)]
-    got = line_align.line_dedup(table(spark, many), rare_docs=10).orderBy("doc_id").collect()
-    assert [r._n_removed for r in got] == [0] * 81 + [4] * 79
+    got = line_align.line_dedup(table(spark, many)).orderBy("row.doc_id").collect()
+    assert [r.n_removed for r in got] == [0] * 81 + [4] * 79
     assert line_align.line_dedup(table(spark, [])).count() == 0
     assert line_align.line_dedup(table(spark, ["a\nb", "a\nb"], [None, 1])).count() == 2
 
@@ -276,8 +339,8 @@ def test_line_dedup(spark):
 def test_line_dedup_blocks_of_any_frequency(spark):
     passage, block = "a passage that fills a line of its own " * 3, "short line one\nshort line two"
     texts = [f"{i} a\n{passage}\n{i} b" for i in range(70)] + [f"{i} c\n{block}\n{i} d" for i in range(70)]
-    got = line_align.line_dedup(table(spark, texts)).orderBy("doc_id").collect()
-    assert [r._n_removed for r in got] == [0] + [1] * 69 + [0] + [2] * 69
+    got = line_align.line_dedup(table(spark, texts)).orderBy("row.doc_id").collect()
+    assert [r.n_removed for r in got] == [0] + [1] * 69 + [0] + [2] * 69
 
 
 def test_line_dedup_partners_of_later_holders(spark):
@@ -286,8 +349,8 @@ def test_line_dedup_partners_of_later_holders(spark):
     texts = ["\n".join(t) for t in (
         [a, *own(1)], [b, *own(2)], [*own(3), a, b], [a, b, *own(4)],  # later holders of a and b share a block
         [x, *own(5), y, *own(6), z], [*own(7), x], [y, *own(8), z, *own(9), x])]  # x in another order, then alone
-    got = line_align.line_dedup(table(spark, texts)).orderBy("doc_id").collect()
-    assert [r._n_removed for r in got] == [0, 0, 0, 2, 0, 1, 3]
+    got = line_align.line_dedup(table(spark, texts)).orderBy("row.doc_id").collect()
+    assert [r.n_removed for r in got] == [0, 0, 0, 2, 0, 1, 3]
 
 
 def left_lines(text):
@@ -311,7 +374,7 @@ def test_line_dedup_against_all_pairs(spark, corpus):
     pick = lambda i: "" if i > 40 else pool[i] if i < 14 else f"own {rng.random()}"
     texts = corpus + ["\n".join(pick(rng.randrange(45)) for _ in range(rng.randint(1, 12))) for _ in range(150)]
     want = dedup_all_pairs(texts)
-    got = {r.doc_id: left_lines(r.text) for r in line_align.line_dedup(table(spark, texts)).collect()}
+    got = {r.doc_id: left_lines(r.text) for r in line_align.line_dedup(table(spark, texts)).select("row.*").collect()}
     assert [got[i] for i in range(len(texts))] == want and sum(map(len, want)) < sum(len(left_lines(t)) for t in texts)
     stage = {r.doc_id: left_lines(r.text) for r in corpus_pipeline.line_dedup(spark, table(spark, texts), SF).collect()}
     assert all(stage.get(i, []) == w for i, w in enumerate(want))
@@ -322,12 +385,41 @@ def test_line_dedup_repeated_ids_and_helper_names(spark):
     a, b, c = f"only here\n{block}", f"{block}\nother one\nanother two", f"later one\n{block}\nlater two"
     docs = table(spark, [a, a, b, c, c], [3, 3, 3, 8, 8]).withColumns(
         {n: F.lit(1) for n in ("_line_id", "_removed", "_n_lines", "_u_id", "_u_rank")})
-    got = sorted((r.doc_id, r.text) for r in line_align.line_dedup(docs).collect())
+    got = sorted((r.doc_id, r.text) for r in line_align.line_dedup(docs).select("row.*").collect())
     h = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
     own = [(3, a), (3, a), (3, "other one\nanother two")] if h[a] < h[b] else [(3, "only here")] * 2 + [(3, b)]
     assert got == sorted([*own, *[(8, "later one\nlater two")] * 2])
 
 
+def test_line_removal_is_linear(spark):
+    lines = [f"line {i}" for i in range(200_000)]
+    texts = ["\n".join(lines), "\n".join(["own", *lines[:150_000:2], "last"])]
+    start = time.time()
+    gone = list(range(0, 200_000, 2))
+    df = spark.createDataFrame([(texts[0], gone), (texts[1], [1]), ("a\nb", [0, 1]), ("a", [])], "t string, g array<int>")
+    got = [r[0] for r in df.select(line_align.without(F.split("t", "\n", -1), F.col("g"))).collect()]
+    assert got[0] == lines[1::2] and got[1][0] == "own" and len(got[1]) == 75_001 and got[2:] == [[], ["a"]]
+    assert time.time() - start < 10
+    copies = line_align.line_dedup(table(spark, [texts[0], texts[0]])).orderBy("row.doc_id").collect()
+    assert [r.n_removed for r in copies] == [0, 200_000] and copies[1].row.text == ""
+
+
+CLASH = ("name", "row", "id", "fp", "removed", "rest", "carried", "line", "lines", "host", "fp", "key", "frequent", "rank", "draw",
+         "topic", "tokens", "weight", "probability", "left_text", "component_id", "n_lines", "n_removed", "_near_id", "_u_id",
+         "_tokens", "_n_lines", "_removed", "_line_id", "_d_source", "h1", "rep", "kept")
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:-1]], ids=[n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_leave_other_columns_alone(spark, stage):
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) + "\nshared line one\nshared line two" for i in range(12)]
+    docs = table(spark, texts + texts[:2], [*range(12), 0, 1]).drop("key").withColumns(
+        {n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in CLASH})
+    out = stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in CLASH)
+
+
 # ---------------------------------------------------------------- 6 URL filter
 def judge(url):
     host, path = "", ""
