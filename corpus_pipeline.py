@@ -6,49 +6,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import line_align, mixing, ngram_join, packing, quality_lines
-from corpuslens.llm.common import unique_ids
-from corpuslens.llm.queries import documents, vocab
+from corpuslens.llm.common import unique_ids, whole_row
+from corpuslens.llm.queries import TARGETS, documents, vocab
 from corpuslens.session import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without the lines that too many documents of their source share."""
-    cols = docs.columns
-    out = quality_lines.quality_rules(docs, carry=tuple(c for c in cols if c != "text")).where("kept")
-    return _documents(out.select("carried.*", F.col("left_text").alias("text")), cols)
+    """Documents that pass the rules, without the lines that too many documents of their source share.
+
+    Null and empty texts, and texts with fewer than 20 words, are rejected. Null sources are one source. Null and repeated
+    ids keep their rows, ties don't arise. Very long texts are read whole. Other columns stay as they are, whatever their
+    names; ``n_chars`` follows the text. An empty table gives an empty one."""
+    rows = docs.select("doc_id", "text", "source", whole_row(docs, less="text").alias("rest"))
+    out = quality_lines.quality_rules(rows, carry=("rest",))
+    return _documents(out.where("kept").select("carried.rest.*", F.col("left_text").alias("text")), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the line blocks that an earlier document has; documents with no word left go."""
+    """Without the line blocks that an earlier document has; documents that lose their last word go.
+
+    Null and empty texts and rows with a null id stay as they are. Rows with equal id and text are one document, different
+    texts under one id are documents of their own, ordered by a hash. Texts of very many lines take time in proportion. Other
+    columns stay as they are, whatever their names; ``n_chars`` follows the text. An empty table gives an empty one."""
     cut = line_align.line_dedup(docs)
-    return _documents(cut.where((F.col("_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs.columns)
+    return _documents(cut.where((F.col("n_removed") == 0) | F.col("row.text").rlike(r"[^\x20\x09-\x0D]")).select("row.*"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (five-word shingles, 0.8 or more)."""
-    named, repeated = unique_ids(docs, "doc_id", "text", "_near_id")
-    groups = ngram_join.near_duplicates(named, id_col="_near_id")
-    later = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_near_id")).distinct()
-    kept = named.join(later, "_near_id", "left_anti")
+    """The document with the smallest id of each group of near duplicates (five-word shingles, 0.8 or more).
+
+    Texts without words (null, empty) link with nothing and stay, as do rows with a null id. Rows with equal id and text are
+    one document, of which one row stays; different texts under one id are documents of their own, ordered by a hash.
+    Very long texts are compared whole. Other columns stay as they are, whatever their names. An empty table gives an
+    empty one."""
+    named, repeated = unique_ids(docs, "doc_id", "text")
+    groups = ngram_join.near_duplicates(named.select("name", F.col("row.text").alias("text")), id_col="name")
+    later = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("name")).distinct()
+    kept = named.join(later, "name", "left_anti")
     if repeated:  # rows with equal id and text are one document
-        kept = kept.where("_near_id is not null").dropDuplicates(["_near_id"]).unionByName(kept.where("_near_id is null"))
-    return kept.select(*docs.columns)
+        kept = kept.where("name is not null").dropDuplicates(["name"]).unionByName(kept.where("name is null"))
+    return kept.select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample that follows the raked source, language and topic weights."""
-    return mixing.mix_to_targets(docs).where("_sampled").select(*docs.columns)
+    """A sample that follows the target shares of ``TARGETS``, raked over source, language and topic.
+
+    Null source, language or topic are a category; null and empty texts weigh nothing and follow their cell; repeated ids
+    share a decision. Very long texts are counted whole. All columns stay as they are, whatever their names. An empty
+    table gives an empty one."""
+    return mixing.mix_to_targets(docs, vocab(), TARGETS)[1].select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences of 1024 tokens."""
+    """The pieces of all documents, packed into sequences of 1024 tokens.
+
+    A null or empty text is its end id alone. Null and repeated ids keep their rows; very long texts are cut into several
+    pieces; other columns are not read. An empty table gives no pieces."""
     return packing.pack(docs, vocab())
 
 
-def _documents(df: DataFrame, cols: list[str]) -> DataFrame:
-    if "n_chars" in cols:
-        df = df.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
-    return df.select(*cols)
+def _documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, with the text's new length if there is a column for it."""
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("n-gram Jaccard join", near_dedup),
