@@ -15,13 +15,17 @@ _SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
 
 # kind -> pattern, in the order in which a match is classified
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "secret": _SECRET + r"\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}",
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"\b[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{4}\b|\b3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "ip": r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b",
+    # eight groups, or fewer with one gap after a first group of three or four characters with a digit
+    "ipv6": r"(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+            r"|(?=[A-Fa-f]{0,3}[0-9])[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)"
+            r"(?![\p{L}\p{N}:])",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}\b"
              r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}\b|\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b",
     "name": rf"\b{_TITLE} \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
@@ -61,12 +65,16 @@ def _fill(template: Column, h: Column) -> Column:
     return F.array_join(F.transform(F.split(template, ""), one), "")
 
 
-def _luhn(body: Column) -> Column:
-    """``body`` digits followed by their Luhn check digit."""
+def _luhn_digit(body: Column) -> Column:
+    """The Luhn check digit of ``body`` digits."""
     digits = F.transform(F.split(F.reverse(body), ""), lambda c, i: F.when(
         i % 2 == 0, F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int")))
     total = F.aggregate(digits, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
-    return F.concat(body, ((10 - total % 10) % 10).cast("string"))
+    return ((10 - total % 10) % 10).cast("string")
+
+
+def _luhn(body: Column) -> Column:
+    return F.concat(body, _luhn_digit(body))
 
 
 def _payload(key: str) -> Column:
@@ -97,6 +105,9 @@ def _payload(key: str) -> Column:
             F.sequence(F.lit(0), n), lambda i: F.element_at(F.array(*map(F.lit, s)), place(i))), "")
         out = out.when(kind == name, F.initcap(F.when(cyrillic, F.concat(build(_SYLLABLES_CYR), F.lit(cyr)))
                                                .otherwise(F.concat(build(_SYLLABLES), F.lit(latin)))))
+    # fd00::/8 is for local networks only
+    groups = F.transform(F.split(canon, ""), lambda c, i: F.when(c == ":", c).otherwise(F.substring(h, i % 64 + 1, F.lit(1))))
+    out = out.when(kind == "ipv6", F.regexp_replace(F.array_join(groups, ""), "^..", "fd"))
     hexadecimal = F.substring(F.repeat(h, 8), F.lit(1), F.length(canon))
     return out.when(canon.rlike("^[0-9a-f]{1,512}$"), hexadecimal).otherwise(_fill(canon, h))
 
@@ -130,6 +141,28 @@ def _kind(mention: Column) -> Column:
     return out
 
 
+def _name_kinds(parts: DataFrame) -> DataFrame:
+    """(doc_id, h, canonical, name_kind): one kind for each word of a document's names, so a person keeps one surrogate
+    under all titles.
+
+    A word is a given name if it more often stands first before others than after them, and has the gender of the
+    gendered titles before it; what its document leaves open, all documents decide."""
+    named = parts.where("label = 'name'")
+    first = (F.col("place") == 0) & (F.col("n") > 1)
+    before = lambda titles: F.count_if((F.col("place") == 0) & F.col("prefix").rlike(rf"^(?:{titles})\.? $"))
+    sums = [F.count_if(first).alias("given"), F.count_if(F.col("place") > 0).alias("family"),
+            before(_FEMALE).alias("f"), before(_MALE).alias("m")]
+    own = named.groupBy("doc_id", "h", "canonical").agg(*sums)
+    all_docs = own.groupBy(F.col("canonical").alias("word")).agg(
+        *[F.sum(c).alias(f"all_{c}") for c in ("given", "family", "f", "m")])
+    def more(a: str, b: str) -> Column:
+        return F.when(F.col(a) != F.col(b), F.col(a) > F.col(b)).otherwise(F.col(f"all_{a}") > F.col(f"all_{b}"))
+    return own.join(all_docs, F.col("canonical") == F.col("word")).select(
+        F.col("doc_id").alias("k_id"), F.col("h").alias("k_h"), F.col("canonical").alias("k_word"),
+        F.when(~more("given", "family"), "family").when(more("f", "m"), "given_f").when(more("m", "f"), "given_m")
+        .otherwise("given_x").alias("name_kind"))
+
+
 def _bare_names(segment: Column, names: Column) -> Column:
     """``segment`` as pieces (t, hit), with the capitalised words that are keys of ``names`` replaced: hyphenated words
     as a whole, else by their parts."""
@@ -148,13 +181,13 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     Kinds and their patterns are in ``PATTERNS``. The same entity has the same surrogate in all documents, different
     ones have different surrogates, and no surrogate is an entity that occurs (see :func:`surrogates`): e-mail
     addresses compare without case, phone, card and social security numbers by their digits (phones by the last ten),
-    names by token, so "Mrs. Anna Berg" and "Dr. Berg" keep sharing a family name. A name is detected by a title before
-    it; its words are then replaced, and counted, wherever the same document has them capitalised and alone ("Berg",
+    names by token, so "Mrs. Anna Berg" and "Dr. Berg" keep sharing a family name, and "Dr. Anna Berg" is the same person
+    (see :func:`_name_kinds`). Card numbers need a valid check digit. A name is detected by a title before it; its words are then replaced, and counted, wherever the same document has them capitalised and alone ("Berg",
     "Anna's"). Names that no title introduces in their document are not detected. Surrogates keep the kind, the
     punctuation, case, script and length class; cards keep the first digit and a valid Luhn digit; given names keep the
     gender of their title; titles, country codes and the names of secrets stay.
 
-    A null text stays null with no entities; an empty text stays empty. Null and repeated ids keep their rows; other
+    A null text stays null with no entities; an empty text stays empty; very long texts are read whole. Null and repeated ids keep their rows; other
     columns are not read; an empty table gives an empty result. Mentions of one entity may be a third of all: the look-up
     is a join of narrow rows that adaptive execution splits when it is skewed."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -164,6 +197,11 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     found = materialize(found.where(F.size("mentions") > 0).dropDuplicates(["doc_id", "h"]), "pii-mentions")
     m = found.select("doc_id", "h", F.posexplode("mentions").alias("pos", "mention"))
     m = m.withColumn("label", _kind(F.col("mention")))
+    # digits without a valid check digit are no card: they stay as they are
+    plain = F.regexp_replace("mention", "[^0-9]", "")
+    m = m.withColumn("label", F.when((F.col("label") == "card") & (F.right(plain, F.lit(1)) != _luhn_digit(
+        F.expr("left(regexp_replace(mention, '[^0-9]', ''), length(regexp_replace(mention, '[^0-9]', '')) - 1)"))), "none")
+        .otherwise(F.col("label")))
     prefix = (F.when(F.col("label") == "name", F.regexp_extract("mention", rf"^({_TITLE} )", 1))
               .when(F.col("label") == "secret", F.regexp_extract("mention", rf"^({_SECRET}\s{{0,3}}[=:]\s{{0,3}}[\"']?)", 1))
               .otherwise(""))
@@ -171,17 +209,19 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     m = m.withColumn("parts", F.when(F.col("label") == "name", F.split("core", " ")).otherwise(F.array("core")))
     parts = m.select("doc_id", "h", "pos", "label", "prefix", F.size("parts").alias("n"),
                      F.posexplode("parts").alias("place", "surface"))
-    gender = (F.when(F.col("prefix").rlike(rf"^(?:{_FEMALE})\.? $"), "given_f")
-              .when(F.col("prefix").rlike(rf"^(?:{_MALE})\.? $"), "given_m").otherwise("given_x"))
-    kind = (F.when(F.col("label") != "name", F.col("label"))
-            .when((F.col("place") == 0) & (F.col("n") > 1), gender).otherwise("family"))
     digits = F.regexp_replace("surface", "[^0-9]", "")
     canonical = (F.when(F.col("label") == "phone", F.expr("right(regexp_replace(surface, '[^0-9]', ''), 10)"))
                  .when(F.col("label").isin(_DIGIT_KINDS), digits)
                  .when(F.col("label") == "iban", F.replace("surface", F.lit(" "), F.lit("")))
-                 .when(F.col("label").isin("email", "name"), F.lower("surface")).otherwise(F.col("surface")))
-    parts = materialize(parts.withColumn("kind", kind).withColumn("canonical", canonical), "pii-parts")
-    named = parts.join(surrogates(parts, key), ["kind", "canonical"])
+                 .when(F.col("label").isin("email", "name", "ipv6"), F.lower("surface")).otherwise(F.col("surface")))
+    parts = materialize(parts.withColumn("canonical", canonical), "pii-parts")
+    kinds = _name_kinds(parts)
+    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h")) & (F.col("canonical") == F.col("k_word"))
+    names = parts.where("label = 'name'").join(kinds, same).withColumn("kind", F.col("name_kind")).drop(*kinds.columns)
+    parts = materialize(parts.where("label <> 'name'").withColumn("kind", F.col("label")).unionByName(names), "pii-kinds")
+    real = parts.where("label <> 'none'")
+    named = real.join(surrogates(real, key), ["kind", "canonical"]).unionByName(
+        parts.where("label = 'none'").withColumn("payload", F.col("surface")))
     # the payload's characters go where the mention has such characters, aligned at the right
     n_pay, n_own = F.length("payload"), F.length(digits)
     def put(c: Column, i: Column) -> Column:
@@ -193,7 +233,7 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
         F.lit(1)))), "")
     is_upper = (F.col("surface") == F.upper("surface")) & (F.col("surface") != F.lower("surface")) & (F.length("surface") > 1)
     new = (F.when(F.col("label").isin(_DIGIT_KINDS), by_format).when(F.col("label") == "iban", iban)
-           .when(F.col("label").isin("email", "name") & is_upper, F.upper("payload")).otherwise(F.col("payload")))
+           .when(F.col("label").isin("email", "name", "ipv6") & is_upper, F.upper("payload")).otherwise(F.col("payload")))
     whole = named.select("doc_id", "h", "pos", "label", "prefix", "place", new.alias("new")).groupBy(
         "doc_id", "h", "pos", "label", "prefix").agg(F.array_sort(F.collect_list(F.struct("place", "new"))).alias("p"))
     whole = whole.select("doc_id", "h", "pos", "label", F.concat(
@@ -203,6 +243,7 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
         *[F.count_if(F.col("label") == k).alias(f"n_{k}") for k in KINDS])
     per_doc = per_doc.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"),
                              F.transform("p", lambda x: x["new"]).alias("news"), *[f"n_{k}" for k in KINDS])
+    own = sum((F.coalesce(f"n_{k}", F.lit(0)) for k in KINDS), F.lit(0))
     # a document's own names by word; "Berg's" also names Berg, the first exact mention decides
     word = F.lower(F.regexp_replace("surface", "(?:['’]s?|-)+$", ""))
     names = named.where("label = 'name'").withColumn("word", word).groupBy("doc_id", "h", "word").agg(
@@ -219,7 +260,7 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
         F.aggregate(F.flatten("pieces"), F.lit(0), lambda n, x: n + x["hit"]))
     text = F.array_join(F.transform("pieces", lambda s, i: F.concat(
         F.array_join(F.transform(s, lambda x: x["t"]), ""), F.coalesce(F.get("news", i), F.lit("")))), "")
-    return joined.select("doc_id", (F.coalesce(F.size("news"), F.lit(0)) + bare).cast("long").alias("n_entities"),
+    return joined.select("doc_id", (own + bare).cast("long").alias("n_entities"),
                          *[(F.coalesce(f"n_{k}", F.lit(0)) + (bare if k == "name" else 0)).cast("long").alias(f"n_{k}")
                            for k in KINDS],
                          F.when(F.col("news").isNull(), F.col("text")).otherwise(text).alias("text"))
