@@ -141,11 +141,10 @@ def build_index(docs: DataFrame, wanted: list[str], id_col: str = "doc_id", text
                 n = tf.total()
                 n_docs += 1
                 n_terms += n
-                df.update(known & tf.keys())
+                df.update(known.intersection(tf))
                 if len(memo) > _MEMO:
                     memo = {}
-                for t in tf.keys() - memo.keys():
-                    memo[t] = _hash(t)
+                memo.update((t, _hash(t)) for t in tf if t not in memo)
                 name = np.fromiter(map(memo.__getitem__, tf), _U, len(tf))
                 count = np.fromiter(tf.values(), np.int64, len(tf))
                 size = int(2 * math.log2(n))
