@@ -157,6 +157,115 @@ def cv_accuracy(folded: DataFrame, features: str, label_idx: str, k: int, model:
     return fold_accuracy(allp, label_idx, "prediction")
 
 
+def term_statistics(tf: DataFrame, members: DataFrame, keys: list[str], groups: list[str]) -> DataFrame:
+    """term, and per group g: df_g and total_g over the documents whose flag g is true. One aggregation for all groups.
+    ``tf`` is (keys..., term, tf), ``members`` (keys..., flags)."""
+    return tf.join(members.select(*keys, *groups), keys).groupBy("term").agg(
+        *[F.count_if(F.col(g)).alias(f"df_{g}") for g in groups],
+        *[F.sum(F.when(F.col(g), F.col("tf")).otherwise(0)).alias(f"total_{g}") for g in groups])
+
+
+def target_table(df: DataFrame, keys: list[str], targets: list[str], eligible: dict[str, int], min_class_size: int,
+                 on_small_class: str, seed: int = SEED) -> tuple[DataFrame, list[dict]]:
+    """(keys..., label_<i> and fold_<i> of each target i), and one record a class and fold: target, cls, label, fold, n.
+
+    ``eligible`` has the folds of each target that takes part. Labels number the classes in their order. The place of a row
+    in its class, which gives its fold, comes from one distributed rank for all targets (see :func:`stratified_folds`)."""
+    long = unpivot(df, targets, "target", "cls", keys).where(has_value("cls"))
+    long = long.where(F.col("target").isin(list(eligible)))
+    classes = long.groupBy("target", "cls").agg(F.count(F.lit(1)).alias("n"))
+    if on_small_class == "filter":
+        classes = classes.where(F.col("n") >= min_class_size)
+    # one row a class: the driver holds the weights of each class anyway
+    found = sorted((r["target"], r["cls"]) for r in classes.collect())
+    labels = [(t, c, i) for t in eligible for i, c in enumerate(c for x, c in found if x == t)]
+    numbered = df.sparkSession.createDataFrame(labels, "target string, cls string, label int")
+    h = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in keys], F.lit(str(seed))))
+    ranked = rank_within(long.join(numbered, ["target", "cls"]).withColumn("_h", h), ["target", "label"],
+                         [F.col("_h"), *map(F.col, keys)], "_r")
+    k = F.create_map(*[x for t, n in eligible.items() for x in (F.lit(t), F.lit(n))])
+    ranked = materialize(ranked.select(*keys, "target", "cls", "label", F.pmod(F.col("_r") - 1, k[F.col("target")]).cast("int")
+                                       .alias("fold")), "predict-folds")
+    wide = ranked.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("target") == t, F.col(c))).alias(f"{c}_{i}") for i, t in enumerate(eligible) for c in ("label", "fold")])
+    counts = ranked.groupBy("target", "cls", "label", "fold").agg(F.count(F.lit(1)).alias("n")).collect()  # classes x folds
+    return wide, [r.asDict() for r in counts]
+
+
+def _dummy_mean(counts: list[dict], k: int) -> float:
+    """Mean accuracy over the folds of the most frequent class of the other folds (ties: the smallest)."""
+    total: dict = {}
+    for r in counts:
+        total[r["cls"]] = total.get(r["cls"], 0) + r["n"]
+    out = []
+    for f in range(k):
+        own = {r["cls"]: r["n"] for r in counts if r["fold"] == f}
+        mode = min(total, key=lambda c: (own.get(c, 0) - total[c], c))
+        out.append(own.get(mode, 0) / sum(own.values()))
+    return sum(out) / k
+
+
+def predictability_lr(df: DataFrame, key: str | list[str], text: Column, targets: list[str], max_features: int = 5000,
+                      min_df: int = 2, min_class_size: int = 3, on_small_class: str = "filter", max_iter: int = 2000,
+                      seed: int = SEED, tol: float = TOL) -> DataFrame:
+    """One row per eligible target: target, n_samples, n_classes, majority_baseline, dummy_accuracy, lr_accuracy, lr_std,
+    n_splits, passes (over the feature table, for all targets together).
+
+    Logistic regressions on TF-IDF features, one for each target and fold, fitted together
+    (:mod:`corpuslens.operators.batchfit`). A target's vocabulary and idf are those of its own rows, fitted before
+    cross-validation. Texts are tokenised once for all targets. ``on_small_class`` as in :func:`eligible_rows`: 'filter'
+    drops small classes, 'skip' leaves such a target out. The key (one column or several) must be unique."""
+    import math
+
+    from corpuslens.functions.text import terms as term_expr
+    from corpuslens.operators import batchfit
+    from corpuslens.operators.tfidf import term_counts
+
+    spark, keys = df.sparkSession, key_list(key)
+    base = materialize(df.select(*keys, *[F.col(t).cast("string").alias(t) for t in targets], term_expr(text).alias("_terms")),
+                       "predict-terms")
+    summary = {r["target"]: r for r in eligibility(base, targets, min_class_size, 10, on_small_class).where("eligible").collect()}
+    schema = ("target string, n_samples long, n_classes long, majority_baseline double, dummy_accuracy double, "
+              "lr_accuracy double, lr_std double, n_splits int, passes int")
+    names = [t for t in targets if t in summary]
+    if not names:
+        return spark.createDataFrame([], schema)
+    folds, counts = target_table(base, keys, targets, {t: int(summary[t]["n_splits"]) for t in names}, min_class_size,
+                                 on_small_class, seed)
+    folds = materialize(folds, "predict-labels")
+    flags = folds.select(*keys, *[F.col(f"label_{i}").isNotNull().alias(f"g{i}") for i in range(len(names))])
+    stats = materialize(term_statistics(term_counts(base, keys, F.col("_terms")), flags, keys,
+                                        [f"g{i}" for i in range(len(names))]), "predict-statistics")
+    models = []
+    for i, t in enumerate(names):
+        n, d, total = summary[t]["n_samples"], f"df_g{i}", f"total_g{i}"
+        rows = (stats.where(F.col(d) >= min_df).orderBy(F.col(total).desc(), "term").limit(max_features)
+                .select("term", d).collect())  # at most max_features
+        rows = sorted((r["term"], r[d]) for r in rows)
+        models.append(batchfit.Target(t, int(summary[t]["n_classes"]), [r[0] for r in rows],
+                                      [math.log((1 + n) / (1 + r[1])) + 1 for r in rows], int(summary[t]["n_splits"])))
+    features = base.select(*keys, F.col("_terms").alias("terms")).join(folds, keys)
+    n_rows = max(int(summary[t]["n_samples"]) for t in names)
+    parts = max(2, min(spark.sparkContext.defaultParallelism, -(-n_rows // batchfit.BLOCK_ROWS)), n_rows // ROWS_PER_FIT_PARTITION)
+    blocks = materialize(batchfit.feature_blocks(features, models), "predict-blocks").repartition(parts).persist()
+    sizes: dict = {}
+    for r in counts:
+        at = names.index(r["target"]), r["fold"]
+        sizes[at] = sizes.get(at, 0) + r["n"]
+    weights, passes = batchfit.fit(blocks, models, sizes, tol, max_iter)
+    hits = batchfit.fold_hits(blocks, models, weights)
+    blocks.unpersist()
+    out = []
+    for i, t in enumerate(names):
+        s, k = summary[t], int(summary[t]["n_splits"])
+        acc = [hits.get((i, f), 0) / sizes[i, f] for f in range(k)]
+        mean = sum(acc) / k
+        out.append((t, int(s["n_samples"]), int(s["n_classes"]), float(s["majority_baseline"]),
+                    _dummy_mean([r for r in counts if r["target"] == t], k), mean,
+                    math.sqrt(sum((a - mean) ** 2 for a in acc) / k), k, passes))
+    return spark.createDataFrame(out, schema)
+
+
 def predictability(df: DataFrame, key: str | list[str], text: Column, targets: list[str], max_features: int = 5000,
                    min_df: int = 2, models=("lr", "mlp"), min_class_size: int = 3, lr_max_iter: int = 2000,
                    mlp_max_iter: int = 300, seed: int = SEED) -> DataFrame:
@@ -164,8 +273,7 @@ def predictability(df: DataFrame, key: str | list[str], text: Column, targets: l
     mlp_accuracy, mlp_std, n_splits. ``text`` is the (cleaned) text column; terms use the TF-IDF tokeniser.
     The key (one column or several) must be unique. The vectoriser is fitted on all rows of the target before
     cross-validation. Texts are tokenised once, into a table that every target and model reads.
-    Targets and models run one after another (each evaluation already runs its k fits concurrently), which
-    keeps the number of models held by the driver at k."""
+    The regressions of all targets are fitted together (:func:`predictability_lr`); networks run target by target."""
     from pyspark.ml.feature import StringIndexer
 
     from corpuslens.functions.text import terms as term_expr
@@ -174,7 +282,7 @@ def predictability(df: DataFrame, key: str | list[str], text: Column, targets: l
 
     spark = df.sparkSession
     keys = key_list(key)
-    base = materialize(df.select(*keys, *targets, term_expr(text).alias("_terms")), "predict-terms")
+    base = materialize(df.select(*keys, *targets, term_expr(text).alias("_terms")), "predict-terms") if "mlp" in models else None
 
     def prepare(target: str):
         rows, summary = eligible_rows(base, target, min_class_size, 10, "filter")
@@ -197,21 +305,23 @@ def predictability(df: DataFrame, key: str | list[str], text: Column, targets: l
                "majority_baseline": float(s["majority_baseline"]), "n_splits": k}
         return rec, folded, vocab.count()
 
+    lr = {r["target"]: r.asDict() for r in predictability_lr(
+        df, key, text, targets, max_features, min_df, min_class_size, "filter", lr_max_iter, seed).collect()} if "lr" in models else {}
     out = []
     for target in targets:
+        if "mlp" not in models:
+            if target in lr:
+                out.append(lr[target] | {"mlp_accuracy": None, "mlp_std": None})
+            continue
         p = prepare(target)
         if p is None:
             continue
         rec, folded, n_feat = p
-        for m in ("lr", "mlp"):
-            if m in models:
-                acc = cv_accuracy(folded, "features", "label_idx", rec["n_splits"], m, rec["n_classes"], n_feat,
-                                  lr_max_iter if m == "lr" else mlp_max_iter, seed).collect()[0]
-                rec[f"{m}_accuracy"], rec[f"{m}_std"] = float(acc["accuracy"]), float(acc["std"])
-            else:
-                rec[f"{m}_accuracy"], rec[f"{m}_std"] = None, None
+        acc = cv_accuracy(folded, "features", "label_idx", rec["n_splits"], "mlp", rec["n_classes"], n_feat, mlp_max_iter,
+                          seed).collect()[0]
+        rec["mlp_accuracy"], rec["mlp_std"] = float(acc["accuracy"]), float(acc["std"])
         folded.unpersist()
-        out.append(rec)
+        out.append({"lr_accuracy": None, "lr_std": None} | {k: v for k, v in lr.get(target, {}).items() if k.startswith("lr_")} | rec)
     return spark.createDataFrame([tuple(r[f.name] for f in PREDICTABILITY.fields) for r in out], PREDICTABILITY)
 
 

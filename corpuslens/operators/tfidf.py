@@ -45,6 +45,29 @@ def vocabulary(tf: DataFrame, key: str | list[str], n_docs: Column, max_features
     return rank_within(v, [], [F.col("term")], "_r").withColumn("index", (F.col("_r") - 1).cast("int")).drop("_r")
 
 
+def fold_vocabularies(df: DataFrame, key: str | list[str], terms: Column, folds: DataFrame, k: int,
+                      max_features: int = 5000, min_df: int = 1) -> DataFrame:
+    """fold, term, df, total, idf: the vocabulary of each fold's training rows, i.e. of all rows outside the fold.
+
+    ``folds`` is (key..., fold) with folds 0 to k - 1; rows without a fold take no part. Texts are tokenised and counted once:
+    one aggregation gives df and total by (term, fold), and what is left after each fold is a subtraction. Memory of a
+    row is 2 k numbers, whatever the term's frequency."""
+    keys = key_list(key)
+    each = range(k)
+    own = lambda f: F.col("fold") == f
+    counts = term_counts(df, key, terms).join(folds.select(*keys, "fold"), keys).groupBy("term").agg(
+        F.count("fold").alias("df"), F.sum("tf").alias("total"),
+        *[F.count_if(own(f)).alias(f"d{f}") for f in each], *[F.sum(F.when(own(f), F.col("tf")).otherwise(0)).alias(f"t{f}") for f in each])
+    sizes = folds.agg(F.count("fold").alias("n"), *[F.count_if(own(f)).alias(f"n{f}") for f in each]).first()  # one row
+    rest = counts.select("term", F.explode(F.array(*[F.struct(
+        F.lit(f).alias("fold"), (F.col("df") - F.col(f"d{f}")).alias("df"), (F.col("total") - F.col(f"t{f}")).alias("total"),
+        F.lit(sizes["n"] - sizes[f"n{f}"]).alias("n")) for f in each])).alias("x")).select("term", "x.*").where(F.col("df") >= min_df)
+    order = Window.partitionBy("fold").orderBy(F.col("total").desc(), F.col("term"))
+    kept = rest.withColumn("_o", F.row_number().over(order)).where(F.col("_o") <= max_features)  # cut before the exchange
+    return kept.select("fold", "term", "df", F.col("total").cast("bigint").alias("total"), (F.log(
+        (F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
+
+
 def tfidf(df: DataFrame, key: str | list[str], terms: Column, max_features: int | None = 5000, min_df: int = 1,
           with_index: bool = True):
     """Returns (weights, vocab). weights: key..., term, [index,] w (L2-normalised per document).
