@@ -305,7 +305,17 @@ def compare_predictability(spark, d):
 
 
 
-@register("compare_predictability_lr", f"""WITH a AS {_elig_lang_sql('en')}, b AS {_elig_lang_sql('fr')}
+def _fitted_lang_sql(lang):
+    """The targets that a table of accuracies has: at least 10 labelled rows, and two classes of three rows or more."""
+    return ("(SELECT target, CAST(max(n) AS DOUBLE) / sum(n) AS majority_baseline FROM (SELECT *, sum(n) OVER (PARTITION BY target) "
+            "AS n_before FROM (" + " UNION ALL ".join(
+                f"SELECT '{t}' AS target, count(*) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id "
+                f"WHERE d.lang = '{lang}' AND {c} IS NOT NULL AND CAST({c} AS VARCHAR) <> '' GROUP BY {c}"
+                for t, c in (("source", "d.source"), ("quality", "l.quality"))) +
+            ")) WHERE n >= 3 AND n_before >= 10 GROUP BY target HAVING count(*) >= 2)")
+
+
+@register("compare_predictability_lr", f"""WITH a AS {_fitted_lang_sql('en')}, b AS {_fitted_lang_sql('fr')}
 SELECT a.target, round(a.majority_baseline, {R}) AS baseline, round(b.majority_baseline, {R}) AS baseline_b,
    TRUE AS gains_follow, TRUE AS ratio_follows FROM a JOIN b USING (target)""")
 def compare_predictability_lr(spark, d):
