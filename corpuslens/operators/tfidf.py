@@ -54,6 +54,7 @@ def fold_vocabularies(df: DataFrame, key: str | list[str], terms: Column, folds:
     row is 2 k numbers, whatever the term's frequency."""
     keys = key_list(key)
     each = range(k)
+    folds = folds.where("fold is not null")
     own = lambda f: F.col("fold") == f
     counts = term_counts(df, key, terms).join(folds.select(*keys, "fold"), keys).groupBy("term").agg(
         F.count("fold").alias("df"), F.sum("tf").alias("total"),
