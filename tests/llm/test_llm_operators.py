@@ -653,6 +653,23 @@ def test_exact_duplicates(spark, corpus):
     assert sorted((r.doc_id or -1, r.keep_id or -1, r.kept) for r in odd) == [(-1, -1, False), (-1, 5, False), (5, 5, True)]
 
 
+def test_exact_duplicates_come_from_the_index(spark):
+    texts = [f"text {i % 40}" for i in range(90)] + ["Q", "q"]
+    rows = table(spark, texts).select("doc_id", F.lower("text").alias("norm")).withColumn("key", F.xxhash64("norm") * (F.col("norm") != "q").cast("int"))
+    rows = rows.withColumn("key", F.when(F.col("norm") == "text 7", 0).otherwise(F.col("key")))  # two texts with one key: a chain
+    slots, depth = exact_index.build_directory(rows.select("key").distinct(), 4, 6)
+    index = exact_index.build_index(rows, slots, depth)
+    assert sorted((r.chain, r.group_size) for r in index.where("key = 0").collect()) == [(1, 2), (2, 3)] or \
+        sorted((r.chain, r.group_size) for r in index.where("key = 0").collect()) == [(1, 3), (2, 2)]
+    probe = rows.select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256"))
+    assert exact_index.look_up(probe, index, slots, depth).count() == len(texts)
+    n = 1 << depth
+    wrong = slots.withColumn("slot", (F.col("slot") + n // 2) % n)  # a directory that points elsewhere
+    assert exact_index.look_up(probe, index, wrong, depth).count() < len(texts) / 2
+    own = index.groupBy("local", "bucket").agg(F.count_distinct("key").alias("n")).agg(F.max("n")).first()[0]
+    assert own <= 4 and depth > 1
+
+
 def test_directory_doubles_until_buckets_fit(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
     slots, depth = exact_index.build_directory(keys, 80, 12)
