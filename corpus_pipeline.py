@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm import line_align, mixing, ngram_join, packing, quality_lines
 from corpuslens.llm.common import unique_ids, whole_row
 from corpuslens.llm.queries import TARGETS, documents, vocab
-from corpuslens.session import materialize
+from corpuslens.session import materialize, materialized_count, release_materialized
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,8 +79,11 @@ ORACLE_SQL = None  # alignment, raking and packing have no SQL form; tests hold
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written to the shared folder and read again."""
+    """All stages over ``documents``; each stage's result is written to the shared folder and read again. The tables that a
+    stage needed on its way, and the result before it, are deleted once its own result is written."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
+        mark = materialized_count()
         docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        release_materialized(spark, mark - (name != STAGES[0][0]), -1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import bias_tokens, split_multivalue, strip_indicators
-from corpuslens.operators import dimension, keyed, moderation, worklist as wl
+from corpuslens.operators import dimension, encoder, keyed, moderation, worklist as wl
 from corpuslens.operators import scores as sc
 from corpuslens.operators.predict import chart_table
+from corpuslens.operators.similarity import agreement
 from corpuslens.operators.stoplists import tokens_without
 from corpuslens.plans import sqltext as q
 from corpuslens.plans.q_counts import ANN_SQL, EX_SQL
@@ -151,3 +152,27 @@ def moderation_by_source(spark, d):
     s = _moderated(spark, d)
     out = sc.score_by_factor(sc.score_long(s, ["id"], extra=["source"]), s, "source", "toxic")
     return out.select("source", "category", F.col("mean").between(0.0, 1.0).alias("share"))
+
+
+# ----------------------------------------------------------------------------------------------- G18 -> E3, G17, F27
+def _text_agreement(spark, d):
+    """Traits, setting and theme as texts, against the same part's under a neighbouring key, by vectors of an encoder fitted on all
+    three."""
+    left = tv.annotations(spark, d).select("id", "story_index", "traits", "setting", "theme")
+    right = left.withColumn("id", F.col("id") + F.when(F.col("id") % 2 == 1, 1).otherwise(-1))
+    fields = {c: F.col(c) for c in ("traits", "setting", "theme")}
+    e = encoder.fit_encoder(left.select(F.explode(F.array(*fields.values())).alias("t")), F.col("t"), 32)
+    keys = ["id", "story_index"]
+    return agreement(encoder.encode_texts(left, keys, fields, e), encoder.encode_texts(right, keys, fields, e), keys, list(fields))
+
+
+@register("annotation_agreement_text", """SELECT count(*) AS n_compared, TRUE AS cosines, TRUE AS overall_is_the_mean
+   FROM part a JOIN part b ON b.p_partkey + CASE WHEN b.p_partkey % 2 = 1 THEN 1 ELSE -1 END = a.p_partkey""")
+def annotation_agreement_text(spark, d):
+    """Agreement of text fields. SQL holds the number of pairs, and that averages are cosines and the overall one their mean;
+    the vectors are held against a dense decomposition in pytest."""
+    a = _text_agreement(spark, d)
+    fields = [F.col(f"avg_{c}_similarity") for c in ("traits", "setting", "theme")]
+    ok = fields[0].between(-1.0, 1.0) & fields[1].between(-1.0, 1.0) & fields[2].between(-1.0, 1.0)
+    mean = F.abs((fields[0] + fields[1] + fields[2]) / 3 - F.col("avg_overall_similarity")) < 1e-6
+    return a.select("n_compared", ok.alias("cosines"), mean.alias("overall_is_the_mean"))

@@ -76,14 +76,23 @@ def materialize(df, name: str):
     return spark.read.parquet(path)
 
 
-def release_materialized(spark: SparkSession) -> int:
+def materialized_count() -> int:
+    """How many tables :func:`materialize` has written and not released: a mark for :func:`release_materialized`."""
+    return len(_MATERIALIZED)
+
+
+def release_materialized(spark: SparkSession, since: int = 0, until: int | None = None) -> int:
     """Delete the intermediate tables written by :func:`materialize` (through the Hadoop file system of the
-    checkpoint folder, so it works on shared storage). Call it after the results that read them are written."""
+    checkpoint folder, so it works on shared storage). Call it after the results that read them are written.
+
+    ``since`` and ``until`` are marks (:func:`materialized_count`): only the tables written between them go, so a job can free
+    what one of its steps needed and leave the tables of other results alone."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
-    while _MATERIALIZED:
-        p = jvm.org.apache.hadoop.fs.Path(_MATERIALIZED.pop())
+    for path in _MATERIALIZED[since:until]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
         fs = p.getFileSystem(conf)
         n += bool(fs.delete(p, True))
+    del _MATERIALIZED[since:until]
     return n

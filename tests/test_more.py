@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.operators import dimension, moderation
+from corpuslens.operators import dimension, encoder, moderation
 from corpuslens.operators.stoplists import tokens_without
 from corpuslens.operators.tfidf import fold_vocabularies, term_counts, vocabulary
 
@@ -86,3 +87,27 @@ def test_fold_vocabularies_are_those_of_the_training_rows(spark, k):
         a = sorted(map(tuple, got.where(F.col("fold") == f).select("term", "df", "total", "idf").collect()))
         b = sorted(map(tuple, want.collect()))
         assert [x[:3] for x in a] == [x[:3] for x in b] and [x[3] for x in a] == pytest.approx([x[3] for x in b])
+
+
+def test_encoder_is_a_truncated_svd(spark):
+    rng = random.Random(1)
+    topics = [[f"t{k}w{j}" for j in range(12)] for k in range(4)]
+    texts = [" ".join(rng.choices(topics[i % 4], k=9) + rng.choices(topics[(i + 1) % 4], k=2)) for i in range(300)]
+    df = spark.createDataFrame([*enumerate(texts), (300, None), (301, ""), (302, "unknown words")], "id long, t string")
+    e = encoder.fit_encoder(df.where("id < 302"), F.col("t"), 4, rounds=25)
+    # the dense way
+    n, place = 302, {t: i for i, t in enumerate(e.terms)}
+    count = np.array([[x.split().count(t) for t in e.terms] for x in texts], float)
+    idf = np.log((1 + n) / (1 + (count > 0).sum(axis=0))) + 1
+    assert np.allclose(idf, e.idf) and sorted(place) == e.terms
+    a = count * idf
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    _, s, vt = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(e.singular, s[:4], rtol=1e-6) and np.allclose(np.abs(np.diag(vt[:4] @ e.basis)), 1, atol=1e-5)
+    got = {r.id: (r.x, r.y) for r in encoder.encode_texts(df, "id", {"x": F.col("t"), "y": F.upper("t")}, e).collect()}
+    assert np.allclose([got[i][0] for i in range(300)], a @ e.basis, atol=1e-5)
+    assert all(got[i][0] == [0.0] * 4 for i in (300, 301, 302))
+    near, far = np.array(got[0][0]) @ got[4][0], np.array(got[0][0]) @ got[2][0]
+    assert near > far + 0.2
+    none = encoder.fit_encoder(df.limit(0), F.col("t"), 4)
+    assert [r.x for r in encoder.encode_texts(df.limit(2), "id", {"x": F.col("t")}, none).collect()] == [[], []]
