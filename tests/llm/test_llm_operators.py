@@ -740,11 +740,17 @@ def test_pipeline_stages_against_brute_force(spark, tokenizer):
     cut = corpus_pipeline.line_dedup(spark, kept, SF).cache()
     left = sorted((r.doc_id, r.text) for r in cut.collect())
     assert all(WORD.search(t) for _, t in left)
+    before = sorted((r.doc_id, r.text) for r in kept.collect())
+    want = dict(zip([i for i, _ in before], dedup_all_pairs([t for _, t in before])))
+    assert {i: left_lines(t) for i, t in left} == {i: w for i, w in want.items() if w}
     near = corpus_pipeline.near_dedup(spark, cut, SF).cache()
     ids = [i for i, _ in left]
     assert sorted(r.doc_id for r in near.collect()) == sorted({ids[g] for _, _, g in groups([t for _, t in left], 5, 8, 10)})
     mixed = corpus_pipeline.mixing_stage(spark, near, SF).cache()
-    assert mixed.columns == docs.columns and 0 < mixed.count() < near.count()
+    plan = mixing.mix_to_targets(near, queries.vocab(), queries.TARGETS)[0].collect()
+    assert mixed.columns == docs.columns and sorted(r.doc_id for r in mixed.collect()) == sorted(r.doc_id for r in plan if r.sampled)
+    share = sum(r.probability * r.tokens for r in plan) / sum(r.tokens for r in plan)
+    assert 0 < mixed.count() < near.count() and abs(share - 0.5) < 1e-6
     packed = corpus_pipeline.packing_stage(spark, mixed, SF)
     want = {r.doc_id: len(tokenizer(r.text)) + 1 for r in mixed.collect()}
     assert {r.doc_id: r.n for r in packed.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == want
@@ -764,5 +770,43 @@ def test_stages_take_edge_tables(spark, stage):
     docs = table(spark, EDGE + EDGE[:3] + ["few words"] * 2, [*range(len(EDGE)), 0, 1, 2, None, None])
     cols = stage(spark, docs, SF).columns
     assert cols == docs.columns or "sequence_id" in cols
-    assert stage(spark, docs, SF).count() >= 0
+    rows = stage(spark, docs, SF).collect()
+    known = {(r.doc_id, r.text) for r in docs.collect()}
+    if "sequence_id" in cols:  # every row's end id, also of null and empty texts
+        assert sum(r.start + r.length == r.doc_tokens for r in rows) == docs.count()
+    elif stage is corpus_pipeline.quality:
+        assert all(len(WORD.findall(r.text)) >= 20 for r in rows)
+    elif stage is corpus_pipeline.line_dedup:
+        assert {r.doc_id for r in rows} >= {i for i, t in known if not WORD.search(t or "")}
+    elif stage is corpus_pipeline.near_dedup:
+        assert {(r.doc_id, r.text) for r in rows} <= known and len(rows) < docs.count()
+        assert sum(r.doc_id is None for r in rows) == 2
+    else:
+        assert {(r.doc_id, r.text) for r in rows} <= known
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_repeated_ids_keep_their_rows(spark, tokenizer):
+    words = " ".join(f"w{i}" for i in range(30))
+    texts, ids = [words, words, words + " x", "", None, words], [4, 4, 4, 4, 4, 9]
+    docs = table(spark, texts, ids)
+    n = [len(tokenizer(t)) for t in texts]
+    assert sorted((r.doc_id, r.n_tokens) for r in token_counts.token_counts(docs, queries.vocab()).collect()) == sorted(zip(ids, n))
+    got = quality_lines.quality_rules(docs).collect()
+    assert sorted((r.doc_id, r.n_words) for r in got) == sorted((i, len(WORD.findall(t or ""))) for i, t in zip(ids, texts))
+    plan = mixing.mix_to_targets(docs, queries.vocab())[0].collect()
+    assert sorted((r.doc_id, r.tokens) for r in plan) == sorted(zip(ids, n))
+    pieces = packing.pack(docs, queries.vocab()).collect()
+    assert sum(r.length for r in pieces) == sum(n) + len(n) and sum(r.start == 0 for r in pieces) == 6
+    got = exact_index.exact_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == sorted(
+        [(4, 9, 3, False), (4, 9, 3, False), (9, 9, 3, True), (4, 4, 1, True), (4, 4, 2, True), (4, 4, 2, True)])
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (1, "http://a.com/x"), (1, "http://b.net/fr/" + "y" * 50_000)], "page_id long, url string")
+    got = url_gbt.judge_urls(pages, queries.URL_RULES).collect()
+    assert sorted((r.page_id, r.rule, r.verdict, len(r.path)) for r in got) == [(1, "com/", "allow", 2)] * 2 + [(1, "net/fr/", "block", 50_004)]
+
+
+def test_pii_in_a_very_long_text(spark):
+    text = "plain words only. " * 60_000 + "mail me@site.example.org now. " + "more words. " * 20_000
+    r = pii_surrogates.replace_pii(table(spark, [text]), "k").first()
+    assert r.n_email == r.n_entities == 1 and "me@site" not in r.text and len(r.text) > 1_300_000
