@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions.text import terms as term_expr
 from corpuslens.operators import batchfit
 from corpuslens.operators.predict import SEED, TOL, eligibility, target_table, term_statistics
-from corpuslens.operators.tfidf import key_list, term_counts
+from corpuslens.operators.tfidf import key_list
 from corpuslens.session import materialize
 
 
@@ -35,9 +35,9 @@ def category_scores(df: DataFrame, key: str | list[str], text: Column, categorie
         return base.select(*keys, *(carry or []), empty.alias("category_scores"))
     folds, counts = target_table(base, keys, fitted, {t: int(found[t]["n_splits"]) for t in fitted}, 3, "filter", seed)
     folds = materialize(folds, "moderation-folds")
-    flags = folds.select(*keys, *[F.col(f"label_{i}").isNotNull().alias(f"g{i}") for i in range(len(fitted))])
-    stats = materialize(term_statistics(term_counts(base, keys, F.col("_terms")), flags, keys,
-                                        [f"g{i}" for i in range(len(fitted))]), "moderation-statistics")
+    labelled = materialize(base.select(*keys, F.col("_terms").alias("terms")).join(folds, keys), "moderation-rows")
+    stats = materialize(term_statistics(labelled, keys, F.col("terms"), {
+        f"g{i}": F.col(f"label_{i}").isNotNull() for i in range(len(fitted))}), "moderation-statistics")
     models, sizes = [], {}
     for i, t in enumerate(fitted):
         rows = sorted((r[0], r[1]) for r in stats.where(F.col(f"df_g{i}") >= min_df).orderBy(F.col(f"total_g{i}").desc(), "term")
@@ -48,7 +48,6 @@ def category_scores(df: DataFrame, key: str | list[str], text: Column, categorie
     for r in counts:
         at = fitted.index(r["target"]), r["fold"]
         sizes[at] = sizes.get(at, 0) + r["n"]
-    labelled = base.select(*keys, F.col("_terms").alias("terms")).join(folds, keys)
     parts = max(2, min(base.sparkSession.sparkContext.defaultParallelism, len(sizes)))
     blocks = materialize(batchfit.feature_blocks(labelled, models), "moderation-blocks").repartition(parts).persist()
     weights, _ = batchfit.fit(blocks, models, sizes, tol, max_iter)

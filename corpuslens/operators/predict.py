@@ -157,10 +157,13 @@ def cv_accuracy(folded: DataFrame, features: str, label_idx: str, k: int, model:
     return fold_accuracy(allp, label_idx, "prediction")
 
 
-def term_statistics(tf: DataFrame, members: DataFrame, keys: list[str], groups: list[str]) -> DataFrame:
-    """term, and per group g: df_g and total_g over the documents whose flag g is true. One aggregation for all groups.
-    ``tf`` is (keys..., term, tf), ``members`` (keys..., flags)."""
-    return tf.join(members.select(*keys, *groups), keys).groupBy("term").agg(
+def term_statistics(rows: DataFrame, keys: list[str], terms: Column, groups: dict[str, Column]) -> DataFrame:
+    """term, and per group g (name: condition): df_g and total_g over the records for which it holds. One aggregation for all
+    groups; the conditions are evaluated a record, not a term."""
+    from corpuslens.operators.tfidf import term_counts
+
+    flagged = rows.select(*keys, terms.alias("_terms"), *[c.alias(g) for g, c in groups.items()])
+    return term_counts(flagged, [*keys, *groups], F.col("_terms")).groupBy("term").agg(
         *[F.count_if(F.col(g)).alias(f"df_{g}") for g in groups],
         *[F.sum(F.when(F.col(g), F.col("tf")).otherwise(0)).alias(f"total_{g}") for g in groups])
 
@@ -219,7 +222,6 @@ def predictability_lr(df: DataFrame, key: str | list[str], text: Column, targets
 
     from corpuslens.functions.text import terms as term_expr
     from corpuslens.operators import batchfit
-    from corpuslens.operators.tfidf import term_counts
 
     spark, keys = df.sparkSession, key_list(key)
     base = materialize(df.select(*keys, *[F.col(t).cast("string").alias(t) for t in targets], term_expr(text).alias("_terms")),
@@ -232,10 +234,9 @@ def predictability_lr(df: DataFrame, key: str | list[str], text: Column, targets
         return spark.createDataFrame([], schema)
     folds, counts = target_table(base, keys, targets, {t: int(summary[t]["n_splits"]) for t in names}, min_class_size,
                                  on_small_class, seed)
-    folds = materialize(folds, "predict-labels")
-    flags = folds.select(*keys, *[F.col(f"label_{i}").isNotNull().alias(f"g{i}") for i in range(len(names))])
-    stats = materialize(term_statistics(term_counts(base, keys, F.col("_terms")), flags, keys,
-                                        [f"g{i}" for i in range(len(names))]), "predict-statistics")
+    features = materialize(base.select(*keys, F.col("_terms").alias("terms")).join(folds, keys), "predict-rows")
+    stats = materialize(term_statistics(features, keys, F.col("terms"), {
+        f"g{i}": F.col(f"label_{i}").isNotNull() for i in range(len(names))}), "predict-statistics")
     models = []
     for i, t in enumerate(names):
         n, d, total = summary[t]["n_samples"], f"df_g{i}", f"total_g{i}"
@@ -244,7 +245,6 @@ def predictability_lr(df: DataFrame, key: str | list[str], text: Column, targets
         rows = sorted((r["term"], r[d]) for r in rows)
         models.append(batchfit.Target(t, int(summary[t]["n_classes"]), [r[0] for r in rows],
                                       [math.log((1 + n) / (1 + r[1])) + 1 for r in rows], int(summary[t]["n_splits"])))
-    features = base.select(*keys, F.col("_terms").alias("terms")).join(folds, keys)
     n_rows = max(int(summary[t]["n_samples"]) for t in names)
     parts = max(2, min(spark.sparkContext.defaultParallelism, -(-n_rows // batchfit.BLOCK_ROWS)), n_rows // ROWS_PER_FIT_PARTITION)
     blocks = materialize(batchfit.feature_blocks(features, models), "predict-blocks").repartition(parts).persist()

@@ -22,10 +22,22 @@ def key_list(key: str | list[str]) -> list[str]:
 
 
 def term_counts(df: DataFrame, key: str | list[str], terms: Column) -> DataFrame:
-    """key..., term, tf (map-side partial aggregation collapses repeats inside a document)."""
+    """key..., term, tf, for records with a key of their own. A record's terms are sorted and counted inside its row, so nothing
+    is shuffled; the inner names are bound once a row, and each step is linear."""
     keys = key_list(key)
-    return (df.select(*keys, F.explode(terms).alias("term"))
-              .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
+    bind = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+
+    def runs(b):
+        words = b["words"]
+        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1),
+                          lambda i: (i == 0) | ~F.get(words, i).eqNullSafe(F.get(words, i - 1)))
+        return bind(F.struct(words.alias("words"), starts.alias("starts")), lambda c: F.transform(c["starts"], lambda at, k: F.struct(
+            F.get(c["words"], at).alias("term"),
+            (F.coalesce(F.get(c["starts"], k + 1), F.size(c["words"])) - at).cast("bigint").alias("tf"))))
+
+    counted = bind(F.struct(F.sort_array(F.col("_t")).alias("words")), runs)
+    src = df.select(*keys, terms.alias("_t")).where(F.size("_t") > 0)
+    return src.select(*keys, F.explode(counted).alias("_e")).select(*keys, "_e.term", "_e.tf")
 
 
 def vocabulary(tf: DataFrame, key: str | list[str], n_docs: Column, max_features: int | None = 5000,
@@ -56,7 +68,8 @@ def fold_vocabularies(df: DataFrame, key: str | list[str], terms: Column, folds:
     each = range(k)
     folds = folds.where("fold is not null")
     own = lambda f: F.col("fold") == f
-    counts = term_counts(df, key, terms).join(folds.select(*keys, "fold"), keys).groupBy("term").agg(
+    rows = df.select(*keys, terms.alias("_terms")).join(folds.select(*keys, "fold"), keys)  # whole records, before they are counted
+    counts = term_counts(rows, [*keys, "fold"], F.col("_terms")).groupBy("term").agg(
         F.count("fold").alias("df"), F.sum("tf").alias("total"),
         *[F.count_if(own(f)).alias(f"d{f}") for f in each], *[F.sum(F.when(own(f), F.col("tf")).otherwise(0)).alias(f"t{f}") for f in each])
     sizes = folds.agg(F.count("fold").alias("n"), *[F.count_if(own(f)).alias(f"n{f}") for f in each]).first()  # one row

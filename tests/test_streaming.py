@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from corpuslens.streaming import incremental as inc
 from corpuslens.streaming.incremental import incremental_score, latest_windows, windowed_counts
 
 
@@ -39,3 +40,41 @@ def test_incremental_score_idempotent(spark, tmp_path):
                           _score, "id bigint, n long")
     out = spark.read.parquet(sink)
     assert out.count() == docs.count() == out.select("id").distinct().count()
+
+
+def test_compacted_windows_are_the_batch_result(spark, tmp_path, monkeypatch):
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    src, sink, ckpt = tmp_path / "src", str(tmp_path / "sink"), str(tmp_path / "ckpt")
+
+    def batch(df):
+        g = df.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").start.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+        return {(r.w, r.event_type): r.n for r in g.collect()}
+
+    def latest():
+        return {(r.window_start, r.event_type): r.n for r in latest_windows(spark, sink).collect()}
+
+    for i in range(3):  # new files, the stream goes on, then a compaction
+        ev.where(F.col("event_id") % 6 == 2 * i).coalesce(1).write.parquet(str(src / f"events_{2 * i}.parquet"))
+        ev.where(F.col("event_id") % 6 == 2 * i + 1).coalesce(1).write.parquet(str(src / f"events_{2 * i + 1}.parquet"))
+        windowed_counts(spark, str(src / "events_*.parquet"), ev.schema, sink, ckpt, max_files_per_trigger=1)
+        want = batch(ev.where(F.col("event_id") % 6 <= 2 * i + 1))
+        assert latest() == want
+        if i == 1:  # a crash between the base and the switch
+            monkeypatch.setattr(inc.json, "dumps", lambda x: (_ for _ in ()).throw(OSError("lost")))
+            try:
+                inc.compact_windows(spark, sink, closed=True)
+                raise AssertionError("should have failed")
+            except OSError:
+                monkeypatch.undo()
+            assert latest() == want
+        version = inc.compact_windows(spark, sink, closed=i > 0)
+        assert version["number"] == i + 1 and latest() == want
+        left = spark.read.schema(inc.WINDOW_SCHEMA).parquet(sink).where("run is not null").select("run", "epoch").distinct().count()
+        assert left == (0 if i else 1)  # the newest epoch of an open stream stays
+    assert inc.compact_windows(spark, sink, closed=True) is None
+    base = spark.read.parquet(inc._current(spark, sink)["base"])
+    assert base.count() == len(want) and latest() == batch(ev)
+    # a run from scratch outranks the base
+    windowed_counts(spark, str(src / "events_0.parquet"), ev.schema, sink, str(tmp_path / "ckpt2"))
+    again = latest()
+    assert all(again[k] == n for k, n in batch(ev.where("event_id % 6 = 0")).items())
