@@ -708,6 +708,26 @@ def test_remove_repeats(spark, corpus, window, gram, block, monkeypatch):
     assert all(sum(s.length for s in r.spans) == r.n_removed for r in got)
 
 
+def test_remove_repeats_moves_texts_once(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if nothing were small
+    try:
+        df = suffix_dedup.remove_repeats(spark.read.parquet(f"{SF}/documents.parquet"))
+        plan = df._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+        final = plan.toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    reused = [x for x in final.split("\n") if "ReusedExchange" in x and "text#" in x]
+    assert len(reused) == 1  # the other of the two joins with texts reads the same exchange
+
+
+def test_suffix_limits_raise(spark):
+    for window, gram in ((2000, 40), (30, 31), (30, 0)):
+        with pytest.raises(ValueError):
+            suffix_dedup.remove_repeats(table(spark, ["a"]), window=window, gram=gram)
+
+
 def test_remove_repeats_edges(spark):
     got = suffix_dedup.remove_repeats(table(spark, ["z" * 150, "z" * 150], [None, 2])).collect()
     assert sorted((r.doc_id or -1, r.n_removed) for r in got) == [(-1, 0), (2, 149)]
