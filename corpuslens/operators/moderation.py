@@ -48,8 +48,7 @@ def category_scores(df: DataFrame, key: str | list[str], text: Column, categorie
     for r in counts:
         at = fitted.index(r["target"]), r["fold"]
         sizes[at] = sizes.get(at, 0) + r["n"]
-    parts = max(2, min(base.sparkSession.sparkContext.defaultParallelism, len(sizes)))
-    blocks = materialize(batchfit.feature_blocks(labelled, models), "moderation-blocks").repartition(parts).persist()
+    blocks = batchfit.cached(materialize(batchfit.feature_blocks(labelled, models), "moderation-blocks"), max(int(found[t]["n_samples"]) for t in fitted))
     weights, _ = batchfit.fit(blocks, models, sizes, tol, max_iter)
     blocks.unpersist()
     return _scored(base.join(folds, keys, "left"), [*keys, *(carry or [])], models, weights)
