@@ -111,3 +111,56 @@ def test_encoder_is_a_truncated_svd(spark):
     assert near > far + 0.2
     none = encoder.fit_encoder(df.limit(0), F.col("t"), 4)
     assert [r.x for r in encoder.encode_texts(df.limit(2), "id", {"x": F.col("t")}, none).collect()] == [[], []]
+
+
+def test_tokens_without_decides_frequent_words_in_the_row(spark, monkeypatch):
+    from corpuslens.operators import stoplists
+
+    rows = [(1, ["a", "b", "rare", "a", None]), (2, []), (3, None), (None, ["b", "x" * 100, "c"]), (4, ["stop", "c", "odd", "b"]),
+            (5, ["c", "a"]), (5, ["b", "c"])]
+    df, stop = spark.createDataFrame(rows, "id long, t array<string>"), spark.createDataFrame([("a",), ("rare",), ("stop",), (None,)], "word string")
+    want = {1: ["b", None], 2: [], 3: None, None: ["b", "x" * 100, "c"], 4: ["c", "odd", "b"], 5: ["b", "c", "c"]}
+    for n in (0, 2, 1000):
+        monkeypatch.setattr(stoplists, "FREQUENT", n)
+        out = tokens_without(df, "id", F.col("t"), stop)
+        got = out.collect()
+        assert len(got) == 7 and all(r.tokens == want[r.id] for r in got), n
+    assert "LeftOuter" not in _plan(out)  # the records are not joined a second time
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _tables(spark, path):
+    rows = [(i, f"word{i % 7} other{i % 5} some more", "en", "ab"[i % 2], 20) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    labels = [(i, i % 2, int(i % 7 == 0)) for i in range(0, 60, 2)] + [(i, i % 2, int(i % 7 == 0)) for i in range(1, 30, 2)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_scores_are_computed_once(spark, tmp_path):
+    from corpuslens.plans import q_more
+
+    s = q_more._moderated(spark, _tables(spark, tmp_path))
+    assert s.count() == 60 and "MapInArrow" not in _plan(s)
+
+
+def test_toxicity_tokenises_once(spark, tmp_path):
+    from corpuslens.plans import q_scores
+
+    s = q_scores._toxicity(spark, _tables(spark, tmp_path))
+    assert s.count() == 60 and "regexp" not in _plan(s).lower()
+
+
+def test_stories_are_tokenised_before_factors_are_exploded(spark):
+    from corpuslens.operators.wordbias import word_pairs
+
+    df = spark.createDataFrame([("a b a", "x", None), ("b c", "y", "z"), (None, "x", "z")], "t string, f string, g string")
+    out = word_pairs(df, F.split("t", " "), ["f", "g"])
+    plan = _plan(out)
+    nodes = [x for x in plan.splitlines() if "Generate explode" in x]  # upper nodes come first
+    assert len(nodes) == 2 and "factor" in nodes[0]
+    assert {tuple(r) for r in out.collect()} == {("f", "x", "a", 1), ("f", "x", "b", 1), ("f", "x", "", 1), ("f", "y", "b", 1), (
+        "f", "y", "c", 1), ("f", "y", "", 1), ("g", "z", "b", 1), ("g", "z", "c", 1), ("g", "z", "", 1)}
