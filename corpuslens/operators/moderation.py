@@ -51,7 +51,8 @@ def category_scores(df: DataFrame, key: str | list[str], text: Column, categorie
     blocks = batchfit.cached(materialize(batchfit.feature_blocks(labelled, models), "moderation-blocks"), max(int(found[t]["n_samples"]) for t in fitted))
     weights, _ = batchfit.fit(blocks, models, sizes, tol, max_iter)
     blocks.unpersist()
-    return _scored(base.join(folds, keys, "left"), [*keys, *(carry or [])], models, weights)
+    # written once: summaries read the scores several times, and each time would score every text again
+    return materialize(_scored(base.join(folds, keys, "left"), [*keys, *(carry or [])], models, weights), "moderation-scores")
 
 
 def _scored(rows: DataFrame, carry: list[str], models: list[batchfit.Target], weights: list[np.ndarray]) -> DataFrame:
