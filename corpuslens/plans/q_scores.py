@@ -14,6 +14,7 @@ from corpuslens.operators.similarity import agreement
 from corpuslens.operators.tfidf import sparse_cosine, term_counts, tfidf, vocabulary
 from corpuslens.plans import sqltext as q
 from corpuslens.plans.registry import register
+from corpuslens.session import materialize
 from corpuslens.sources import testviews as tv
 
 R = 9
@@ -173,7 +174,9 @@ def score_with_lexicon(spark, d):
 # ----------------------------------------------------------------------------------------------- G19
 def _toxicity(spark, d):
     docs = tv.stories(spark, d, with_labels=True)
-    docs = docs.select("id", "toxic", terms(strip_words_whole(F.col("story"), PREDICT_STOP_EN)).alias("_terms"))
+    # written once: vocabulary, training rows and scoring would each join the labels and tokenise the texts again
+    docs = materialize(docs.select("id", "toxic", terms(strip_words_whole(F.col("story"), PREDICT_STOP_EN)).alias("_terms")),
+                       "toxicity-terms")
     n = docs.agg(F.count(F.lit(1))).scalar()
     vocab = vocabulary(term_counts(docs, "id", F.col("_terms")), "id", n, 5000, 2)
     return sc.model_scores(docs, "id", "_terms", "toxic", vocab)
