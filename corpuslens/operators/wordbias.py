@@ -38,11 +38,13 @@ def _phi(n: Column, n11: Column, nx: Column, ny: Column) -> Column:
 
 
 def factor_docs(df: DataFrame, tokens: Column, factors: list[str]) -> DataFrame:
-    """One row per (story, factor) where the factor is set: factor, value, words (distinct)."""
+    """One row per (story, distinct word, factor) where the factor is set: factor, value, word. Every story has the word '' too. The
+    words are exploded first, so a story is tokenised once, not once a factor."""
     fv = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("string").alias("value")) for f in factors])
-    return (df.select(F.array_distinct(tokens).alias("words"), F.explode(fv).alias("fv"))
-              .where(has_value(F.col("fv.value")))
-              .select(F.col("fv.factor").alias("factor"), F.col("fv.value").alias("value"), "words"))
+    marked = F.array_union(F.array_distinct(tokens), F.array(F.lit("")))
+    return (df.select(*factors, F.explode(marked).alias("_word")).select("_word", F.explode(fv).alias("_fv"))
+              .where(has_value(F.col("_fv.value")))
+              .select(F.col("_fv.factor").alias("factor"), F.col("_fv.value").alias("value"), F.col("_word").alias("word")))
 
 
 def word_pairs(df: DataFrame, tokens: Column, factors: list[str]) -> DataFrame:
@@ -50,10 +52,7 @@ def word_pairs(df: DataFrame, tokens: Column, factors: list[str]) -> DataFrame:
 
     One pass over the text: every story contributes its distinct words plus one '' marker (tokens are never
     blank), so a single aggregation (one shuffle, combined map-side) yields both counts."""
-    fd = factor_docs(df, tokens, factors)
-    marked = F.array_union(F.col("words"), F.array(F.lit("")))
-    return (fd.select("factor", "value", F.explode(marked).alias("word"))
-              .groupBy("factor", "value", "word").agg(F.count(F.lit(1)).alias("n11")))
+    return factor_docs(df, tokens, factors).groupBy("factor", "value", "word").agg(F.count(F.lit(1)).alias("n11"))
 
 
 def word_bias(df: DataFrame, tokens: Column, factors: list[str], min_df: int = 5, min_value: int = 3,
