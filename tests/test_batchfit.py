@@ -94,3 +94,28 @@ def test_many_partitions_sum_over_a_tree(spark, docs, monkeypatch):
     monkeypatch.setattr(batchfit, "MAX_WEIGHTS", 10)
     with pytest.raises(ValueError):
         pr.predictability_lr(docs, "id", F.col("t"), ["three"])
+
+
+@pytest.mark.parametrize("columns", [3, 40])
+def test_products_of_a_block_with_common_and_rare_columns(columns):
+    rng = np.random.default_rng(4)
+    share = np.concatenate((np.full(5, 0.7), np.full(95, 0.03)))
+    dense = np.where(rng.random((60, 100)) < share, rng.normal(size=(60, 100)), 0.0)
+    dense[7] = 0.0
+    row, col = np.nonzero(dense)
+    block = batchfit.Block(np.searchsorted(row, np.arange(61)), col.astype(np.int32), dense[row, col], None, 0)
+    assert 5 <= len(block.head) < 100
+    w, r, grad = rng.normal(size=(101, columns)), rng.normal(size=(60, columns)), np.ones((101, columns))
+    assert np.allclose(block.scores(w), dense @ w[:-1] + w[-1])
+    block.add_products(grad, r)
+    assert np.allclose(grad, 1 + np.vstack((dense.T @ r, r.sum(axis=0))))
+
+
+def test_blocks_have_one_fold_and_a_partition_a_core(spark):
+    rows = spark.range(6000).select(F.array(F.lit("a"), F.col("id").cast("string")).alias("terms"), F.lit(0).alias("label_0"),
+                                    (F.col("id") % 3).cast("int").alias("fold_0"))
+    blocks = batchfit.feature_blocks(rows, [batchfit.Target("t", 2, ["a"], [1.0], 3)])
+    assert dict(blocks.dtypes)["fold"] == "int" and {r.s for r in blocks.groupBy("fold").agg(F.sum("n").alias("s")).collect()} == {2000}
+    kept = batchfit.cached(blocks, 10 ** 9)
+    assert kept.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    kept.unpersist()
