@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,29 @@ def test_blocks_have_one_fold_and_a_partition_a_core(spark):
     kept = batchfit.cached(blocks, 10 ** 9)
     assert kept.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     kept.unpersist()
+
+
+def test_centred_fit_needs_fewer_passes_for_the_same_minimum(spark):
+    rng = random.Random(5)
+    names = [f"w{i}" for i in range(80)]
+    rows = [(["the"] * 9 + ["of"] * 5 + rng.choices(names, k=20) + rng.choices(names[c * 4:c * 4 + 4], k=2), c, i % 3)
+            for i, c in enumerate(min(rng.randrange(30), 19) for _ in range(1500))]
+    frame = spark.createDataFrame(rows, "terms array<string>, label_0 int, fold_0 int")
+    targets = [batchfit.Target("t", 20, ["of", "the", *names], [1.0] * 82, 3)]
+    blocks = batchfit.cached(batchfit.feature_blocks(frame, targets), len(rows))
+    sizes = {(0, f): 500 for f in range(3)}
+    found = {}
+    for centred in (False, True):
+        weights, passes = batchfit.fit(blocks, targets, sizes, 1e-5, 2000, centred)
+        folds = [0, 1, 2]
+        loss, grad = batchfit._evaluate(blocks, blocks.rdd.getNumPartitions(), {0: weights[0]}, {0: folds})[0]
+        w = weights[0].copy()
+        w[-1] = 0.0
+        assert np.abs((grad + w) / 1000).max() <= 1.01e-5  # by the weights and the intercept themselves
+        found[centred] = (loss + 0.5 * (w * w).sum(axis=(0, 2))) / 1000, passes
+    means = batchfit.training_means(blocks, targets, sizes)
+    z = next(iter(batchfit.Lookup(targets).rows(pa.array([r[0] for r in rows if r[2] != 1]))))
+    assert np.allclose(means[0, 1], np.bincount(z[1], z[2], 82) / 1000)
+    blocks.unpersist()
+    assert np.allclose(found[True][0], found[False][0], atol=1e-5)
+    assert found[True][1] < 0.75 * found[False][1], (found[True][1], found[False][1])
