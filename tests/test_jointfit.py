@@ -70,6 +70,22 @@ def test_means_hits_and_fits_are_those_of_the_blocks(fitted):
     made.unpersist()
 
 
+def test_pieces_without_a_row_of_a_target(spark):
+    rows = [(i, ["a", "bc"[i % 2]], i % 2, i % 3, *([i % 2, i // 2 % 2] if i < 90 and i % 3 == 0 else [None, None])) for i in range(600)]
+    frame = spark.createDataFrame(rows, "id long, terms array<string>, label_0 int, fold_0 int, label_1 int, fold_1 int")
+    targets = [batchfit.Target(t, 2, ["a", "b", "c"], [1.0, 1.5, 2.0], k) for t, k in (("x", 3), ("y", 2))]
+    found = jointfit.records(frame.select("id", F.col("terms").alias("_terms"), F.lit("11").alias("_in"), F.lit(0).alias("_mode"),
+                                          F.lit(None).cast("string").alias("_plain")), ["id"], 2)
+    joint = jointfit.Passes(jointfit.pieces(jointfit.feature_rows(found, ["id"], targets).join(frame.drop("terms"), "id"), targets, 600), targets)
+    blocks = batchfit.cached(batchfit.feature_blocks(frame, targets), 600)
+    weights, folds = {i: np.ones((4, t.n_splits, 1)) for i, t in enumerate(targets)}, {0: [0, 1, 2], 1: [0, 1]}
+    got, want = joint.evaluate(weights, folds), batchfit._evaluate(blocks, blocks.rdd.getNumPartitions(), weights, folds)
+    assert all(np.allclose(got[i][k], want[i][k]) for i in want for k in range(2))
+    assert joint.fold_hits([weights[0], weights[1]]) == batchfit.fold_hits(blocks, targets, [weights[0], weights[1]])
+    joint.close()
+    blocks.unpersist()
+
+
 def test_statistics_count_the_rows_of_each_group(spark):
     rows = [(1, ["a", "b", "a"], "11"), (2, ["b"], "01"), (3, None, "11"), (4, ["c", "a"], "00"), (5, [], "10")]
     frame = spark.createDataFrame(rows, "id long, _terms array<string>, _in string").withColumns(
